@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, url_filter
+from . import chat, mixing, url_filter, warc
 
 QUERIES = {
+    "op5_source_mixing": mixing.query,
     "op8_chat_formatting": chat.query,
     "op9_url_filters": url_filter.query,
+    "op10_warc": warc.query,
 }
 ORACLES = {
     "op8_chat_formatting": chat.ORACLE,
     "op9_url_filters": url_filter.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
