@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pieces, url_filter, warc
+from . import chat, mixing, pieces, toxicity, url_filter, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_sentencepiece": pieces.query,
     "op5_source_mixing": mixing.query,
     "op8_chat_formatting": chat.query,
