@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pieces, toxicity, url_filter, warc
+from . import chat, mixing, pieces, toxicity, url_filter, vectors, warc
 
 QUERIES = {
+    "op7_embedding_near_dedup": vectors.query,
     "op2_toxicity": toxicity.query,
     "op3_sentencepiece": pieces.query,
     "op5_source_mixing": mixing.query,
