@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pieces, toxicity, url_filter, vectors, warc
+from . import chat, mixing, pieces, secrets, toxicity, url_filter, vectors, warc
 
 QUERIES = {
+    "op4_secret_scans": secrets.query,
     "op7_embedding_near_dedup": vectors.query,
     "op2_toxicity": toxicity.query,
     "op3_sentencepiece": pieces.query,
