@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, mixing, pieces, secrets, toxicity, url_filter, vectors, warc
+from . import chat, fingerprints, mixing, ngram_join, pieces, secrets, toxicity, url_filter, vectors, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op6_document_fingerprints": fingerprints.query,
     "op4_secret_scans": secrets.query,
     "op7_embedding_near_dedup": vectors.query,
