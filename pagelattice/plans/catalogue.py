@@ -2,5 +2,469 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import latex, text
+from ..operators import artifacts, export, layout, library, mutations, questions, structure, tables
+from ..sources.views import PAGE_H, PAGE_W, view, with_views
+from ..streaming import batch as streams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function (get) -> DataFrame, where get(view) reads a view of the run's folder."""
+
+    def register(build):
+        def run(spark: SparkSession, sf_dir: str, build=build) -> DataFrame:
+            return build(lambda v: view(spark, sf_dir, v))
+
+        QUERIES[name] = run
+        if oracle:
+            ORACLES[name] = oracle
+        return build
+
+    return register
+
+
+# --- layout -----------------------------------------------------------------------------------------------------------
+
+LABEL_SQL = "CASE class_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in layout.LABELS.items()) + " ELSE 'plain_text' END"
+DETECTED = f"""{with_views("boxes")},
+clamped AS (
+  SELECT page_id, det_idx, {LABEL_SQL} AS label, confidence,
+         greatest(0.0, x1) AS fx1, greatest(0.0, y1) AS fy1, least({float(PAGE_W)}, x2) AS fx2, least({float(PAGE_H)}, y2) AS fy2
+  FROM boxes WHERE confidence >= {layout.LEAST_CONFIDENCE}),
+detected AS (
+  SELECT page_id, det_idx, label, confidence, CAST((fx1 + fx2) / 2 AS DOUBLE) AS x_mid,
+         CAST(trunc(fx1) AS INT) AS x1, CAST(trunc(fy1) AS INT) AS y1, CAST(trunc(fx2) AS INT) AS x2, CAST(trunc(fy2) AS INT) AS y2
+  FROM clamped WHERE label <> 'abandon' AND fx2 > fx1 AND fy2 > fy1)"""
+# the fold over a page's blocks, in order, with the indexes dropped so far
+# per block, the blocks it contains; then the fold in order, with the indexes dropped so far
+DEDUPED = f"""{DETECTED},
+pairs AS (
+  SELECT a.page_id, a.det_idx AS i, list(x.det_idx) AS inside FROM detected a JOIN detected x
+    ON a.page_id = x.page_id AND a.det_idx <> x.det_idx AND a.label = x.label
+    AND (a.x2 - a.x1) * (a.y2 - a.y1) > 0 AND (x.x2 - x.x1) * (x.y2 - x.y1) > 0
+    AND least(a.x2, x.x2) > greatest(a.x1, x.x1) AND least(a.y2, x.y2) > greatest(a.y1, x.y1)
+    AND CAST(least(a.x2, x.x2) - greatest(a.x1, x.x1) AS DOUBLE) * (least(a.y2, x.y2) - greatest(a.y1, x.y1)) / ((x.x2 - x.x1) * (x.y2 - x.y1)) > {layout.MOST_CONTAINED}
+  GROUP BY a.page_id, a.det_idx),
+folded AS (
+  SELECT page_id, list_reduce(list({{'i': i, 'inside': inside, 'gone': CAST([] AS BIGINT[])}} ORDER BY i), lambda acc, p: {{
+      'i': p.i, 'inside': p.inside,
+      'gone': CASE WHEN len(list_filter(p.inside, lambda x: NOT list_contains(acc.gone, x))) > 0 THEN list_append(acc.gone, p.i) ELSE acc.gone END
+    }}, {{'i': CAST(-1 AS BIGINT), 'inside': CAST([] AS BIGINT[]), 'gone': CAST([] AS BIGINT[])}}).gone AS gone
+  FROM pairs GROUP BY page_id),
+deduped AS (
+  SELECT d.* FROM detected d LEFT JOIN folded f USING (page_id) WHERE f.gone IS NULL OR NOT list_contains(f.gone, d.det_idx))"""
+SIDES = f"""count(*) FILTER (x_mid < {layout.LEFT * PAGE_W}) {{over}} AS n_left, count(*) FILTER (x_mid > {layout.RIGHT * PAGE_W}) {{over}} AS n_right"""
+BOUNDARY = f"""CASE WHEN n >= 4 AND n_left >= greatest(2, 0.25 * n) AND n_right >= greatest(2, 0.25 * n) AND n - n_left - n_right <= greatest(1, 0.15 * n)
+  THEN {layout.SPLIT * PAGE_W} END"""
+OVER_PAGE = "OVER (PARTITION BY page_id)"
+ORDERED = f"""{DEDUPED},
+counted AS (SELECT *, count(*) {OVER_PAGE} AS n, {SIDES.format(over=OVER_PAGE)} FROM deduped),
+placed AS (SELECT *, CASE WHEN {BOUNDARY} IS NULL OR x_mid < {BOUNDARY} THEN 0 ELSE 1 END AS column_idx FROM counted),
+ordered AS (
+  SELECT page_id, det_idx, label, x1, y1, x2, y2, column_idx,
+         row_number() OVER (PARTITION BY page_id ORDER BY column_idx, y1, det_idx) - 1 AS reading_order, round_even(confidence, 3) AS confidence
+  FROM placed)"""
+
+
+def detected(get) -> DataFrame:
+    return layout.detections(get("boxes"), PAGE_W, PAGE_H)
+
+
+def ordered(get) -> DataFrame:
+    return layout.reading_order(layout.dedup(detected(get)), PAGE_W)
+
+
+query("layout_reading_order", f"{ORDERED} SELECT * FROM ordered")(ordered)
+query("layout_detections", f"{DETECTED} SELECT * FROM detected")(detected)
+query("layout_dedup", f"{DEDUPED} SELECT * FROM deduped")(lambda get: layout.dedup(detected(get)))
+query("layout_column_profile", f"""{DEDUPED}, c AS (SELECT page_id, count(*) AS n, {SIDES.format(over="")} FROM deduped GROUP BY page_id)
+SELECT page_id, n, n_left, n_right, n - n_left - n_right AS n_mid, {BOUNDARY} AS boundary FROM c""")(lambda get: layout.column_profile(layout.dedup(detected(get)), PAGE_W))
+
+EXPANDED = f"""{DETECTED}, e AS (SELECT *, CASE WHEN label = 'table' THEN 0 ELSE greatest(4, CAST(trunc(least(x2 - x1, y2 - y1) * 0.02) AS INT)) END AS k FROM detected),
+expanded AS (SELECT page_id, det_idx, label, confidence, x_mid, x1, y1, x2, y2,
+  CASE WHEN label = 'table' THEN x1 ELSE greatest(0, x1 - k) END AS ex1, CASE WHEN label = 'table' THEN y1 ELSE greatest(0, y1 - k) END AS ey1,
+  CASE WHEN label = 'table' THEN x2 ELSE least({PAGE_W}, x2 + k) END AS ex2, CASE WHEN label = 'table' THEN y2 ELSE least({PAGE_H}, y2 + k) END AS ey2 FROM e)"""
+query("bbox_expand_clamp", f"{EXPANDED} SELECT * FROM expanded")(lambda get: layout.expand(detected(get), PAGE_W, PAGE_H))
+
+
+@query("erase_region_rects", f"""{EXPANDED} SELECT page_id, det_idx,
+  CAST(trunc(x1 + (det_idx + 1) * 0.05 * (x2 - x1)) AS INT) - ex1 AS px1, CAST(trunc(y1 + 0.125 * (y2 - y1)) AS INT) - ey1 AS py1,
+  CAST(trunc(x1 + (det_idx + 2) * 0.05 * (x2 - x1)) AS INT) - ex1 AS px2, CAST(trunc(y1 + 0.5 * (y2 - y1)) AS INT) - ey1 AS py2 FROM expanded""")
+def _erase(get):
+    at = lambda k: (F.col("det_idx") + k) * F.lit(0.05)
+    boxes = layout.expand(detected(get), PAGE_W, PAGE_H).withColumn("erase_regions", F.array(F.array(at(1), F.lit(0.125), at(2), F.lit(0.5))))
+    r = layout.erase_rects(boxes)
+    return r.select("page_id", "det_idx", F.explode("rects").alias("q")).select("page_id", "det_idx", *(F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("px1", "py1", "px2", "py2"))))
+
+
+@query("crop_padding", f"""{DETECTED}, m AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h, least(x2 - x1, y2 - y1) AS s FROM detected),
+p AS (SELECT *, CASE label WHEN 'isolate_formula' THEN greatest(16, CAST(trunc(s * 0.15) AS INT)) WHEN 'plain_text' THEN greatest(12, CAST(trunc(s * 0.08) AS INT))
+  WHEN 'title' THEN greatest(12, CAST(trunc(s * 0.08) AS INT)) WHEN 'figure' THEN greatest(1, CAST(trunc(s * 0.05) AS INT)) ELSE greatest(15, CAST(trunc(s * 0.10) AS INT)) END AS pad FROM m)
+SELECT page_id, det_idx, pad, w + 2 * pad AS padded_w, h + 2 * pad AS padded_h,
+  CAST(CASE WHEN h + 2 * pad < 80 THEN least(3.0, greatest(2.0, 80.0 / (h + 2 * pad))) ELSE 1 END AS DOUBLE) AS scale,
+  CASE label WHEN 'table' THEN 'table' WHEN 'title' THEN 'text_only' WHEN 'isolate_formula' THEN 'formula' WHEN 'figure' THEN 'figure' ELSE 'text_formula' END AS handler FROM p""")
+def _crop(get):
+    return layout.crop_geometry(detected(get)).select("page_id", "det_idx", "pad", "padded_w", "padded_h", "scale", layout.handler(F.col("label")).alias("handler"))
+
+
+CLASS_SQL = "CASE label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in export.CLASSES.items()) + " END"
+query("yolo_lines", f"""{DETECTED} SELECT page_id, det_idx, printf('%d %.6f %.6f %.6f %.6f', {CLASS_SQL},
+  (x1 + x2) / 2.0 / {PAGE_W}, (y1 + y2) / 2.0 / {PAGE_H}, (x2 - x1) / CAST({PAGE_W} AS DOUBLE), (y2 - y1) / CAST({PAGE_H} AS DOUBLE)) AS line
+FROM (SELECT page_id, det_idx, label, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM detected) WHERE {CLASS_SQL} IS NOT NULL""")(
+    lambda get: export.yolo_lines(detected(get), PAGE_W, PAGE_H)
+)
+
+# --- library ----------------------------------------------------------------------------------------------------------
+
+FT = """CASE WHEN filename NOT LIKE '%.%' THEN 'other' WHEN lower(string_split(filename, '.')[-1]) = 'pdf' THEN 'pdf'
+ WHEN lower(string_split(filename, '.')[-1]) IN ('jpg', 'jpeg', 'png', 'tiff', 'tif', 'bmp', 'webp', 'gif') THEN 'image' ELSE 'other' END"""
+
+query("doc_list", f"""{with_views("docs", "doc_pages", "doc_tags")},
+p AS (SELECT document_id, count(*) FILTER (status = 'layout-detected') AS l, count(*) FILTER (status = 'ocr-complete') AS o FROM doc_pages GROUP BY 1),
+t AS (SELECT document_id, string_agg(tag, '|' ORDER BY tag) AS tags FROM doc_tags GROUP BY 1)
+SELECT id, filename, status, page_count, folder_id, is_starred, file_size, {FT} AS file_type, coalesce(tags, '') AS tags, coalesce(l, 0) AS pages_layout_done, coalesce(o, 0) AS pages_ocr_done
+FROM docs LEFT JOIN p ON p.document_id = id LEFT JOIN t ON t.document_id = id WHERE deleted_at IS NULL""")(
+    lambda get: library.listing(library.search(get("docs")), get("doc_pages"), get("doc_tags"))
+)
+query("doc_search", f"""{with_views("docs")} SELECT id, filename, folder_id, file_size FROM docs
+WHERE deleted_at IS NULL AND folder_id = 'n7' AND is_starred AND contains(lower(filename), 'doc_') AND filename LIKE '%5.P%'""")(
+    lambda get: library.search(get("docs"), folder="n7", starred=True, text=" DOC_ ").where("filename LIKE '%5.P%'").select("id", "filename", "folder_id", "file_size")
+)
+query("doc_trash", f"{with_views('docs')} SELECT id, filename, deleted_at FROM docs WHERE deleted_at IS NOT NULL AND CAST(id AS STRING) IN ('10', '20', '30', '70', '170')")(
+    lambda get: library.search(get("docs"), deleted=True, ids=" 10, 20,30,,70, 170").select("id", "filename", "deleted_at")
+)
+query("doc_by_tag", f"""{with_views("docs", "doc_tags")} SELECT id, filename FROM docs WHERE deleted_at IS NULL
+AND id IN (SELECT document_id FROM doc_tags WHERE tag = (SELECT min(tag) FROM doc_tags))""")(
+    lambda get: library.search(get("docs")).join(
+        get("doc_tags").join(F.broadcast(get("doc_tags").agg(F.min("tag").alias("tag"))), "tag").select(F.col("document_id").alias("id")), "id", "left_semi"
+    ).select("id", "filename")
+)
+query("doc_detail", f"""{with_views("docs", "doc_pages")}, p AS (SELECT document_id, string_agg(page_number || ':' || status, ',' ORDER BY page_number) AS s FROM doc_pages GROUP BY 1)
+SELECT id, filename, coalesce(s, '') AS pages FROM docs LEFT JOIN p ON document_id = id""")(
+    lambda get: library.detail(get("docs"), get("doc_pages")).select("id", "filename", F.array_join(F.transform("pages", lambda p: F.concat(p["page_number"].cast("string"), F.lit(":"), p["status"])), ",").alias("pages"))
+)
+query("page_detail", f"""{with_views("docs", "doc_pages")} SELECT d.id AS document_id, CAST(n AS INT) AS page_number, coalesce(p.status, 'idle') AS status
+FROM docs d, LATERAL (SELECT unnest(range(1, d.page_count + 1)) AS n) LEFT JOIN doc_pages p ON p.document_id = d.id AND p.page_number = n""")(
+    lambda get: library.page_detail(get("docs").select(F.col("id").alias("document_id"), F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number")), get("doc_pages"))
+)
+query("folder_counts", f"""{with_views("folders", "docs")} SELECT f.id, f.name, f.parent_id, count(d.id) FILTER (d.deleted_at IS NULL) AS document_count
+FROM folders f LEFT JOIN docs d ON d.folder_id = f.id GROUP BY ALL""")(lambda get: library.folder_counts(get("folders"), get("docs")))
+query("tag_counts", f"""{with_views("doc_tags", "docs")} SELECT tag, count(d.id) FILTER (d.deleted_at IS NULL) AS document_count
+FROM doc_tags t LEFT JOIN docs d ON d.id = t.document_id GROUP BY tag""")(lambda get: library.tag_counts(get("doc_tags"), get("docs")))
+query("folder_subtree", f"""{with_views("folders").replace("WITH ", "WITH RECURSIVE ", 1)}, tree(root, id, level) AS (SELECT id, id, 0 FROM folders UNION ALL
+SELECT t.root, f.id, t.level + 1 FROM tree t JOIN folders f ON f.parent_id = t.id) SELECT * FROM tree""")(lambda get: library.folder_tree(get("folders")))
+query("storage_summary", f"""{with_views("docs", "doc_pages")} SELECT count(*) AS file_count, coalesce(CAST(sum(file_size) AS BIGINT), 0) AS used_bytes,
+(SELECT count(*) FROM doc_pages p JOIN docs d ON d.id = p.document_id WHERE d.deleted_at IS NULL AND p.status = 'ocr-complete') AS ocr_pages, {library.STORAGE_LIMIT} AS limit_bytes
+FROM docs WHERE deleted_at IS NULL""")(lambda get: library.storage_summary(get("docs"), get("doc_pages")))
+query("storage_by_type", f"""{with_views("docs")}, c AS (SELECT {FT} AS file_type, count(*) AS n FROM docs WHERE deleted_at IS NULL GROUP BY 1)
+SELECT file_type, n, CAST(round_even(n * 100.0 / (SELECT sum(n) FROM c), 0) AS INT) AS percent FROM c""")(lambda get: library.storage_by_type(get("docs")))
+ROLLED = f"""{with_views("docs", "doc_pages")}, p AS (SELECT document_id, count(*) FILTER (status = 'ocr-complete') AS o, count(*) FILTER (status IN ('ocr-complete', 'layout-detected')) AS l FROM doc_pages GROUP BY 1),
+r AS (SELECT id, status AS old_status, CASE WHEN page_count > 0 AND coalesce(o, 0) = page_count THEN 'complete' WHEN coalesce(l, 0) > 0 THEN 'partial' ELSE status END AS new_status FROM docs LEFT JOIN p ON document_id = id)"""
+query("doc_status_rollup", f"{ROLLED} SELECT *, old_status <> 'complete' AND new_status = 'complete' AS completed FROM r")(lambda get: library.status_rollup(get("docs"), get("doc_pages")))
+query("recent_activity", f"{with_views('activity')} SELECT * FROM activity ORDER BY created_at DESC, id DESC LIMIT 50")(lambda get: library.recent_activity(get("activity"), 60))
+query("next_page_number", f"{with_views('doc_pages')} SELECT document_id, max(page_number) + 1 AS next_page FROM doc_pages GROUP BY 1")(lambda get: library.last_page(get("doc_pages")))
+
+# --- artifacts --------------------------------------------------------------------------------------------------------
+
+CUTOFF = "2024-01-20"
+LIVE = "live AS (SELECT DISTINCT concat('s', CAST(document_id AS STRING)) AS session_id FROM doc_pages)"
+ORPHANS = f"""{with_views("artifacts", "doc_pages")}, {LIVE},
+o AS (SELECT *, string_split(stem, '_block_')[1] AS session_id FROM artifacts)"""
+
+
+def _sessions(get) -> DataFrame:
+    return get("doc_pages").select(F.concat(F.lit("s"), F.col("document_id").cast("string")).alias("session_id"))
+
+
+query("orphan_artifacts", f"{ORPHANS} SELECT session_id, dir, stem, size, mtime FROM o WHERE session_id NOT IN (SELECT session_id FROM live)")(
+    lambda get: artifacts.orphans(get("artifacts"), _sessions(get))
+)
+query("freed_bytes", f"""{ORPHANS}, k AS (SELECT * FROM o WHERE session_id NOT IN (SELECT session_id FROM live) AND mtime <= TIMESTAMP '{CUTOFF}')
+SELECT dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM k GROUP BY ROLLUP (dir)""")(lambda get: artifacts.freed(artifacts.orphans(get("artifacts"), _sessions(get), CUTOFF)))
+query("crop_files_present", f"""{with_views("artifacts", "doc_pages")}, b AS (SELECT document_id, page_number, 's' || CAST(document_id AS STRING) || '_block_' || CAST(page_number AS STRING) AS stem FROM doc_pages)
+SELECT stem, document_id, page_number FROM b WHERE stem IN (SELECT stem FROM artifacts)""")(
+    lambda get: artifacts.existing(
+        get("doc_pages").select("document_id", "page_number", F.concat(F.lit("s"), F.col("document_id").cast("string")).alias("session_id"), F.col("page_number").alias("block_id")), get("artifacts")
+    ).select("stem", "document_id", "page_number")
+)
+FIG = "regexp_extract_all({c}, '/media/figures/[^\\s\"''<>]+')"
+query("orphan_figures", f"""{with_views("figures")} SELECT document_id, page_number, unnest(list_filter(list_distinct({FIG.format(c="old_blocks")}),
+lambda u: NOT list_contains(coalesce({FIG.format(c="new_blocks")}, []), u))) AS url FROM figures""")(lambda get: artifacts.orphan_figures(get("figures")))
+query("figure_s3_urls", f"""{with_views("figures")} SELECT DISTINCT u AS url, 'https://bucket.s3.eu-west-1.amazonaws.com/' || regexp_replace(u, '^/media/', '') AS s3_url
+FROM (SELECT unnest({FIG.format(c="old_blocks")}) AS u FROM figures)""")(
+    lambda get: get("figures").select(F.explode(text.figure_urls(F.col("old_blocks"))).alias("url")).distinct().withColumn("s3_url", text.s3_url(F.col("url"), "bucket", "eu-west-1"))
+)
+query("delete_manifest", f"""{with_views("docs", "figures")}, d AS (SELECT id, filename FROM docs WHERE id % 50 = 0), f AS (SELECT f.* FROM figures f JOIN d ON d.id = f.document_id)
+SELECT DISTINCT document_id, p AS path FROM (
+  SELECT document_id, unnest(['debug_cache/s' || document_id || '.jpg', 'training_images/s' || document_id || '.jpg', 'tatr_crops/s' || document_id || '_block_*.jpg']) AS p FROM f
+  UNION ALL SELECT document_id, regexp_replace(unnest({FIG.format(c="old_blocks")}), '^/media/', 'media/') FROM f
+  UNION ALL SELECT id, 'pdfs/' || filename FROM d)""")(
+    lambda get: artifacts.delete_manifest(
+        get("docs").where("id % 50 = 0").select("id", F.concat(F.lit("pdfs/"), F.col("filename")).alias("pdf_file"), F.lit(None).cast("string").alias("thumbnail")),
+        get("figures").select("document_id", F.concat(F.lit("s"), F.col("document_id").cast("string")).alias("session_id"), F.col("old_blocks").alias("blocks")),
+        True,
+    )
+)
+
+# --- structure and questions ------------------------------------------------------------------------------------------
+
+BLOCK_OF = "struct<type:string,value:string,display:boolean,url:string,alt:string,width:int,height:int,rows:int,cols:int,cells:array<array<array<struct<type:string,value:string,display:boolean,url:string,alt:string,width:int,height:int,smiles:string>>>>>"
+
+
+def _blocks(get) -> DataFrame:
+    """Regions as recognised blocks: words are text elements, every seventh region failed."""
+    words = F.filter(F.split("value", " "), lambda w: w != "")
+    inner = F.transform(words, lambda w, i: F.struct(F.when(i % 5 == 3, "latex").when(i % 11 == 7, "image").otherwise("text").alias("type"), w.alias("value"), (i % 2 == 1).alias("display")))
+    made = F.transform(inner, lambda b: F.named_struct(*_named(b)).cast(BLOCK_OF))
+    bad = (F.col("page_id") + F.col("reading_order")) % 7 == 5
+    return get("regions").select(
+        "page_id", F.col("reading_order").cast("string").alias("block_id"), "reading_order", "column_idx", "label", "y1", "y2",
+        F.when(bad, "unreadable").alias("error"), F.when(bad, F.slice(made, 1, 0)).otherwise(made).alias("blocks"),
+    )
+
+
+def _named(b):
+    empty = "array<array<array<struct<type:string,value:string,display:boolean,url:string,alt:string,width:int,height:int,smiles:string>>>>"
+    fields = {"type": b["type"], "value": b["value"], "display": b["display"], "url": F.concat(F.lit("/media/figures/"), b["value"]), "alt": F.lit("")}
+    for f in ("width", "height", "rows", "cols"):
+        fields[f] = F.lit(0)
+    fields["cells"] = F.lit(None).cast(empty)
+    return [x for k, v in fields.items() for x in (F.lit(k), v)]
+
+
+query("section_assignment", f"""{with_views("regions")}, t AS (SELECT *, CASE WHEN (page_id + reading_order) % 7 = 5 THEN 'error' WHEN label = 'title' THEN 'section' ELSE 'paragraph' END AS node_type FROM regions)
+SELECT page_id, CAST(reading_order AS STRING) AS block_id, node_type, row_number() OVER w - 1 AS position,
+  CASE WHEN node_type <> 'section' THEN last_value(CASE WHEN node_type = 'section' THEN CAST(reading_order AS STRING) END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) END AS section_id
+FROM t WINDOW w AS (PARTITION BY page_id ORDER BY reading_order)""")(lambda get: structure.sections(_blocks(get)).select("page_id", "block_id", "node_type", "position", "section_id"))
+
+ELEMENTS = f"""{with_views("regions")}, e AS (
+  SELECT page_id, reading_order, unnest(range(0, len(w))) AS i, unnest(w) AS value FROM
+  (SELECT page_id, reading_order, list_filter(string_split(value, ' '), lambda x: x <> '') AS w FROM regions WHERE (page_id + reading_order) % 7 <> 5)),
+k AS (SELECT *, CASE WHEN i % 5 = 3 THEN 'latex' WHEN i % 11 = 7 THEN 'image' ELSE 'text' END AS type, i % 2 = 1 AS display FROM e)"""
+query("inline_merge", f"""{ELEMENTS}, m AS (SELECT *, sum(CASE WHEN type = 'latex' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, reading_order ORDER BY i) AS g FROM k WHERE type <> 'image'),
+r AS (SELECT page_id, reading_order, g, type, min(i) AS i, string_agg(value, ' ' ORDER BY i) AS value FROM m GROUP BY ALL)
+SELECT page_id, CAST(reading_order AS STRING) AS block_id, row_number() OVER (PARTITION BY page_id, reading_order ORDER BY i) - 1 AS pos, type, value FROM r""")(
+    lambda get: _blocks(get).select("page_id", "block_id", F.posexplode(structure.inline(F.col("blocks"))).alias("pos", "b")).select("page_id", "block_id", "pos", "b.type", "b.value")
+)
+query("structured_content")(lambda get: structure.structured(_blocks(get)))
+
+query("repair_table_sources", f"""{with_views("regions")}, n AS (SELECT page_id, reading_order AS position, CASE WHEN reading_order % 2 = 0 THEN 'table' ELSE 'paragraph' END AS type,
+  CASE WHEN reading_order % 4 = 0 THEN NULL ELSE 'b' || CAST(reading_order AS STRING) END AS src FROM regions),
+b AS (SELECT page_id, 'b' || CAST(reading_order AS STRING) AS block_id, reading_order FROM regions WHERE reading_order % 2 = 0 AND page_id % 3 > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY reading_order) AS k FROM b WHERE (page_id, block_id) NOT IN (SELECT (page_id, src) FROM n WHERE src IS NOT NULL)),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS k FROM n WHERE type = 'table' AND src IS NULL)
+SELECT n.page_id, n.position, n.type, coalesce(n.src, f.block_id) AS source_block_id FROM n LEFT JOIN o USING (page_id, position) LEFT JOIN f ON f.page_id = o.page_id AND f.k = o.k""")(
+    lambda get: structure.repair_table_sources(
+        get("regions").select("page_id", F.col("reading_order").alias("position"), F.when(F.col("reading_order") % 2 == 0, "table").otherwise("paragraph").alias("type"),
+                              F.when(F.col("reading_order") % 4 != 0, F.concat(F.lit("b"), F.col("reading_order").cast("string"))).alias("source_block_id")),
+        get("regions").where("reading_order % 2 = 0 AND page_id % 3 > 0").select("page_id", F.concat(F.lit("b"), F.col("reading_order").cast("string")).alias("block_id"), "reading_order", F.lit("table").alias("label")),
+    )
+)
+
+Q_SQL = r"(?i)^[ \t\n\r\f]*[\(\[]?[ \t\n\r\f]*Q?\.?[ \t\n\r\f]*([0-9]+)[ \t\n\r\f]*[.\)\]: \t\n\r\f]"
+
+
+def _texts(get) -> DataFrame:
+    empty = (F.col("page_id") + F.col("reading_order")) % 9 == 4
+    return get("regions").withColumn("texts", F.when(empty, F.array().cast("array<string>")).otherwise(F.array("value")))
+
+
+query("question_segments", f"""{with_views("regions")}, l AS (SELECT *, lag(y2) OVER (PARTITION BY page_id ORDER BY reading_order) AS above FROM regions),
+s AS (SELECT *, try_cast(nullif(regexp_extract(value, '{Q_SQL}', 1), '') AS BIGINT) AS number FROM l WHERE (page_id + reading_order) % 9 <> 4),
+t AS (SELECT *, count(number) OVER (PARTITION BY page_id ORDER BY reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS started FROM s),
+b AS (SELECT *, number IS NOT NULL OR (coalesce(started, false) AND coalesce(y1 - above > {questions.GAP}, false)) AS opens FROM t)
+SELECT page_id, reading_order, number, CAST(sum(CAST(opens AS INT)) OVER (PARTITION BY page_id ORDER BY reading_order) AS BIGINT) AS group_no FROM b""")(
+    lambda get: questions.segment(_texts(get)).select("page_id", "reading_order", "number", "group_no")
+)
+query("question_prefix", f"""{with_views("regions")} SELECT page_id, reading_order, CASE WHEN regexp_matches(value, '{Q_SQL}') THEN trim(regexp_replace(value, '{Q_SQL}[ \\t\\n\\r\\f]*', ''), E' \\t\\n\\r\\f') ELSE value END AS value FROM regions""")(
+    lambda get: get("regions").select("page_id", "reading_order", questions.strip_prefix(F.col("value")).alias("value"))
+)
+CLUES = "CASE reading_order % 6 WHEN 0 THEN 'Assertion: ' WHEN 1 THEN 'find the value of x [2 Marks] ' WHEN 2 THEN 'one or more (2.5marks) ' WHEN 3 THEN '3 M ' ELSE '' END"
+B = r"\b"
+query("question_type", f"""{with_views("regions")}, t AS (SELECT page_id, reading_order, concat({CLUES}, value) AS v, page_id % 5 AS n FROM regions)
+SELECT page_id, reading_order, try_cast(nullif(regexp_extract(v, '(?i)[\\[\\(]?[ \\t\\n]*([0-9]+(?:\\.[0-9]+)?)[ \\t\\n]*mark', 1), '') AS DOUBLE) AS marks,
+  CASE WHEN n >= 3 THEN CASE WHEN regexp_matches(v, '(?i){B}(one or more|correct option[s]?|may be correct|all.*correct|more than one){B}') THEN 'mcq_multi' ELSE 'mcq_single' END
+       WHEN regexp_matches(v, '(?i){B}(assertion|reason|statement[- ]?(i|ii|1|2)|both.*statement){B}') THEN 'assertion_reason'
+       WHEN regexp_matches(v, '(?i){B}(integer|numerical|value of|answer is (an? )?integer|find the value){B}') THEN 'integer'
+       WHEN n > 0 THEN 'mcq_single' ELSE 'subjective' END AS type FROM t""")(
+    lambda get: get("regions").select(
+        "page_id", "reading_order", F.concat(F.expr(CLUES), "value").alias("v"), (F.col("page_id") % 5).alias("n")
+    ).select("page_id", "reading_order", questions.marks(F.col("v")).alias("marks"), questions.question_type(F.col("v"), F.col("n")).alias("type"))
+)
+OPT_SQL = r"^[\(\[]?[ \t\n\r\f]*([AaBbCcDd]|[1-4]|[iI][iI][iI][iI]|[iI][iI][iI]|[iI][iI]|[iI][vV]|[iI])[ \t\n\r\f]*[\)\]. \t\n\r\f][ \t\n\r\f]*"
+query("option_split", f"""{with_views("regions")}, s AS (SELECT page_id, reading_order, value, trim(value, E' \\t\\n\\r\\f') AS v FROM regions),
+m AS (SELECT *, nullif(lower(regexp_extract(v, '{OPT_SQL}', 1)), '') AS raw FROM s),
+o AS (SELECT *, coalesce(map {{'i': 'a', 'ii': 'b', 'iii': 'c', 'iv': 'd', '1': 'a', '2': 'b', '3': 'c', '4': 'd'}}[raw], raw) AS letter FROM m)
+SELECT page_id AS question_id, reading_order AS pos, last_value(letter IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY reading_order) AS option,
+  CASE WHEN letter IS NULL THEN value ELSE nullif(trim(regexp_replace(v, '{OPT_SQL}', ''), E' \\t\\n\\r\\f'), '') END AS value, letter IS NOT NULL AS opens FROM o""")(
+    lambda get: questions.split_options(get("regions").select(F.col("page_id").alias("question_id"), F.col("reading_order").alias("pos"), F.lit("text").alias("type"), "value")).drop("type")
+)
+query("parse_questions")(lambda get: questions.parse_questions(get("regions").select(F.col("page_id").alias("question_id"), F.col("reading_order").alias("pos"), F.lit("text").alias("type"), "value")))
+
+# --- tables -----------------------------------------------------------------------------------------------------------
+
+
+def _tables(get) -> DataFrame:
+    t = get("tables")
+    shares = lambda n: tables.even_dividers(F.col(n))
+    return t.select("*", tables.boundaries(shares("n_rows"), F.col("crop_h")).alias("rb"), tables.boundaries(shares("n_cols"), F.col("crop_w")).alias("cb"),
+                    tables.cell_types(F.col("n_rows"), F.col("n_cols"), F.col("header_rows")).alias("types"))
+
+
+BOUNDS = f"""{with_views("tables")}, g AS (SELECT *,
+  list_concat(list_transform(range(0, n_rows), lambda i: CAST(round_even(CAST(i AS DOUBLE) / n_rows * crop_h, 0) AS INT)), [crop_h]) AS rb,
+  list_concat(list_transform(range(0, n_cols), lambda i: CAST(round_even(CAST(i AS DOUBLE) / n_cols * crop_w, 0) AS INT)), [crop_w]) AS cb FROM tables)"""
+query("table_grid", f"""{BOUNDS}, r AS (SELECT *, unnest(range(0, n_rows)) AS r FROM g), c AS (SELECT *, unnest(range(0, n_cols)) AS c FROM r),
+p AS (SELECT table_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, CASE WHEN r < header_rows THEN 'header' ELSE 'data' END AS cell_type,
+  greatest(0, cb[c + 1] - 4) AS x1, greatest(0, rb[r + 1] - 4) AS y1, least(crop_w, cb[c + 2] + 4) AS x2, least(crop_h, rb[r + 2] + 4) AS y2 FROM c)
+SELECT *, CAST(CASE WHEN x2 - x1 < 32 OR y2 - y1 < 32 THEN greatest(CAST(32 AS DOUBLE) / greatest(x2 - x1, 1), CAST(32 AS DOUBLE) / greatest(y2 - y1, 1), 1) ELSE 1 END AS DOUBLE) AS scale FROM p WHERE x2 > x1 AND y2 > y1""")(
+    lambda get: tables.grid(_tables(get))
+)
+query("header_types", f"""{with_views("tables")} SELECT table_id, string_agg(CASE WHEN r < header_rows THEN 'header' ELSE 'data' END, ',' ORDER BY r) AS first_column
+FROM (SELECT *, unnest(range(0, n_rows)) AS r FROM tables) GROUP BY table_id""")(lambda get: _tables(get).select("table_id", F.array_join(F.transform("types", lambda r: F.get(r, F.lit(0))), ",").alias("first_column")))
+query("table_dividers", f"""{with_views("tables")}, l AS (SELECT table_id, unnest(range(0, n_rows)) AS k, n_rows, crop_h FROM tables),
+e AS (SELECT table_id, crop_h, k * crop_h / CAST(n_rows AS DOUBLE) + 1 AS lo, (k + 1) * crop_h / CAST(n_rows AS DOUBLE) - 1 AS hi FROM l),
+d AS (SELECT *, row_number() OVER w - 1 AS i, lead(lo) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY table_id ORDER BY lo))
+SELECT table_id, i, CAST(printf('%.4f', (hi + nxt) / 2 / crop_h) AS DOUBLE) AS divider FROM d WHERE nxt IS NOT NULL""")(
+    lambda get: tables.dividers(
+        get("tables").select("table_id", F.lit("row").alias("axis"), "n_rows", "crop_h", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("k")).select(
+            "table_id", "axis", (F.col("k") * F.col("crop_h") / F.col("n_rows") + 1).alias("lo"), ((F.col("k") + 1) * F.col("crop_h") / F.col("n_rows") - 1).alias("hi"), F.col("crop_h").alias("dim"))
+    ).select("table_id", "i", "divider")
+)
+query("coco_annotations", f"""{BOUNDS}, e AS (SELECT *, row_number() OVER (ORDER BY table_id) AS image_id FROM g WHERE source = 'edited'),
+a AS (
+  SELECT image_id, 1 AS k, i, CASE WHEN i < header_rows THEN 1 ELSE 2 END AS category_id, 0 AS x, rb[i + 1] AS y, crop_w AS w, rb[i + 2] - rb[i + 1] AS h FROM (SELECT *, unnest(range(0, n_rows)) AS i FROM e)
+  UNION ALL SELECT image_id, 2, i, 3, cb[i + 1], 0, cb[i + 2] - cb[i + 1], crop_h FROM (SELECT *, unnest(range(0, n_cols)) AS i FROM e)
+  UNION ALL SELECT image_id, 3, 0, 4, 0, 0, crop_w, crop_h FROM e)
+SELECT image_id, row_number() OVER (ORDER BY image_id, k, i) AS annotation_id, category_id, x, y, w, h, w * h AS area FROM a""")(
+    lambda get: tables.annotations(_tables(get).where("source = 'edited'"))
+)
+query("cell_argmax", f"""{with_views("boxes")} SELECT page_id AS cell_id, arg_max(class_id, (confidence, -det_idx)) AS label FROM boxes GROUP BY page_id""")(
+    lambda get: tables.surest(get("boxes").select(F.col("page_id").alias("cell_id"), F.col("det_idx").alias("idx"), F.col("class_id").alias("label"), "confidence"))
+)
+query("table_regroup", f"""{BOUNDS} SELECT table_id, n_rows AS rows, n_cols AS cols FROM g""")(
+    lambda get: tables.regroup(tables.grid(_tables(get)).select("table_id", "r", "c", F.col("cell_type").alias("content"))).select("table_id", "rows", "cols")
+)
+
+
+def _pipes(get) -> DataFrame:
+    """Regions as pipe tables: a heading, sometimes a rule, and two rows of words."""
+    w = F.split("value", " ")
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    row = lambda i: F.concat(F.lit("| "), at(i), F.lit(" |  "), at(i + 1), F.lit("\\|x | "), at(i + 2), F.lit(" |"))
+    rule = F.when(F.col("page_id") % 2 == 0, F.lit("|---|---|---|")).otherwise(F.lit("  "))
+    return get("regions").select("page_id", "reading_order", F.array(row(0), rule, row(3), row(6)).alias("lines"))
+
+
+query("format_table")(lambda get: _pipes(get).select("page_id", "reading_order", tables.format_table("lines").alias("markdown")))
+query("table_tsv")(lambda get: _pipes(get).select("page_id", "reading_order", tables.tsv(F.col("lines")).alias("tsv")))
+query("cell_normalize", f"""{with_views("regions")}, c AS (SELECT page_id, reading_order, concat(' | ', substr(value, 1, 40), '\\|  x | ') AS v FROM regions)
+SELECT page_id, reading_order, trim(regexp_replace(replace(regexp_replace(regexp_replace(v, '^[ \\t\\n\\r\\f]*\\|[ \\t\\n\\r\\f]*', ''), '[ \\t\\n\\r\\f]*\\|[ \\t\\n\\r\\f]*$', ''), '\\|', '|'), '[ \\t\\f]+', ' ', 'g'), E' \\t\\n\\r\\f') AS cell FROM c""")(
+    lambda get: get("regions").select("page_id", "reading_order", text.normalize_cell(F.concat(F.lit(" | "), F.substr("value", F.lit(1), F.lit(40)), F.lit("\\|  x | "))).alias("cell"))
+)
+
+# --- export -----------------------------------------------------------------------------------------------------------
+
+
+def _columns(get) -> DataFrame:
+    box = _blocks(get).where("error IS NULL").withColumns({"x1": F.col("column_idx") * 1000, "x2": F.col("column_idx") * 1000 + 900})
+    return export.column_tree(box)
+
+
+query("column_tree_bbox", f"""{with_views("regions")} SELECT page_id, column_idx, min(column_idx * 1000) AS x1, min(y1) AS y1, max(column_idx * 1000 + 900) AS x2, max(y2) AS y2,
+  string_agg(CAST(reading_order AS STRING), ',' ORDER BY reading_order) AS block_ids FROM regions WHERE (page_id + reading_order) % 7 <> 5 GROUP BY ALL""")(
+    lambda get: _columns(get).select("page_id", "column_idx", "x1", "y1", "x2", "y2", F.array_join(F.transform("groups", lambda g: g["block_id"]), ",").alias("block_ids"))
+)
+MD = f"""{ELEMENTS}, r AS (SELECT k.*, label, column_idx FROM k JOIN (SELECT page_id, reading_order, label, column_idx FROM regions) USING (page_id, reading_order)),
+b AS (SELECT page_id, reading_order, label, column_idx, string_agg(CASE WHEN type = 'latex' AND display THEN chr(10) || '$$' || chr(10) || value || chr(10) || '$$' || chr(10)
+   WHEN type = 'latex' THEN '$' || value || '$' WHEN type = 'image' THEN '![image](/media/figures/' || value || ')' ELSE value END, ' ' ORDER BY i) AS t FROM r GROUP BY ALL),
+g AS (SELECT *, CASE WHEN label = 'title' THEN chr(10) || '## ' || trim(t, E' \\t\\n') || chr(10) ELSE chr(10) || trim(t, E' \\t\\n') || chr(10) END AS m FROM b),
+c AS (SELECT page_id, column_idx, string_agg(m, chr(10) ORDER BY reading_order) AS m, count(*) OVER (PARTITION BY page_id) AS n FROM g GROUP BY page_id, column_idx)
+SELECT page_id, trim(string_agg(CASE WHEN n > 1 THEN chr(10) || '<!-- column ' || CAST(column_idx AS STRING) || ' -->' || chr(10) || chr(10) ELSE '' END || m, chr(10) ORDER BY column_idx), E' \\t\\n') || chr(10) AS markdown FROM c GROUP BY page_id"""
+query("export_markdown", MD)(lambda get: export.page_tree(_columns(get)).select("page_id", export.page_md(F.col("columns")).alias("markdown")))
+ESC = "replace(replace(replace(replace(value, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+COLOUR_SQL = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in export.COLOURS.items()) + " ELSE '#888' END"
+HTML = f"""{ELEMENTS}, r AS (SELECT k.*, label, column_idx FROM k JOIN (SELECT page_id, reading_order, label, column_idx FROM regions) USING (page_id, reading_order)),
+b AS (SELECT page_id, reading_order, label, column_idx, string_agg(CASE WHEN type = 'latex' AND display THEN '<div class="b-latex-display">$$' || {ESC} || '$$</div>'
+   WHEN type = 'latex' THEN '<span class="b-latex-inline">$' || {ESC} || '$</span>' WHEN type = 'image' THEN '<img src="/media/figures/' || value || '" alt="" style="max-width:100%;display:block;margin:6px 0"/>'
+   ELSE '<span>' || {ESC} || '</span> ' END, '' ORDER BY i) AS t FROM r GROUP BY ALL),
+g AS (SELECT *, CASE WHEN label = 'title' THEN 'h2' ELSE 'div' END AS tag FROM b),
+h AS (SELECT *, '<' || tag || ' class="content-group" data-label="' || label || '" style="border-left:3px solid ' || {COLOUR_SQL} || ';padding:8px 12px;margin:6px 0">' || t || '</' || tag || '>' AS x FROM g),
+c AS (SELECT page_id, column_idx, '<div class="column">' || string_agg(x, '' ORDER BY reading_order) || '</div>' AS x, count(*) OVER (PARTITION BY page_id) AS n FROM h GROUP BY page_id, column_idx)
+SELECT page_id, '<div style="' || CASE WHEN max(n) >= 2 THEN 'display:grid;grid-template-columns:1fr 1fr;gap:16px;' ELSE '' END || '">' || string_agg(x, '' ORDER BY column_idx) || '</div>' AS html FROM c GROUP BY page_id"""
+query("export_html", HTML)(lambda get: export.page_tree(_columns(get)).select("page_id", export.page_html_body(F.col("columns")).alias("html")))
+
+# --- formulas ---------------------------------------------------------------------------------------------------------
+
+SYMBOLS = latex.FIRST_SYMBOLS | {k: "\\" + v for k, v in latex.BINARY.items()} | latex.SECOND_SYMBOLS
+
+
+def _symbols_sql() -> str:
+    out = "expr"
+    for k, v in SYMBOLS.items():
+        out = f"replace({out}, '{k}', '{v.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+query("latex_symbols", f"{with_views('formulas')} SELECT id, {_symbols_sql()} AS expr FROM formulas")(lambda get: get("formulas").select("id", latex.symbols(F.col("expr"), SYMBOLS).alias("expr")))
+query("clean_latex")(lambda get: get("formulas").select("id", latex.clean_latex("expr").alias("expr")))
+query("mathrm_plain", f"""{with_views("formulas")}, m AS (SELECT id, CASE id % 4 WHEN 0 THEN '\\mathrm{{o f}} \\mathrm{{the }}' WHEN 1 THEN '\\mathrm{{x}}+1' WHEN 2 THEN ' \\mathrm{{a}}' ELSE expr END AS e FROM formulas)
+SELECT id, CASE id % 4 WHEN 0 THEN 'o f the' WHEN 2 THEN 'a' END AS plain FROM m""")(
+    lambda get: get("formulas").select("id", F.when(F.col("id") % 4 == 0, r"\mathrm{o f} \mathrm{the }").when(F.col("id") % 4 == 1, r"\mathrm{x}+1").when(F.col("id") % 4 == 2, r" \mathrm{a}").otherwise(F.col("expr")).alias("e")).select("id", latex.roman_text(F.col("e")).alias("plain"))
+)
+
+# --- mutations --------------------------------------------------------------------------------------------------------
+
+
+def _change(get) -> DataFrame:
+    return get("doc_pages").where("document_id % 3 = 0").select("document_id", (F.col("page_number") + 1).alias("page_number"), F.lit("ocr-complete").alias("status")).distinct()
+
+
+UPSERTED = f"""{with_views("docs", "doc_pages")}, ch AS (SELECT DISTINCT document_id, page_number + 1 AS page_number, 'ocr-complete' AS status FROM doc_pages WHERE document_id % 3 = 0),
+up AS (SELECT coalesce(c.document_id, p.document_id) AS document_id, coalesce(c.page_number, p.page_number) AS page_number, coalesce(c.status, p.status) AS status
+  FROM doc_pages p FULL JOIN ch c ON c.document_id = p.document_id AND c.page_number = p.page_number)"""
+query("page_upsert", f"{UPSERTED} SELECT * FROM up")(lambda get: mutations.upsert_pages(get("doc_pages"), _change(get)))
+query("page_save_status", f"""{UPSERTED}, p AS (SELECT document_id, count(*) FILTER (status = 'ocr-complete') AS o, count(*) FILTER (status IN ('ocr-complete', 'layout-detected')) AS l FROM up GROUP BY 1)
+SELECT id, CASE WHEN page_count > 0 AND coalesce(o, 0) = page_count THEN 'complete' WHEN coalesce(l, 0) > 0 THEN 'partial' ELSE status END AS status FROM docs LEFT JOIN p ON document_id = id""")(
+    lambda get: mutations.save_pages(get("docs"), get("doc_pages"), _change(get))[1].select("id", "status")
+)
+query("page_renumber", f"""{with_views("doc_pages")}, k AS (SELECT *, count(*) OVER (PARTITION BY document_id) AS n FROM doc_pages)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, status) AS page_number, status FROM k WHERE page_number <> 2 OR n <= 1""")(
+    lambda get: mutations.delete_page(get("doc_pages"), get("doc_pages").where("page_number = 2"))
+)
+query("invalidate_structure", f"""{with_views("doc_pages")} SELECT document_id, page_number, CASE WHEN document_id % 2 = 0 THEN NULL ELSE 'old' END AS structured_content,
+CASE WHEN document_id % 2 = 0 THEN 'none' ELSE 'edited' END AS structure_status FROM doc_pages""")(
+    lambda get: mutations.invalidate_structure(
+        get("doc_pages").select("document_id", "page_number", F.when(F.col("document_id") % 2 == 0, "[]").alias("new_blocks"), F.lit(None).cast("string").alias("new_structure"), F.lit("old").alias("structured_content"), F.lit("edited").alias("structure_status"))
+    ).select("document_id", "page_number", "structured_content", "structure_status")
+)
+query("soft_delete", f"""{with_views("docs")} SELECT id, CASE WHEN id % 6 = 0 AND deleted_at IS NULL THEN TIMESTAMP '2024-06-01' WHEN id % 20 = 0 AND id % 6 <> 0 THEN NULL ELSE deleted_at END AS deleted_at FROM docs""")(
+    lambda get: mutations.restore(mutations.soft_delete(get("docs"), get("docs").where("id % 6 = 0"), "2024-06-01"), get("docs").where("id % 20 = 0 AND id % 6 <> 0")).select("id", "deleted_at")
+)
+query("hard_delete_activity", f"{with_views('docs', 'activity')} SELECT id, CASE WHEN document_id IN (SELECT id FROM docs WHERE id % 4 = 0) THEN NULL ELSE document_id END AS document_id, action FROM activity")(
+    lambda get: mutations.hard_delete(get("docs"), get("doc_pages"), get("activity"), get("docs").where("id % 4 = 0"))[2].select("id", "document_id", "action")
+)
+query("replace_tags", f"""{with_views("doc_tags")} SELECT document_id, tag FROM doc_tags WHERE document_id % 8 <> 0
+UNION ALL SELECT DISTINCT document_id, 'kept' FROM doc_tags WHERE document_id % 16 = 0""")(
+    lambda get: mutations.replace_tags(get("doc_tags"), get("doc_tags").where("document_id % 8 = 0").select("document_id", F.when(F.col("document_id") % 16 == 0, "kept").alias("tag")))
+)
+query("delete_folders", f"""{with_views("docs", "folders")}, gone AS (SELECT id FROM folders WHERE id = 'r1' OR parent_id = 'r1')
+SELECT id, CASE WHEN folder_id IN (SELECT id FROM gone) THEN NULL ELSE folder_id END AS folder_id FROM docs""")(
+    lambda get: mutations.delete_folders(get("folders"), get("docs"), library.folder_tree(get("folders")), get("folders").where("id = 'r1'"))[1].select("id", "folder_id")
+)
+query("toggle_star", f"{with_views('docs')} SELECT id, CASE WHEN id % 3 = 0 THEN NOT is_starred ELSE is_starred END AS is_starred FROM docs")(lambda get: mutations.toggle_star(get("docs"), get("docs").where("id % 3 = 0")).select("id", "is_starred"))
+query("update_documents", f"{with_views('docs')} SELECT id, CASE WHEN id % 7 = 0 THEN 'renamed' ELSE filename END AS filename, status FROM docs")(
+    lambda get: mutations.update(get("docs"), get("docs").where("id % 7 = 0").select("id", F.lit("renamed").alias("filename"), F.lit(None).cast("string").alias("status"))).select("id", "filename", "status")
+)
+
+# --- state ------------------------------------------------------------------------------------------------------------
+
+query("session_lru", f"""{with_views("sessions")}, l AS (SELECT session_id, max(ts) AS ts FROM sessions GROUP BY 1)
+SELECT session_id, ts FROM l ORDER BY ts DESC, session_id DESC LIMIT {streams.KEPT}""")(lambda get: streams.newest_sessions(get("sessions")))
+query("ocr_ndjson_stream")(lambda get: streams.ndjson(_blocks(get).select("page_id", "block_id", "reading_order", "label", "blocks", "error")))
