@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Extensions of image files; fixed values.
@@ -98,14 +98,15 @@ def storage_summary(docs: DataFrame, pages: DataFrame) -> DataFrame:
     live = docs.where("deleted_at IS NULL")
     total = live.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("used_bytes"))
     read = pages.where("status = 'ocr-complete'").join(live.select(F.col("id").alias("document_id")), "document_id", "left_semi").agg(F.count("*").alias("ocr_pages"))
-    return total.crossJoin(read).withColumn("limit_bytes", F.lit(STORAGE_LIMIT))  # one row each
+    both = total.unionByName(read, allowMissingColumns=True)  # one row each, made one
+    return both.agg(*(F.max(c).alias(c) for c in ("file_count", "used_bytes", "ocr_pages"))).withColumn("limit_bytes", F.lit(STORAGE_LIMIT))
 
 
 def storage_by_type(docs: DataFrame) -> DataFrame:
     """Live documents by file type with their share in whole percent, halves to even."""
     counts = docs.where("deleted_at IS NULL").groupBy(file_type(F.col("filename")).alias("file_type")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("all"))
-    return counts.crossJoin(F.broadcast(total)).select("file_type", "n", F.bround(F.col("n") / F.col("all") * 100).cast("int").alias("percent"))  # one row
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over three rows at most
+    return counts.select("file_type", "n", F.bround(F.col("n") / total * 100).cast("int").alias("percent"))
 
 
 def status_rollup(docs: DataFrame, pages: DataFrame) -> DataFrame:
