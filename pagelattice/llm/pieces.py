@@ -55,13 +55,7 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in odd}
         self.bytes = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        #: The two pieces of each piece's last merge.
-        self.halves: dict[str, tuple[str, str]] = {}
         own = {p for p in self.ids if len(p) == 1 or self._merge(p) == [p]}
-        score = {p: self.scores[i] for p, i in self.ids.items()}
-        self.score = score
-        # if no piece scores above one that it is merged from, merges happen in the order of their scores
-        self.ordered = all(score[x] > score[p] for p, h in self.halves.items() if p in own for x in h if len(x) > 1)
         # backwards, so that a match ending at a place is a piece starting there
         self.automaton = ahocorasick.Automaton()
         for p in own:
@@ -95,8 +89,6 @@ class Codec:
             _, i, j, both = heapq.heappop(heap)
             if parts[i] is None or after[i] != j or j >= len(parts) or parts[j] is None or parts[i] + parts[j] != both:
                 continue
-            if i == 0 and after[j] == len(parts):
-                self.halves[both] = parts[i], parts[j]
             parts[i], parts[j] = both, None
             after[i] = after[j]
             if after[i] < len(parts):
@@ -112,32 +104,9 @@ class Codec:
         if found is None:
             if len(self.pair) > 1_000_000:
                 self.pair.clear()
-            found = self.pair[a, b] = self._undo(a, b) if self.ordered else self._merge(a + b) == [a, b]
+            found = self.pair[a, b] = self._merge(a + b) == [a, b]
         return found
 
-    def _undo(self, a: str, b: str) -> bool:
-        """fits() by undoing the latest merges on either side of the boundary, where merges happen in the order of scores.
-
-        The pair fails if at some moment the pieces next to the boundary merge before the merge that came instead.
-        """
-        score, halves = self.score, self.halves
-        last = None  # score of the merge that was undone, and whether it lies left of the boundary
-        left = False
-        while True:
-            s = score.get(a + b)
-            if s is not None and (last is None or s > last or s == last and not left):
-                return False
-            in_a, in_b = len(a) > 1, len(b) > 1
-            if not in_a and not in_b:
-                return True
-            left = in_a and (not in_b or score[a] < score[b])
-            if left:
-                last = score[a]
-                a = halves[a][1]
-            else:
-                last = score[b]
-                b = halves[b][0]
-
     def _search(self, text: str) -> list[str]:
         """Pieces of a stretch in which every character is a piece."""
         n = len(text)

@@ -171,7 +171,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFr
 def learn_beginnings(rows: DataFrame, least: int = 5, purity: float = 0.97, most: int = 400) -> tuple[str, ...]:
     """Beginnings of words that stand in toxic rows and hardly in others: the shortest that are pure enough.
 
-    Counts cover all rows given; rows with equal texts count once.
+    Counts cover all rows given; copies of a text, near ones too, count about once, or the words of one much copied toxic
+    text would all be learned: of rows with one label that agree in one of three least word hashes one is counted.
     """
     word = re.compile(r"[^\W\d_]{4,}")
 
@@ -184,7 +185,10 @@ def learn_beginnings(rows: DataFrame, least: int = 5, purity: float = 0.97, most
                 (toxic if label == 1 else clean).update({w[:n] for w in words for n in BEGINNINGS if len(w) >= n})
         yield pd.DataFrame([(k, v, 0) for k, v in toxic.items()] + [(k, 0, v) for k, v in clean.items()], columns=["b", "t", "c"])
 
-    summed = rows.dropDuplicates(["text"]).mapInPandas(count, "b string, t long, c long").groupBy("b").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    for seed in range(3):
+        least_hash = F.array_min(F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w, seed=seed: F.xxhash64(F.lit(seed), w)))
+        rows = rows.groupBy(least_hash.alias("sketch"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    summed = rows.mapInPandas(count, "b string, t long, c long").groupBy("b").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     pure = summed.where((F.col("t") >= least) & (F.col("t") >= purity * (F.col("t") + F.col("c") + 0.0))).orderBy(F.desc("t"), "b").limit(most).collect()
     kept: list[str] = []
     for b in sorted((r["b"] for r in pure), key=lambda b: (len(b), b)):
