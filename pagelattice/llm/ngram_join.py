@@ -15,7 +15,8 @@ its pivots where distances are below 1:
    size for large regions, each by `join_region`: pivots, nearest-pivot regions, windows of nearest distance + 2 * 1/4, until
    a region is small or divides no further, and then by exact intersection counts.
 
-What is found is exact up to 64-bit hash collisions of shingles. Components come from the links; copies and stars are
+Joins that carry sets or shingles are merge joins at every size, so that a small run moves what a large one does in
+proportion. What is found is exact up to 64-bit hash collisions of shingles. Components come from the links; copies and stars are
 never expanded into pairs.
 
 Nulls and oddities: a null or wordless text has the empty set, links with nothing and is its own component; rows without an
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .url_filter import passes
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -282,7 +284,7 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     rows = sent.select("rep", "n", "k", "e", F.explode("sent").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
-        rows.join(often, "h")
+        rows.join(often.hint("merge"), "h")
         .groupBy("rep", "n", "k", "e")
         .agg(F.array_sort(F.collect_list(F.struct((F.col("h") >= LOW_SIGNED).alias("high"), F.when(F.col("h") < LOW_SIGNED, F.col("df")).otherwise(0).alias("df"), "h"))).alias("own"))
         .withColumn("keep", F.col("k") - (F.col("e") - F.size("own")))
@@ -292,20 +294,21 @@ def _prefixes(reps: DataFrame) -> DataFrame:
 
 
 def _with_sets(pairs: DataFrame, reps: DataFrame, on: str, name: str) -> DataFrame:
-    return pairs.join(reps.select(F.col("rep").alias(on), F.col("shingles").alias(name)), on)
+    return pairs.join(reps.select(F.col("rep").alias(on), F.col("shingles").alias(name)).hint("merge"), on)
 
 
 def links(reps: DataFrame) -> DataFrame:
     """(u, v): links between sets (rep, n, shingles) that connect all that is connected."""
-    prefixes = shared.cut(_prefixes(reps), "prefixes")
+    prefixes = shared.cut(_prefixes(reps), "prefixes", free=True)
     pivots = prefixes.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    met = prefixes.join(pivots, "h").where("rep <> p.rep").select("rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")).distinct()
+    met = prefixes.join(pivots.hint("merge"), "h").where("rep <> p.rep").select("rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")).distinct()
     inter = F.size(F.array_intersect("x", "y")).cast("long")
     distances = shared.cut(
         _with_sets(_with_sets(met, reps, "rep", "x"), reps, "pivot", "y")
         .withColumn("inter", inter)
         .select("rep", "pivot", linked(F.col("inter"), F.col("n"), F.col("pn")).alias("near"), (1 - F.col("inter") / (F.col("n") + F.col("pn") - F.col("inter"))).alias("d")),
         "distances",
+        free=True,
     )
     star = distances.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
     regions = (
@@ -343,13 +346,19 @@ def links(reps: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of the documents (doc_id, text) that have a link; component_id is the smallest id reachable."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    left = rows.join(without_partner(rows), "doc_id", "left_anti")
-    sets = shared.cut(full_sets(left), "sets")
-    shared.release(docs.sparkSession)
-    keyed = sets.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = shared.cut(sets.join(keyed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "shingles"), "reps")
+    # no name refers to a plan with large shuffles once its result is written, so that their files can go
+    ids = rows.select("doc_id").distinct()
+    left = shared.cut(ids.join(without_partner(rows), "doc_id", "left_anti"), "left", free=True)
+    # a filter of bounded size keeps most texts out of the exact join; an inner join, since Spark would move a semi join below it
+    maybe = passes(rows, left.select(F.col("doc_id").alias("key")), left.count(), "doc_id")
+    sets = shared.cut(full_sets(maybe.join(left.hint("merge"), "doc_id")), "sets", free=True)
+    del maybe
+    keyed = shared.cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep")), "keys")
+    members = shared.cut(sets.select("doc_id", "key").join(keyed, "key").select("doc_id", "rep").distinct(), "members")
+    own = keyed.select(F.col("rep").alias("doc_id")).distinct()
+    reps = shared.cut(sets.join(own.hint("merge"), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("n", "key").alias("n"), F.min_by("shingles", "key").alias("shingles")), "reps", free=True)
+    shared.forget(sets)
     groups = shared.components(links(reps))
-    members = sets.select("doc_id", "key").join(keyed, "key").select("doc_id", "rep").distinct()
     return members.join(groups, members["rep"] == groups["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 

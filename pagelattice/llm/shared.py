@@ -30,12 +30,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pagelattice/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation of what is above."""
+def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation of what is above.
+
+    free: let go of shuffle files behind it at once.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    if free:
+        del df
+        release(out.sparkSession)
     return out
 
 

@@ -57,6 +57,16 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
     )
 
 
+def passes(rows: DataFrame, keys: DataFrame, n_keys: int, column: str) -> DataFrame:
+    """The rows whose column is among keys (key), and a few more: what a filter of bounded size lets pass."""
+    blocks = blocks_for(n_keys)
+    own = rows.columns
+    tried = rows.withColumn("_block", _block(F.col(column), blocks)).join(F.broadcast(bloom(keys, blocks)), F.col("_block") == F.col("block"))
+    for i in range(4):
+        tried = tried.where(F.col(f"w{i}").bitwiseAND(_bit(F.col(column), i)) != 0)
+    return tried.select(*own)
+
+
 def blocks_for(n_keys: int) -> int:
     """Blocks of 256 bits for so many keys; capped, so that the filter keeps its size bound and only gets less selective."""
     return max(1, min(MOST_BLOCKS, -(-n_keys * BITS_PER_KEY // 256)))
@@ -69,9 +79,7 @@ def judge(urls: DataFrame, listed: DataFrame, default: str = "allow") -> DataFra
     """
     keys = listed.select(F.concat(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("n"), "verdict")
     facts = keys.agg(F.count("*").alias("keys"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
-    blocks = blocks_for(facts["keys"])
     exact = keys.groupBy("key").agg(F.min("verdict").alias("verdict"))
-    filt = F.broadcast(bloom(keys, blocks))
 
     seen = urls.select("url").distinct().withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     labels = F.split("host", r"\.", -1)
@@ -82,13 +90,9 @@ def judge(urls: DataFrame, listed: DataFrame, default: str = "allow") -> DataFra
         seen.select("url", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
         .select("url", F.explode("prefixes").alias("prefix"), "suffix")
         .select("url", F.concat("suffix", "prefix").alias("key"))
-        .withColumn("block", _block(F.col("key"), blocks))
     )
-    possible = tried.join(filt, "block")
-    for i in range(4):
-        possible = possible.where(F.col(f"w{i}").bitwiseAND(_bit(F.col("key"), i)) != 0)
     found = (
-        possible.select("url", "key")
+        passes(tried, keys, facts["keys"], "key")
         .join(exact, "key")
         .groupBy("url")
         .agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("best"))
