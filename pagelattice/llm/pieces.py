@@ -194,7 +194,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_texts(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, model: str | None = None, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: array<int>) of rows (doc_id, text)."""
     path = model or default_model()
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -218,6 +218,8 @@ def encode_texts(docs: DataFrame, model: str | None = None, with_ids: bool = Fal
             if with_ids:
                 columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        if forget:  # the worker goes on to other work
+            own.known, own.older = {}, {}
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -229,4 +231,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, its last: the documents as ids."""
-    return encode_texts(docs, with_ids=True)
+    return encode_texts(docs, with_ids=True, forget=True)
