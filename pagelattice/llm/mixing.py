@@ -1,9 +1,11 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 A schedule of slots is drawn from the van der Corput sequence: slot k stands at the bit-reversed fraction of k, which
-the cumulative target weights map to a source. The r-th slot of a source takes the r-th of the source's blocks, which
-cut its shuffled documents into runs of equally many words; after the last block the source begins again, at most
-MOST_EPOCHS times. Ranks and running sums are two-level (sums of chunks, then rows within a chunk), so a source that
+the cumulative slots due to the sources map to a source. The r-th slot of a source takes the r-th of the source's blocks,
+which cut its shuffled documents into runs of equally many words; after the last block the source begins again, at most
+MOST_EPOCHS times. The words of a block are chosen for each source by its target, so that a small source beside large
+ones has slots enough too; a source whose target is short of FEW blocks of the least size has blocks of one word, and as
+many slots as words in its target. Ranks and running sums are two-level (sums of chunks, then rows within a chunk), so a source that
 holds a third of all rows is still worked on by many tasks.
 
 Nulls and oddities: a null text has no words and is taken 0 times; documents without a source are one source, last in
@@ -26,6 +28,8 @@ MOST_EPOCHS = 2
 #: Words in a block: at most so many, and few enough that the schedule has about LEAST_SLOTS slots.
 BLOCK_WORDS = 4096
 LEAST_SLOTS = 50_000
+#: The least such block, slots a source has unless its blocks are already that small, and fewest slots it may have then.
+SMALL_BLOCK, SOURCE_SLOTS, FEW = 16, 4096, 128
 #: Bits of a slot number that are reversed, and cells in which cumulative weights are looked up.
 BITS = 48
 CELLS = 4096
@@ -72,15 +76,23 @@ def _chunk_rows(n: int) -> int:
     return max(500, math.isqrt(max(n, 1)))
 
 
-def schedule(sources: DataFrame, slots: int, block_words: int) -> DataFrame:
-    """(sid, block, times): how often the slots take each block."""
+def with_blocks(sources: DataFrame, block_words: int) -> DataFrame:
+    """targets() with the words of a source's block, at most block_words, its blocks and the slots due to it."""
+    fine = F.greatest(F.lit(min(SMALL_BLOCK, block_words)), F.floor(F.col("target") / SOURCE_SLOTS))
+    block = F.when(F.col("target") < FEW * SMALL_BLOCK, 1).otherwise(F.least(F.lit(block_words), fine)).cast("long")
+    return sources.withColumn("block_words", block).withColumns(
+        {"blocks": F.ceil(F.col("source_size") / F.col("block_words")), "due": F.col("target") / F.col("block_words")}
+    )
+
+
+def schedule(sources: DataFrame, slots: int) -> DataFrame:
+    """(sid, block, times): how often the slots take each block, of with_blocks()."""
     whole = Window.orderBy("sid")
     bounds = (
-        sources.withColumn("all", F.sum("target").over(Window.partitionBy(F.lit(0))))
-        .withColumn("hi", F.sum("target").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
-        .where("target > 0")
-        .select("sid", ((F.col("hi") - F.col("target")) / F.col("all")).alias("lo"), (F.col("hi") / F.col("all")).alias("hi"),
-                F.ceil(F.col("source_size") / block_words).alias("blocks"))
+        sources.withColumn("all", F.sum("due").over(Window.partitionBy(F.lit(0))))
+        .withColumn("hi", F.sum("due").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+        .where("due > 0")
+        .select("sid", ((F.col("hi") - F.col("due")) / F.col("all")).alias("lo"), (F.col("hi") / F.col("all")).alias("hi"), "blocks")
         .withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
     )
     chunk = _chunk_rows(slots)
@@ -97,9 +109,19 @@ def schedule(sources: DataFrame, slots: int, block_words: int) -> DataFrame:
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n")).select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = drawn.withColumn("i", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("k")) - 1).join(base, ["sid", "chunk"])
+    # the schedule gives a source its slots but for a few; where a slot is one word, they are made up to the target
+    words = sources.where("block_words = 1").select("sid", "blocks", F.round("due").cast("long").alias("most"))
+    drawn_words = ranked.groupBy("sid").agg(F.count("*").alias("n"))
+    missing = (
+        words.join(drawn_words, "sid", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))
+        .where("n < most")
+        .select("sid", "blocks", "most", F.explode(F.sequence(F.col("n"), F.col("most") - 1)).alias("rank"))
+    )
+    kept = ranked.join(F.broadcast(words.select("sid", "most")), "sid", "left").select("sid", "blocks", "most", (F.col("base") + F.col("i")).alias("rank"))
     return (
-        ranked.withColumn("rank", F.col("base") + F.col("i"))
-        .where(F.col("rank") < MOST_EPOCHS * F.col("blocks"))
+        kept.unionByName(missing)
+        .where(F.col("rank") < F.coalesce("most", MOST_EPOCHS * F.col("blocks")))
         .groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block"))
         .agg(F.count("*").alias("times"))
     )
@@ -110,9 +132,9 @@ def mix(docs: DataFrame, block_words: int | None = None, seed: int = 0) -> DataF
     rows = shared.cut(sized(docs, seed), "sizes")
     facts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     pool = math.ceil(SHARE * facts["words"])
-    block_words = block_words or max(16, min(BLOCK_WORDS, pool // LEAST_SLOTS))
-    slots = -(-pool // block_words)
-    sources = targets(rows)
+    block_words = block_words or max(SMALL_BLOCK, min(BLOCK_WORDS, pool // LEAST_SLOTS))
+    sources = shared.cut(with_blocks(targets(rows), block_words), "sources")
+    slots = math.ceil(round(sources.agg(F.sum("due")).first()[0] or 0, 6))
     buckets = max(1, facts["n"] // _chunk_rows(facts["n"]))
     own = rows.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     own = own.withColumn("b", F.least(F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * buckets), F.lit(buckets - 1)))
@@ -124,15 +146,15 @@ def mix(docs: DataFrame, block_words: int | None = None, seed: int = 0) -> DataF
         .withColumn("run", F.sum("size").over(inside))
         .join(base, ["sid", "b"])
         .withColumn("start", F.col("base") + F.col("run") - F.col("size"))
-        .select("doc_id", "source", "size", "source_size", "target", "sid", "start")
+        .select("doc_id", "source", "size", "source_size", "target", "sid", "start", "block_words")
     )
-    block = F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))
+    block = F.explode(F.sequence(F.floor(F.col("start") / F.col("block_words")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block_words"))))
     parts = placed.withColumn("block", block).withColumn(
         "words",
-        F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words),
+        F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words")) - F.greatest("start", F.col("block") * F.col("block_words")),
     )
     taken = (
-        parts.join(schedule(sources, slots, block_words), ["sid", "block"], "left")
+        parts.join(schedule(sources, slots), ["sid", "block"], "left")
         .groupBy("sid", "start", "doc_id", "source", "size", "source_size", "target")
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
         .drop("sid", "start")

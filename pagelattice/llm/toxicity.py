@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are mapped to classes (insult, threat, will, target, negation, report, quotation mark). Five small transducers
-read the classes of a clause side by side, as one composed machine: the insult and threat machines emit matches, the
+read the classes of a whole clause, from one stop mark to the next, side by side, as one composed machine: the insult and threat machines emit matches, the
 target machine says whether someone is meant, the negation and reported-speech machines whether a match stands in their
 scope. What is scored are the matched clauses by kind, not isolated words; a logistic sum over the kinds gives the score.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,9 +49,11 @@ PRIOR = {
 }
 BIAS = -2.2
 KINDS = tuple(PRIOR)
-#: Words before a match that negation reaches over, and words around it that are read.
-SCOPE, AROUND = 3, 12
+#: Words before a match that negation reaches over.
+SCOPE = 3
 BEGINNINGS = (4, 5, 6)
+#: Marks that end a clause.
+STOPS = ".!?;\n"
 
 
 class Machine:
@@ -82,7 +84,7 @@ REPORTED = Machine(
 COMPOSED = (INSULT, THREAT, TARGET, NEGATION, REPORTED)
 
 
-def read_clause(kinds: list[str]) -> Counter:
+def read_clause(kinds: Iterable[str]) -> Counter:
     """Runs the machines side by side over a clause's word classes; matches by kind."""
     states = [0] * len(COMPOSED)
     found: Counter = Counter()
@@ -116,7 +118,7 @@ class Grammar:
         self.hit = re.compile(rf"(?<![^\W\d_])(?:(?:{whole})(?![^\W\d_])" + (rf"|(?:{lead})[^\W\d_]*" if lead else "") + ")")
         self.lead = re.compile(lead) if lead else None
         self.word = re.compile(r"[^\W\d_]+")
-        self.stop = re.compile(r"[.!?;\n]")
+        self.stop = re.compile(f"[{re.escape(STOPS)}]")
 
     def __getstate__(self):
         return {"beginnings": self.beginnings, "weights": self.weights, "bias": self.bias}
@@ -134,15 +136,14 @@ class Grammar:
         """Matched clauses by kind, damped: many matches say little more than some."""
         low = text.lower()
         found: Counter = Counter()
-        done = -1
+        done = 0
         for m in self.hit.finditer(low):
             if m.start() < done:
                 continue
-            start = max((x.end() for x in self.stop.finditer(low, max(0, m.start() - 200), m.start())), default=max(0, m.start() - 200))
-            start = max(start, done, 0)
-            stop = self.stop.search(low, m.end(), m.end() + 200)
-            end = stop.start() if stop else min(len(low), m.end() + 200)
-            found += read_clause([self.kind(w) for w in self.word.findall(low, start, end)])
+            start = max(done, *(low.rfind(x, done, m.start()) + 1 for x in STOPS))
+            stop = self.stop.search(low, m.end())
+            end = stop.start() if stop else len(low)
+            found.update(read_clause(self.kind(w[0]) for w in self.word.finditer(low, start, end)))
             done = end
         return [math.log1p(found[k]) / math.log(2) for k in KINDS]
 

@@ -93,3 +93,13 @@ def test_odd_rows(spark):
     assert [r["taken"] for r in mixing.mix(df.where("doc_id IN (3, 4)")).collect()] == [0, 0]
     staged = mixing.stage(spark, df.where("doc_id = 2"), "")
     assert staged.columns == df.columns and {r["doc_id"] for r in staged.collect()} <= {2}
+
+
+def test_small_sources_beside_large_ones(spark):
+    sizes = {f"big{i:02}": 6_000_000 for i in range(20)} | {"small0": 5, "small1": 300, "small2": 1_500, "small3": 20_000}
+    rows = [(i * 10 + k, s, n // 10 if n >= 10 else n) for i, (s, n) in enumerate(sizes.items()) for k in range(10 if n >= 10 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int").select("doc_id", "source", F.repeat(F.lit("a "), F.col("n")).alias("text"))
+    per = mixing.mix(docs).groupBy("source", "source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(per) == 24
+    assert all(abs(r["taken"] - r["target"]) <= max(1, 0.01 * r["target"]) for r in per), per
+    assert all(r["taken"] <= 2 * r["source_size"] for r in per)

@@ -51,3 +51,16 @@ def test_odd_rows(spark):
     scores = [r["_score"] for r in toxicity.score(docs.withColumn("score", F.lit(1)), g).collect()]
     assert scores[0] == scores[1] < 0.2 and min(scores[2:]) >= toxicity.THRESHOLD
     assert toxicity.score(docs.limit(0), g).count() == 0
+
+
+def test_clauses_are_read_whole():
+    g = toxicity.Grammar()
+    at = lambda text: dict(zip(toxicity.KINDS, g.features(text), strict=True))
+    for n in (10, 150, 250, 5_000):
+        gap = "word, " * n
+        assert at(f"she said {gap} idiot. fine")["insult_reported"] == 1
+        assert at(f"you {gap} idiot")["insult_aimed"] == 1
+        assert at(f"fine. you. {gap} idiot")["insult"] == 1
+    for n in range(180, 230):
+        found = at("moron " + "x" * n + " I will kill you and " + "y" * 300 + " not an idiot")
+        assert found["threat"] == 1 and found["insult"] == 1 and found["insult_negated"] == 1
