@@ -1,12 +1,15 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Each pass gives a vector 64 random hyperplane bits and sorts all vectors by them, read as one word; near vectors share
-long prefixes and so stand close. Every vector is compared with the WINDOW vectors after it, in double precision; the
+Each pass gives a vector random hyperplane bits and puts together the vectors whose bits are equal; all vectors of such a
+run are compared, however long it is, in double precision and in blocks of bounded size that different tasks compare. The
 verified pairs of all passes are united. Equal vectors are one vector with a multiplicity throughout.
 
-A window can't hold every partner of a dense group, so links are counted in a second step, exactly: all pairs within a
-component, in blocks of bounded size that different tasks compare. A component is found whole as soon as the passes
-connect it; only a link that would join two components and that no pass brought into a window is missed.
+Bits and passes follow the number of vectors: there are so many bits that a run of unrelated vectors holds about `window`,
+and so many passes that a pair at the least cosine shares no run with a chance of MISS at most, whatever lies around it. A
+dense group makes long runs, which cost comparisons but no links. Up to `window` vectors are all compared with each other.
+
+Links are counted in a second step, exactly: all pairs within a component. Only a link that would join two components and
+whose ends shared no run in any pass is missed.
 
 Nulls and oddities: a vector that is null, empty, zero or holds a null or non-finite component links with nothing, not
 even with its copies; vectors of different length don't link; rows without an id link with nothing and belong to no
@@ -16,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +30,25 @@ from pyspark.sql import functions as F
 from . import shared
 
 LEAST_COSINE = 0.95
-PASSES, WINDOW, BITS = 24, 32, 64
-#: Vectors in a block of a component whose links are counted.
+#: Unrelated vectors in a run, about, and the chance at which a pair at the least cosine may share no run.
+WINDOW, MISS = 32, 1e-6
+#: Vectors in a block of a run or component.
 BLOCK = 512
+#: Rows that the passes of one round deal out, and rows of runs that go to one call.
+ROUND_ROWS, BIN_ROWS = 2_000_000, 4096
 SEED = 20_011
 
 
-def planes(dim: int, passes: int, seed: int = SEED) -> np.ndarray:
-    """The hyperplanes of all passes for vectors of one length; the same wherever they are drawn."""
-    return np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
+def planes(dim: int, number: int, bits: int, seed: int = SEED) -> np.ndarray:
+    """The hyperplanes of a pass for vectors of one length; the same wherever they are drawn."""
+    return np.random.default_rng([seed, dim, number]).standard_normal((dim, bits))
+
+
+def plan(n: int, window: int, least: float) -> tuple[int, int]:
+    """Bits of a pass and passes for n vectors."""
+    bits = min(62, max(0, math.ceil(math.log2(max(n, 1) / window))))
+    shared_run = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return bits, 1 if shared_run == 1 else math.ceil(math.log(MISS) / math.log1p(-shared_run))
 
 
 def unit(column) -> np.ndarray:
@@ -50,73 +64,97 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(good & F.col("vec_id").isNotNull()).groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
 
 
-def pass_edges(reps: DataFrame, passes: int, window: int, least: float) -> DataFrame:
-    """(u, v): verified pairs that connect what the windows of all passes connect."""
+def in_blocks(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """rows of groups of two or more, once for each pair of blocks they are compared in: with columns b, lo, hi, large, bin.
+
+    n is about the number of rows; small groups share a bin, so that there aren't more groups than work.
+    """
+    bins = max(16, n // BIN_ROWS)
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    return (
+        rows.join(sizes, key)
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("lo", F.least("b", "other"))
+        .withColumn("hi", F.greatest("b", "other"))
+        .withColumn("large", F.col("blocks") > 1)
+        .withColumn("bin", F.when(F.col("large"), F.xxhash64(*key)).otherwise(F.pmod(F.xxhash64(*key), F.lit(bins))))
+        .drop("n", "blocks", "other")
+    )
+
+
+def pass_edges(reps: DataFrame, first: int, last: int, bits: int, n: int, least: float) -> DataFrame:
+    """(u, v): verified pairs that connect what the runs of passes first to last - 1 connect."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         drawn: dict[int, np.ndarray] = {}
+        count = last - first
         for batch in batches:
             for dim, part in batch.groupby(batch["vec"].map(len)):
                 for at in range(0, len(part), 2000):
                     own = part.iloc[at : at + 2000]
                     if dim not in drawn:
-                        drawn[dim] = planes(dim, passes)
-                    bits = (unit(own["vec"]) @ drawn[dim]) > 0
-                    words = np.packbits(bits.reshape(len(own), passes, BITS), axis=2).view(">i8")[:, :, 0].astype(np.int64)
+                        drawn[dim] = np.hstack([planes(dim, p, bits) for p in range(first, last)])
+                    signs = ((unit(own["vec"]) @ drawn[dim]) > 0).reshape(len(own), count, bits)
+                    words = signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
                     yield pd.DataFrame(
-                        {"dim": dim, "pass": np.tile(np.arange(passes), len(own)), "word": words.ravel(), "rep": np.repeat(own["rep"].to_numpy(), passes), "vec": np.repeat(own["vec"].to_numpy(), passes)}
+                        {"dim": dim, "pass": np.tile(np.arange(first, last), len(own)), "word": words.ravel(), "rep": np.repeat(own["rep"].to_numpy(), count), "vec": np.repeat(own["vec"].to_numpy(), count)}
                     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail: pd.DataFrame | None = None
-        for batch in batches:
-            fresh = 0
-            if tail is not None:
-                fresh = len(tail)
-                batch = pd.concat([tail, batch], ignore_index=True)
-            edges = []
-            kind = batch["dim"].to_numpy() * passes + batch["pass"].to_numpy()
-            cuts = np.flatnonzero(np.diff(kind)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                x, ids = unit(batch["vec"].iloc[lo:hi]), batch["rep"].to_numpy()[lo:hi]
-                parent = np.arange(hi - lo)
-                for k in range(1, min(window, hi - lo - 1) + 1):
-                    first = max(0, fresh - lo - k)  # pairs within the tail were compared before
-                    near = np.flatnonzero(np.einsum("ij,ij->i", x[first : len(x) - k], x[first + k :]) >= least) + first
-                    for i in near:
-                        a, b = _root(parent, i), _root(parent, i + k)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-                            edges.append((ids[i], ids[i + k]))
-            tail = batch.iloc[max(0, len(batch) - window) :]
-            yield pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby(["dim", "pass", "word"], sort=False):
+            if len(part) < 2:
+                continue
+            x, ids, b = unit(part["vec"]), part["rep"].to_numpy(), part["b"].to_numpy()
+            left, right = ids[b == part["lo"].iloc[0]], ids[b == part["hi"].iloc[0]]
+            near = x[b == part["lo"].iloc[0]] @ x[b == part["hi"].iloc[0]].T >= least
+            out.extend((left[i], right[j]) for i, j in _spanning(near))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     keyed = reps.mapInPandas(keys, "dim int, pass int, word long, rep long, vec array<float>")
-    parts = max(2, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(parts, "dim", "pass", "word", "rep").sortWithinPartitions("dim", "pass", "word", "rep")
-    return ordered.mapInPandas(compare, "u long, v long")
-
-
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+    runs = in_blocks(keyed, ["dim", "pass", "word"], n * (last - first))
+    return runs.groupBy("large", "bin", "lo", "hi").applyInPandas(compare, "u long, v long")
+
+
+def run_edges(reps: DataFrame, passes: int | None, window: int, least: float) -> DataFrame:
+    """(u, v) of all passes. As many passes as deal out about ROUND_ROWS rows are one round, whose shuffle files go with it."""
+    n = reps.count()
+    bits, needed = plan(n, window, least)
+    passes = passes or needed
+    step = min(passes, max(1, ROUND_ROWS // max(n, 1)))
+    edges = None
+    for first in range(0, passes, step):
+        found = shared.cut(pass_edges(reps, first, min(passes, first + step), bits, n, least), "near", free=True)
+        edges = found if edges is None else edges.unionByName(found)
+    return edges
+
+
+def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Cells of a boolean matrix that connect the rows and columns that its true cells connect, fewer than both together."""
+    found, done, fresh = [], np.zeros(len(near), bool), np.ones(near.shape[1], bool)
+    for start in np.flatnonzero(near.any(axis=1)):
+        queue = [] if done[start] else [start]
+        done[start] = True
+        while queue:
+            i = queue.pop()
+            columns = np.flatnonzero(near[i] & fresh)
+            if not len(columns):
+                continue
+            fresh[columns] = False
+            found.extend((i, j) for j in columns)
+            part = near[:, columns]
+            rows = np.flatnonzero(part.any(axis=1) & ~done)
+            done[rows] = True
+            found.extend(zip(rows, columns[part[rows].argmax(axis=1)], strict=True))
+            queue.extend(rows)
+    return found
 
 
 def count_links(members: DataFrame, least: float) -> DataFrame:
     """(rep, links) of members (component, rep, times, vec): links of each vector to other vectors of its component, with multiplicity."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    placed = (
-        members.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("b", "other"))
-        .withColumn("hi", F.greatest("b", "other"))
-        # small components share a group, so that there aren't more groups than work
-        .withColumn("bin", F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(4096))))
-    )
+    placed = in_blocks(members, ["component"], 4096 * BIN_ROWS)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -134,15 +172,14 @@ def count_links(members: DataFrame, least: float) -> DataFrame:
                 out.append((ids[right], near.T @ times[left]))
         return pd.DataFrame({"rep": np.concatenate([o[0] for o in out]), "links": np.concatenate([o[1] for o in out])})
 
-    groups = placed.select("component", "rep", "times", "vec", "b", "lo", "hi", "bin", (F.col("blocks") > 1).alias("large"))
-    return groups.groupBy("large", "bin", "lo", "hi").applyInPandas(pairs, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    return placed.groupBy("large", "bin", "lo", "hi").applyInPandas(pairs, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of rows (vec_id, vec: array<float>)."""
     rows = vectors.select("vec_id", F.col("vec").cast("array<float>").alias("vec"))
     reps = shared.cut(usable(rows), "vectors")
-    found = shared.components(pass_edges(reps, passes, window, least)).select(F.col("node").alias("rep"), "component")
+    found = shared.components(run_edges(reps, passes, window, least)).select(F.col("node").alias("rep"), "component")
     members = shared.cut(reps.join(found, "rep"), "members")
     links = count_links(members, least)
     whole = (

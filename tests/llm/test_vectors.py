@@ -45,3 +45,20 @@ def test_odd_rows(spark):
     assert vectors.near_duplicates(df.limit(0)).collect() == []
     again = vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id long, vec array<float>")).collect()
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in again) == [(0, 0, 0), (1, 1, 1), (1, 1, 1)]
+
+
+def test_pairs_in_hot_groups_are_found(spark):
+    """Isolated pairs at the least cosine within groups of mutual cosine 0.9, at several sizes, against brute force."""
+    for n in (1_000, 3_000):
+        r = np.random.default_rng(n)
+        unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+        centre = unit(r.standard_normal(64))
+        hot = unit(np.sqrt(0.9) * centre + np.sqrt(0.1) * unit(r.standard_normal((n, 64))))
+        twins = unit(hot[:150] + 0.31 * unit(r.standard_normal((150, 64))))
+        x = np.vstack([hot, twins]).astype(np.float32)
+        d = vectors.unit(x)
+        near = d @ d.T >= vectors.LEAST_COSINE
+        np.fill_diagonal(near, False)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<float>")
+        got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+        assert near.sum() >= 150 and got == dict(enumerate(near.sum(1).tolist()))
