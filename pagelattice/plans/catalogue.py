@@ -354,12 +354,13 @@ query("table_regroup", f"""{BOUNDS} SELECT table_id, n_rows AS rows, n_cols AS c
 
 
 def _pipes(get) -> DataFrame:
-    """Regions as pipe tables: a heading, sometimes a rule, and two rows of words."""
+    """Regions as pipe tables: a heading, sometimes a rule, and all further words in rows of three."""
     w = F.split("value", " ")
-    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
     row = lambda i: F.concat(F.lit("| "), at(i), F.lit(" |  "), at(i + 1), F.lit("\\|x | "), at(i + 2), F.lit(" |"))
     rule = F.when(F.col("page_id") % 2 == 0, F.lit("|---|---|---|")).otherwise(F.lit("  "))
-    return get("regions").select("page_id", "reading_order", F.array(row(0), rule, row(3), row(6)).alias("lines"))
+    rows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(2), F.floor((F.size(w) - 1) / 3).cast("int"))), lambda k: row(k * 3))
+    return get("regions").select("page_id", "reading_order", F.concat(F.array(row(F.lit(0)), rule), rows).alias("lines"))
 
 
 query("format_table")(lambda get: _pipes(get).select("page_id", "reading_order", tables.format_table("lines").alias("markdown")))

@@ -129,3 +129,16 @@ def test_repair_runs_out_of_blocks(spark):
     blocks = spark.createDataFrame([(1, "a", 5, "table"), (1, "b", 1, "table"), (1, "c", 2, "table")], "page_id int, block_id string, reading_order int, label string")
     got = [r["source_block_id"] for r in structure.repair_table_sources(nodes, blocks).orderBy("position").collect()]
     assert got == ["c", "a", None, "b"]
+
+
+def test_pipe_tables_hold_every_word(spark):
+    from pagelattice.plans import catalogue
+
+    values = [" ".join(f"w{i}" for i in range(n)) for n in (1, 2, 9, 10, 11, 40)] + [None, ""]
+    regions = spark.createDataFrame(list(enumerate(values)), "page_id long, value string").withColumn("reading_order", F.lit(0))
+    got = {r["page_id"]: r["lines"] for r in catalogue._pipes(lambda name: regions).collect()}
+    for k, value in enumerate(values):
+        words = (value or "").split()
+        rows = [x for i, x in enumerate(got[k]) if i != 1]
+        assert [c.removesuffix("\\|x").strip() for x in rows for c in x.replace("\\|x |", "|").strip("|").split("|") if c.strip() and c.strip() != "\\|x"] == words
+        assert len(rows) == max(3, -(-len(words) // 3))
