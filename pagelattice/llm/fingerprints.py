@@ -7,8 +7,8 @@ places: slot k takes, of the places the embedded text has, the one whose random
 about one length sample the same places. It keeps one byte a slot, a hash of the GRAM characters from the pointer on.
 The likeness of two fingerprints is the share of equal slots.
 
-`near_pairs` bands the slots, links each document with the smallest one of its bucket, and verifies the links by the
-edit distance of the texts.
+`near_pairs` bands the slots and verifies all pairs that share a bucket by the edit distance of the texts. No query calls
+it; its cost is quadratic in the size of a bucket.
 
 Nulls and oddities: a null text is an empty text, whose slots are all zero; of the documents with one id the order is
 that of their texts; rows without an id come last; the only document is its own next; an empty table gives an empty
@@ -209,10 +209,9 @@ def edit_distance_within(a: str, b: str, most: int) -> int | None:
 
 
 def near_pairs(docs: DataFrame, bands: int = 32, most_share: float = 0.1) -> DataFrame:
-    """(u, v, distance): verified links between documents (doc_id, text) and the smallest document of one of their buckets.
+    """(u, v, distance), u > v: verified links between all documents (doc_id, text) that share a bucket.
 
-    Bands are SLOTS / bands neighbouring slots; a document meets one partner a bucket, never all. distance is at most
-    most_share of the longer text.
+    Bands are SLOTS / bands neighbouring slots. distance is at most most_share of the longer text.
     """
     width = 2 * SLOTS // bands
 
@@ -229,8 +228,9 @@ def near_pairs(docs: DataFrame, bands: int = 32, most_share: float = 0.1) -> Dat
     banded = rows.select("doc_id", printed("text").alias("f")).select(
         "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substr("f", i * width + 1, F.lit(width)))).alias("band", "key")
     )
-    least = banded.groupBy("band", "key").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(least, ["band", "key"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
+    banded = shared.cut(banded, "bands")
+    others = banded.withColumnRenamed("doc_id", "v")
+    pairs = banded.join(others, ["band", "key"]).where("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct()
     a, b = rows.toDF("u", "a"), rows.toDF("v", "b")
     return pairs.join(a, "u").join(b, "v").withColumn("distance", distance("a", "b")).where("distance IS NOT NULL").select("u", "v", "distance")
 

@@ -69,3 +69,11 @@ def test_near_pairs(spark):
     got = {(r["u"], r["v"]): r["distance"] for r in op.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2, 1] == op.edit_distance_within(rows[1][1], rows[0][1], 50) and got[5, 1] == 0 and not any(3 in p for p in got)
     assert op.edit_distance_within("kitten", "sitting", 3) == 3 and op.edit_distance_within("kitten", "sitting", 2) is None and op.edit_distance_within("", "", 0) == 0
+
+
+def test_near_pairs_behind_a_false_minimum(spark):
+    text = "".join(f"word{i} and " for i in range(60))
+    rows = [(0, "#" * 20 + text[20:]), (1, text[:-20] + "#" * 20), (2, text), (3, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["u"], r["v"]) for r in op.near_pairs(df, bands=op.SLOTS, most_share=0.01).collect()}
+    assert got == {(3, 2)}
