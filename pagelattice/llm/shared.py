@@ -1,16 +1,20 @@
-"""What the corpus operators share: table reads, cut lineage, connected components."""
+"""What the corpus operators share: table reads, cut lineage, slices of Arrow batches, connected components."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Text bytes of an Arrow batch that are worked on at once; a longer text is worked on alone.
+SLICE_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,46 +22,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where it names none (local tests)."""
+    """The folder all executors share, as the session names it in spark.checkpoint.dir.
+
+    Only a local session may leave it unset: it gets a temporary folder, which the setting then names. On a cluster that
+    is an error, since executors would write where others can't read.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='pagelattice-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pagelattice/{name}-{uuid.uuid4().hex}"
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def cut(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation of what is above.
-
-    free: let go of shuffle files behind it at once.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what stands there goes when the application ends."""
+    path = f"{shared_dir(spark)}/pagelattice/{name}-{uuid.uuid4().hex}"
+    files, at = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind when they have ended."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation of what is above."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with without_shuffle_files(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
-    if free:
-        del df
-        release(out.sparkSession)
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a cut() that nothing reads any more."""
-    path = getattr(df, "cut_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def forget(*cuts: DataFrame) -> None:
+    """Delete the files behind cuts that nothing reads any more."""
+    for df in cuts:
+        files, at = _hadoop(df.sparkSession, df.cut_path)
+        files.delete(at, True)
+
+
+def slices(batches: Iterator, column: int) -> Iterator:
+    """Arrow batches in slices whose texts, in the column of this number, hold about SLICE_BYTES or are one text."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        at = size = 0
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if i > at and size + (n or 0) > SLICE_BYTES:
+                yield batch.slice(at, i - at)
+                at, size = i, 0
+            size += n or 0
+        yield batch.slice(at)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of waiting for its cleaner."""
-    gc.collect()
-    spark._jvm.System.gc()
+def private(name: str, *frames: DataFrame) -> str:
+    """A column name that starts like `name` and that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def lower_ascii(c: Column) -> Column:

@@ -126,7 +126,7 @@ def run_edges(reps: DataFrame, passes: int | None, window: int, least: float) ->
     step = min(passes, max(1, ROUND_ROWS // max(n, 1)))
     edges = None
     for first in range(0, passes, step):
-        found = shared.cut(pass_edges(reps, first, min(passes, first + step), bits, n, least), "near", free=True)
+        found = shared.cut(pass_edges(reps, first, min(passes, first + step), bits, n, least), "near")
         edges = found if edges is None else edges.unionByName(found)
     return edges
 
