@@ -9,17 +9,20 @@ on one step back. Each position fails at most once.
 No piece of such a model has a word-start mark inside or at its end unless it is made of marks alone, so texts fall
 apart at the places where marks begin; each part is encoded once a worker and remembered, within a bound.
 
-Nulls and oddities: a null text is an empty text and has no ids; ties of merge scores are settled from the left, as the
-library does; repeated rows give repeated results; an empty table gives an empty table; extra columns are ignored.
+Nulls and oddities: a null text is an empty text and has no ids; a very long text is encoded whole, in time about
+proportional to its length, with memory for its ids; ties of merge scores are settled from the left, as the library does;
+repeated rows give repeated results; an empty table gives an empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +33,9 @@ from . import shared
 #: The mark that stands for a space in pieces; fixed value.
 MARK = "▁"
 #: Parts a worker remembers since it last set them apart; it keeps those of before that once more. Longer parts are not remembered.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+REMEMBERED, REMEMBERED_CHARS = 50_000, 64
+#: Pairs of pieces whose check is remembered, before all are dropped.
+PAIRS = 150_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -102,7 +107,7 @@ class Codec:
         """Whether the two pieces, side by side, re-merge to themselves."""
         found = self.pair.get((a, b))
         if found is None:
-            if len(self.pair) > 1_000_000:
+            if len(self.pair) >= PAIRS:
                 self.pair.clear()
             found = self.pair[a, b] = self._merge(a + b) == [a, b]
         return found
@@ -194,8 +199,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_texts(docs: DataFrame, model: str | None = None, with_ids: bool = False, forget: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: array<int>) of rows (doc_id, text)."""
+def encode_texts(docs: DataFrame, model: str | None = None, with_ids: bool = False, release: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids: array<int>) of rows (doc_id, text).
+
+    release: let go of the codec and what it remembers when a task ends, for workers that go on to other work.
+    """
     path = model or default_model()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -204,7 +212,7 @@ def encode_texts(docs: DataFrame, model: str | None = None, with_ids: bool = Fal
         import pyarrow as pa
 
         own = codec(path)
-        for batch in batches:
+        for batch in shared.slices(batches, 1):
             n, hashes, decoded, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
                 size, joined, ids = own.encode_joined(text or "")
@@ -212,14 +220,17 @@ def encode_texts(docs: DataFrame, model: str | None = None, with_ids: bool = Fal
                 hashes.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    kept.append(ids)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes), pa.array(decoded)]
+                    kept.append(pa.array(ids, pa.int32()))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                offsets = pa.array([0, *accumulate(n)], pa.int32())
+                columns, names = [*columns, pa.ListArray.from_arrays(offsets, pa.concat_arrays([pa.array([], pa.int32()), *kept]))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        if forget:  # the worker goes on to other work
-            own.known, own.older = {}, {}
+        if release:
+            codec.cache_clear()
+            del own
+            gc.collect()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -230,5 +241,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, its last: the documents as ids."""
-    return encode_texts(docs, with_ids=True, forget=True)
+    """Pipeline stage, its last: doc_id, the ids and their digests, in place of the documents' columns; every row stays."""
+    return encode_texts(docs, with_ids=True, release=True)
