@@ -9,8 +9,9 @@ many slots as words in its target. Ranks and running sums are two-level (sums of
 holds a third of all rows is still worked on by many tasks.
 
 Nulls and oddities: a null text has no words and is taken 0 times; documents without a source are one source, last in
-order; a repeated row is another document; documents with equal shuffling keys are ordered by doc_id and size; an empty
-table gives an empty table. Extra columns are ignored, whatever their names.
+order; a repeated row is another document; documents with equal shuffling keys are ordered by doc_id and size; a very long
+text is a document of many blocks, whose words are counted whole; an empty table gives an empty table. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -168,12 +169,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, to the nearest whole number of times; the rest go."""
-    times = mix(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    times = times.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    """Pipeline stage: each document as often as the mix takes it, to the nearest whole number of times; the rest go.
+
+    Rows with one id and source are taken equally often. The columns stay as they are, whatever their names.
+    """
+    doc_id, source, n, copy = (shared.private(c, docs) for c in ("mix_id", "mix_source", "mix_times", "mix_copy"))
+    times = mix(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).where("size > 0")
+    times = times.select(F.col("doc_id").alias(doc_id), F.col("source").alias(source), F.round(F.col("taken") / F.col("size")).cast("int").alias(n)).where(F.col(n) > 0)
     return (
-        docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"]))
-        .where("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        docs.join(times, docs["doc_id"].eqNullSafe(times[doc_id]) & docs["source"].eqNullSafe(times[source]))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
         .select(*docs.columns)
     )
