@@ -1,27 +1,30 @@
 """N-gram Jaccard join in the metric space of shingle sets: exact links and components at a Jaccard distance of 1/4 or less.
 
-Pivots create regions, triangle-inequality windows bring in what lies near a region's border, and regions are joined
-recursively. Unrelated documents share no shingle, so almost every distance to almost every pivot is exactly 1 and a
-first division by freely chosen pivots would send every document to every region. The first division therefore takes
-its pivots where distances are below 1:
-
-1. A document more than a quarter of whose shingles stand in no other document has no partner. Counting this over the
-   lowest LOW of the hash range drops most documents and never one with a partner.
-2. Documents with equal sets become one. For the rest, shingles are ranked (low part of the range before the rest, rare
-   before frequent), and two linked documents share one of the first n // 4 + 1 of either. The smallest document under such
-   a shingle is its pivot; all documents under the pivot's shingles are the pivot's region, so linked documents meet in one.
-3. The distance of every document to its pivots is computed. Documents within 1/4 are linked to the pivot, and so
-   connected with one another. A region with others left is joined further: those others against all, in blocks of bounded
-   size for large regions, each by `join_region`: pivots, nearest-pivot regions, windows of nearest distance + 2 * 1/4, until
-   a region is small or divides no further, and then by exact intersection counts.
-
-Joins that carry sets or shingles are merge joins at every size, so that a small run moves what a large one does in
-proportion. What is found is exact up to 64-bit hash collisions of shingles. Components come from the links; copies and stars are
-never expanded into pairs.
-
-Nulls and oddities: a null or wordless text has the empty set, links with nothing and is its own component; rows without an
-id keep a null component; of rows that repeat an id each is returned with the id's component; an empty table gives an empty
-table. Extra columns are ignored.
+Pivots create Voronoi regions, triangle-inequality windows replicate what lies near a region's border, and regions are
+joined recursively, by exact counts. Almost every distance between documents is exactly 1, so pivots must lie close to
+what they divide; they are elected, not drawn:
+
+1. Filters. A document more than a quarter of whose shingles stand in no other document has no partner; counting this over
+   the lowest LOW_EIGHTHS of the hash range drops most documents and never one with a partner. Documents with equal sets become
+   one set. Shingles get one order (low part of the range before the rest, rare before frequent): two linked sets share one
+   of the first n // 4 + 1 of either, two sets within FAR one of the first 5/8.
+2. Pivots. Each open set elects, of all open sets it shares one of its first n // 4 + 1 shingles with, the one of least
+   random priority; those elected are pivots. All sets within FAR of a pivot are found and their distances counted. Sets
+   nearer than COVER to a pivot are covered; the others stay open and elect again, ROUNDS times at most. Sets that are still
+   open then are compared with all they may be linked to.
+3. Regions. A covered set is owned by its nearest pivot. A partner of it, at most 1/4 away, lies within COVER + 1/4 = FAR of
+   that pivot, and within its own nearest distance + 1/2: so far a region's window reaches, and all in the window are
+   repeated in the region. Sets within 1/4 of a pivot are linked to it; what these links connect needs no comparison.
+   The other members of a region are compared with all members, in blocks of bounded size that different tasks compare.
+   Within a task `join_region` goes on: pivots, nearest regions, windows of nearest distance + 1/2, until a region is small.
+
+What is found is exact up to 64-bit hash collisions of shingles and sets. Components come from the links; copies and stars
+are never expanded into pairs. A region costs the product of its members and those of them that no pivot's links connect.
+
+Nulls and oddities: a null or wordless text has the empty set, links with nothing and is its own component; a very long text
+is read whole and its set is one row; ties of priority and distance are settled by the set's hash; rows without an id
+keep a null component; of rows that repeat an id, with equal or different texts, each is returned with the id's component; an
+empty table gives an empty table. Extra columns are ignored; the stage keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -44,8 +47,16 @@ PERCENT = 75
 #: The part of the hash range, from below, in which shingles are counted first: eighths.
 LOW_EIGHTHS = 3
 LOW_BELOW = np.uint64(LOW_EIGHTHS << 61)
-#: Members of a region that are compared in one task, on either side; members at which a region isn't divided further.
-BLOCK, LEAF, PIVOTS = 512, 96, 8
+#: Greatest distance of a link, of a set to the pivot that covers it, and of what meets in a region.
+NEAR = 1 - PERCENT / 100
+COVER = 0.375
+FAR = COVER + NEAR
+#: Elections at most.
+ROUNDS = 3
+#: Shingles of a block of a region, and of small regions that go to one call.
+BLOCK_SHINGLES, BIN_SHINGLES = 150_000, 150_000
+#: Members at which a region isn't divided further within a task, and pivots it is divided by.
+LEAF, PIVOTS = 48, 8
 CHUNK_BYTES = 2 << 20
 
 
@@ -145,30 +156,20 @@ def _lists(values: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int64), pa.int64()))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(doc_id, n): the size of each document's set."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in shingle_sets(b.column(1).to_pylist())], pa.int64())], names=["doc_id", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long")
-
-
 def low_shingles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, h): the shingles of each document in the low part of the range."""
+    """(doc_id, n, low): the size of each document's set and its shingles in the low part of the range."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist())
-            low = [_signed(s[: np.searchsorted(s, LOW_BELOW)]) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(low)], names=["doc_id", "n", "low"])
+        for b in shared.slices(batches, 1):
+            sizes, low = [], []
+            for s in shingle_sets(b.column(1).to_pylist()):
+                sizes.append(len(s))
+                low.append(_signed(s[: np.searchsorted(s, LOW_BELOW)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), _lists(low)], names=["doc_id", "n", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, low array<long>").select("doc_id", "n", F.explode("low").alias("h"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, low array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -177,20 +178,27 @@ def full_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in shared.slices(batches, 1):
             sets = [_signed(s) for s in shingle_sets(b.column(1).to_pylist())]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
+            keys = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.string()), _lists(sets)], names=["doc_id", "n", "key", "shingles"]
+                [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64()), _lists(sets)], names=["doc_id", "n", "key", "shingles"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, key string, shingles array<long>").where("n > 0")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, key long, shingles array<long>").where("n > 0")
 
 
-def without_partner(docs: DataFrame) -> DataFrame:
-    """(doc_id): documents of which more than a quarter of the shingles stand, within the low part, in them alone."""
-    alone = low_shingles(docs).groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).where("c = 1")
-    return alone.groupBy("doc_id").agg(F.count("*").alias("u"), F.min("n").alias("n")).where(f"u > FLOOR(n * {100 - PERCENT} / 100)").select("doc_id")
+def with_chance(low: DataFrame) -> DataFrame:
+    """(doc_id): ids of low_shingles() without documents of which more than a quarter of the shingles stand in them alone.
+
+    An id that several rows have stays.
+    """
+    rows = low.where("doc_id IS NOT NULL")
+    shingles = rows.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("low").alias("h"))
+    alone = shingles.groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).where("c = 1")
+    gone = alone.groupBy("doc_id").agg(F.count("*").alias("u"), F.min("n").alias("n")).where(f"u > FLOOR(n * {100 - PERCENT} / 100)").select("doc_id", "u")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("times"))
+    return ids.join(gone, "doc_id", "left").where("u IS NULL OR times > 1").select("doc_id")
 
 
 def linked(inter, a, b):
@@ -239,138 +247,221 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def join_region(sets: list[np.ndarray], members: np.ndarray | None = None, found: _Union | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links among the sets connect; exact.
+def join_region(sets: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None, found: _Union | None = None, members: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links between sets of `left` and of `right` (masks; all sets, if not given) connect; exact.
 
-    Pivots divide a region by nearest distance; a member is repeated in each region whose pivot is at most its nearest
-    distance + 1/2 away, since a partner of it (at most 1/4 away) may be owned there. A region that hardly shrinks is compared
-    in blocks.
+    found: what is connected already. Pivots divide a region by nearest distance; a member is repeated in each region
+    whose pivot is at most its nearest distance + 1/2 away, since a partner of it (at most 1/4 away) may be owned there. A
+    region that hardly shrinks is compared as it is.
     """
-    members = np.arange(len(sets)) if members is None else members
+    every = np.ones(len(sets), dtype=bool)
+    left, right = every if left is None else left, every if right is None else right
+    members = np.flatnonzero(left | right) if members is None else members
     found = found or _Union(len(sets))
+    a, b = members[left[members]], members[right[members]]
+    if not len(a) or not len(b):
+        return []
     links: list[tuple[int, int]] = []
     size = np.array([len(s) for s in sets], dtype=np.float64)
-
-    def compare(left: np.ndarray, right: np.ndarray) -> None:
-        inter = intersections([sets[i] for i in left], [sets[i] for i in right])
-        near = linked(inter, size[left][:, None], size[right][None, :])
-        for i, j in zip(*np.nonzero(near), strict=True):
-            x, y = int(left[i]), int(right[j])
-            if x != y and found.join(x, y):
-                links.append((x, y))
-
     if len(members) > LEAF:
-        pivots = members[np.linspace(0, len(members) - 1, PIVOTS).astype(int)]
+        few = min(a, b, key=len)
+        pivots = few[np.unique(np.linspace(0, len(few) - 1, PIVOTS).astype(int))]
         inter = intersections([sets[i] for i in pivots], [sets[i] for i in members])
         d = 1 - inter / (size[pivots][:, None] + size[members][None, :] - inter)
         own = d.argmin(axis=0)
-        inside = d <= d.min(axis=0) + 2 * (1 - PERCENT / 100) + 1e-12
-        regions = [members[inside[k]] for k in range(PIVOTS) if (own == k).any()]
+        inside = d <= d.min(axis=0) + 2 * NEAR + 1e-12
+        regions = [members[inside[k]] for k in range(len(pivots)) if (own == k).any()]
         if max(len(r) for r in regions) < 0.9 * len(members) and sum(len(r) ** 2 for r in regions) < 0.9 * len(members) ** 2:
             for r in regions:
-                links += join_region(sets, r, found)
+                links += join_region(sets, left, right, found, r)
             return links
-    for i in range(0, len(members), BLOCK):
-        for j in range(i, len(members), BLOCK):
-            compare(members[i : i + BLOCK], members[j : j + BLOCK])
+    inter = intersections([sets[i] for i in a], [sets[i] for i in b])
+    for i, j in zip(*np.nonzero(linked(inter, size[a][:, None], size[b][None, :])), strict=True):
+        x, y = int(a[i]), int(b[j])
+        if x != y and found.join(x, y):
+            links.append((x, y))
     return links
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
-    """(h, rep, n): the first n // 4 + 1 shingles of each set in the global order, without those no other set has."""
-    first = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1
+def shingle_index(reps: DataFrame) -> DataFrame:
+    """(h, rep, n, first): the shingles of each set (rep, n, shingles) that one within FAR of it shares with it.
+
+    They come first in the global order, without those no other set has; first: whether a linked set shares one of these.
+    """
+    link = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1
+    far = F.col("n") - F.ceil(F.col("n") * (1 - FAR)).cast("int") + 1
     low = F.size(F.filter("shingles", lambda h: h < LOW_SIGNED))
-    sent = reps.select("rep", "n", first.alias("k"), F.slice("shingles", F.lit(1), F.greatest(low, first)).alias("sent")).withColumn("e", F.size("sent"))
-    rows = sent.select("rep", "n", "k", "e", F.explode("sent").alias("h"))
+    sent = reps.select("rep", "n", link.alias("k1"), far.alias("k2"), F.slice("shingles", F.lit(1), F.greatest(low, far)).alias("sent")).withColumn("e", F.size("sent"))
+    rows = sent.select("rep", "n", "k1", "k2", "e", F.explode("sent").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
         rows.join(often.hint("merge"), "h")
-        .groupBy("rep", "n", "k", "e")
+        .groupBy("rep", "n", "k1", "k2", "e")
         .agg(F.array_sort(F.collect_list(F.struct((F.col("h") >= LOW_SIGNED).alias("high"), F.when(F.col("h") < LOW_SIGNED, F.col("df")).otherwise(0).alias("df"), "h"))).alias("own"))
-        .withColumn("keep", F.col("k") - (F.col("e") - F.size("own")))
-        .where("keep > 0")
+        .withColumn("alone", F.col("e") - F.size("own"))
+        .where("k2 > alone")
     )
-    return ranked.select("rep", "n", F.explode(F.slice("own", F.lit(1), F.col("keep"))).alias("o")).select("o.h", "rep", "n")
-
-
-def _with_sets(pairs: DataFrame, reps: DataFrame, on: str, name: str) -> DataFrame:
-    return pairs.join(reps.select(F.col("rep").alias(on), F.col("shingles").alias(name)).hint("merge"), on)
-
-
-def links(reps: DataFrame) -> DataFrame:
-    """(u, v): links between sets (rep, n, shingles) that connect all that is connected."""
-    prefixes = shared.cut(_prefixes(reps), "prefixes", free=True)
-    pivots = prefixes.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    met = prefixes.join(pivots.hint("merge"), "h").where("rep <> p.rep").select("rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")).distinct()
-    inter = F.size(F.array_intersect("x", "y")).cast("long")
-    distances = shared.cut(
-        _with_sets(_with_sets(met, reps, "rep", "x"), reps, "pivot", "y")
-        .withColumn("inter", inter)
-        .select("rep", "pivot", linked(F.col("inter"), F.col("n"), F.col("pn")).alias("near"), (1 - F.col("inter") / (F.col("n") + F.col("pn") - F.col("inter"))).alias("d")),
-        "distances",
-        free=True,
-    )
-    star = distances.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
-    regions = (
-        distances.groupBy("pivot")
-        .agg(F.count_if(~F.col("near")).alias("far"), F.count_if("near").alias("close"))
-        .where("far > 0 AND far + close > 1")
-        .withColumn("fb", F.ceil(F.col("far") / BLOCK).cast("int"))
-        .withColumn("cb", F.ceil(F.col("close") / BLOCK).cast("int"))
-    )
-    placed = distances.join(regions, "pivot").withColumn("b", F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("cb")).otherwise(F.col("fb"))).cast("int"))
-    # tasks of a region: each block of far members with each block of close ones (numbered on from fb) and of far ones
-    everyone = F.sequence(F.lit(0), F.col("fb") + F.col("cb") - 1)
-    tasks = F.when(F.col("near"), F.transform(F.sequence(F.lit(0), F.col("fb") - 1), lambda i: F.struct(i.alias("lo"), (F.col("fb") + F.col("b")).alias("hi")))).otherwise(
-        F.transform(everyone, lambda j: F.struct(F.least("b", j).alias("lo"), F.greatest("b", j).alias("hi")))
-    )
-    dealt = placed.select("pivot", "rep", "near", "d", F.explode(tasks).alias("t")).select("pivot", "rep", "near", "d", "t.lo", "t.hi")
-    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("pivot", "lo", "hi"), F.lit(1 << 20)))
+    kept = ranked.select("rep", "n", (F.col("k1") - F.col("alone")).alias("k"), F.posexplode(F.slice("own", F.lit(1), F.col("k2") - F.col("alone"))).alias("at", "o"))
+    return kept.select("o.h", "rep", "n", (F.col("at") < F.col("k")).alias("first"))
+
+
+def elected(voters: DataFrame, turn: int) -> DataFrame:
+    """(rep): the sets that rows (h, rep) of an index elect."""
+    choice = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("priority"), "rep"))
+    least = voters.groupBy("h").agg(choice.alias("p"))
+    return voters.join(least.hint("merge"), "h").groupBy("rep").agg(F.min("p").alias("p")).select(F.col("p.rep").alias("rep")).distinct()
+
+
+def distances(index: DataFrame, pivots: DataFrame, reps: DataFrame, most: float) -> DataFrame:
+    """(rep, pivot, d, near): the sets within `most` of each pivot (rep); index: the rows that sets so near share one of."""
+    chosen = index.join(pivots, "rep", "left_semi").select("h", F.col("rep").alias("pivot"), F.col("n").alias("pn"))
+    least = 1 - most
+    # of two sets the one whose rows end first in the global order shares with the other no more than the common rows and what it has behind its rows
+    behind = F.greatest(F.ceil(F.col("n") * least), F.ceil(F.col("pn") * least)) - 1
+    common = index.select("h", "rep", "n").join(chosen.hint("merge"), "h").where(F.least("n", "pn") >= least * F.greatest("n", "pn")).groupBy("rep", "pivot", "n", "pn").agg(F.count("*").alias("c"))
+    met = common.where(F.col("c") + behind + 1e-6 >= least / (1 + least) * (F.col("n") + F.col("pn"))).drop("c")
+    side = reps.select("rep", "shingles")
+    both = met.join(side.toDF("rep", "x").hint("merge"), "rep").join(side.toDF("pivot", "y").hint("merge"), "pivot")
+    inter = both.withColumn("inter", F.size(F.array_intersect("x", "y")).cast("long"))
+    d = 1 - F.col("inter") / (F.col("n") + F.col("pn") - F.col("inter"))
+    return inter.select("rep", "pivot", d.alias("d"), linked(F.col("inter"), F.col("n"), F.col("pn")).alias("near")).where(F.col("d") <= most + 1e-12)
+
+
+def nearest(measured: DataFrame) -> DataFrame:
+    """(rep, own, m): the nearest pivot of each set and its distance."""
+    return measured.groupBy("rep").agg(F.min(F.struct("d", "pivot")).alias("b")).select("rep", F.col("b.pivot").alias("own"), F.col("b.d").alias("m"))
+
+
+def cover(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Distances (rep, pivot, d, near) of sets to the pivots of all elections; links (rep, pivot, d, near) of what stays open."""
+    index = shared.cut(shingle_index(reps), "index")
+    voters = index.select("h", "rep")
+    measured = None
+    for turn in range(ROUNDS):
+        found = shared.cut(distances(index, elected(voters, turn), reps, FAR), "distances")
+        measured = found if measured is None else measured.unionByName(found)
+        still = index.where("first").select("h", "rep").join(nearest(measured).where(F.col("m") <= COVER), "rep", "left_anti")
+        voters = shared.cut(still.select("h", "rep"), "open")
+        if voters.isEmpty():
+            return measured, None
+    return measured, shared.cut(distances(index.where("first"), voters.select("rep").distinct(), reps, NEAR), "distances")
+
+
+def regions(measured: DataFrame) -> DataFrame:
+    """(pivot, rep, owned): the sets of each pivot's region, its own and those of its window."""
+    placed = measured.join(nearest(measured).hint("merge"), "rep").withColumn("owned", (F.col("pivot") == F.col("own")) & (F.col("m") <= COVER))
+    return placed.where(F.col("owned") | (F.col("d") <= F.col("m") + 2 * NEAR + 1e-12)).select("pivot", "rep", "owned")
+
+
+#: Members of a region by class: owned by its pivot or of its window, loose (not yet connected with the pivot) or not.
+OWNED_LOOSE, OWNED, WINDOW_LOOSE, WINDOW = range(4)
+#: Classes that each class is compared with: an end of a pair is owned, and its ends aren't connected by the pivot.
+AGAINST = {OWNED_LOOSE: (OWNED_LOOSE, OWNED, WINDOW_LOOSE, WINDOW), OWNED: (OWNED_LOOSE, WINDOW_LOOSE), WINDOW_LOOSE: (OWNED_LOOSE, OWNED), WINDOW: (OWNED_LOOSE,)}
+#: Parts that a pivot's members are dealt out by, so that a hot one isn't one task's.
+SALTS = 16
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """One row a pivot, repeated for each salt."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def region_links(measured: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v): components of `known` (node, component) that links within regions connect."""
+    of = known.select(F.col("node").alias("rep"), "component")
+    members = regions(measured).join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(reps.select("rep", "n"), "rep")
+    members = shared.cut(members, "members")
+    heads = members.where("rep = pivot").select("pivot", F.col("component").alias("head"))
+    loose = F.col("component") != F.col("head")
+    cls = F.when(F.col("owned"), F.when(loose, OWNED_LOOSE).otherwise(OWNED)).otherwise(F.when(loose, WINDOW_LOOSE).otherwise(WINDOW))
+    placed = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted(heads), ["pivot", "salt"]).withColumn("cls", cls).drop("head", "owned")
+    held = [F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("n"))), F.lit(0)) for c in range(4)]
+    sizes = placed.groupBy("pivot").agg(*(x.alias(f"s{c}") for c, x in enumerate(held))).where("s0 > 0 OR s1 > 0 AND s2 > 0")
+    total = F.col("s0") + F.col("s1") + F.col("s2") + F.when(F.col("s0") > 0, F.col("s3")).otherwise(0)
+    sizes = sizes.withColumn("total", total).withColumn("blocks", F.array(*(F.ceil(F.col(f"s{c}") / BLOCK_SHINGLES).cast("int") for c in range(4)))).select("pivot", "total", "blocks")
+    sizes = shared.cut(sizes, "regions")
+    bins = max(64, (sizes.agg(F.sum("total")).first()[0] or 0) // BIN_SHINGLES)
+    # blocks are numbered through the classes; a task is a pair of blocks of classes to be compared, a small region one task
+    first = [F.aggregate(F.slice("blocks", F.lit(1), F.lit(c)), F.lit(0), lambda x, y: x + y) for c in range(4)]
+
+    def partners(c: int) -> Column:
+        of_class = [F.when(F.get("blocks", F.lit(k)) > 0, F.sequence(first[k], first[k] + F.get("blocks", F.lit(k)) - 1)).otherwise(F.array().cast("array<int>")) for k in AGAINST[c]]
+        mine = first[c] + F.pmod(F.xxhash64("rep"), F.get("blocks", F.lit(c))).cast("int")
+        return F.transform(F.concat(*of_class), lambda j: F.struct(F.least(mine, j).alias("lo"), F.greatest(mine, j).alias("hi"), mine.alias("mine")))
+
+    small = F.col("total") <= BLOCK_SHINGLES
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("mine")))
+    tasks = F.when(small & ((F.col("cls") < WINDOW) | (F.get("blocks", F.lit(0)) > 0)), whole).when(small, F.slice(whole, 1, 0))
+    for c in range(4):
+        tasks = tasks.when(F.col("cls") == c, partners(c))
+    dealt = placed.join(salted(sizes), ["pivot", "salt"]).select("pivot", "rep", "component", "cls", small.alias("small"), F.explode(tasks).alias("t")).select("pivot", "rep", "component", "cls", "small", "t.*")
+    dealt = dealt.withColumn("bin", F.when(F.col("small"), F.pmod(F.xxhash64("pivot"), F.lit(bins))).otherwise(F.xxhash64("pivot", "lo", "hi")))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.groupby(["pivot", "lo", "hi"]):
-            part = part.sort_values(["d", "rep"])
-            ids, near = part["rep"].to_numpy(), part["near"].to_numpy()
-            found = _Union(len(ids))
-            close = np.flatnonzero(near)
-            for i in close[1:]:
-                found.join(int(close[0]), int(i))
-            out += [(ids[i], ids[j]) for i, j in join_region([np.asarray(s) for s in part["shingles"]], None, found)]
+            part = part.sort_values("rep").reset_index(drop=True)
+            own, cls, sets = part["component"].to_numpy(), part["cls"].to_numpy(), [np.asarray(s) for s in part["shingles"]]
+            found = _Union(len(own))
+            for same in part.groupby("component").indices.values():
+                for i in same[1:]:
+                    found.join(int(same[0]), int(i))
+            if part["small"].iloc[0]:
+                sides = [(cls == OWNED_LOOSE, cls >= OWNED_LOOSE), (cls == OWNED, cls == WINDOW_LOOSE)]
+            else:
+                sides = [((part["mine"] == part["lo"]).to_numpy(), (part["mine"] == part["hi"]).to_numpy())]
+            for left, right in sides:
+                out += [(own[i], own[j]) for i, j in join_region(sets, left, right, found)]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    joined = _with_sets(dealt, reps, "rep", "shingles").groupBy("bin").applyInPandas(work, "u long, v long")
-    return star.unionByName(joined)
+    with_sets = dealt.join(reps.select("rep", "shingles").hint("merge"), "rep")
+    return with_sets.groupBy("small", "bin").applyInPandas(work, "u long, v long")
+
 
+def join(docs: DataFrame, low: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id) of the documents (doc_id, text) that may have a link; component_id is the smallest id reachable.
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of the documents (doc_id, text) that have a link; component_id is the smallest id reachable."""
+    low: low_shingles() of docs, if it is there already.
+    """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    # no name refers to a plan with large shuffles once its result is written, so that their files can go
-    ids = rows.select("doc_id").distinct()
-    left = shared.cut(ids.join(without_partner(rows), "doc_id", "left_anti"), "left", free=True)
+    own_low = low or shared.cut(low_shingles(rows), "low")
+    left = shared.cut(with_chance(own_low), "left")
+    if low is None:
+        shared.forget(own_low)
     # a filter of bounded size keeps most texts out of the exact join; an inner join, since Spark would move a semi join below it
     maybe = passes(rows, left.select(F.col("doc_id").alias("key")), left.count(), "doc_id")
-    sets = shared.cut(full_sets(maybe.join(left.hint("merge"), "doc_id")), "sets", free=True)
-    del maybe
-    keyed = shared.cut(sets.groupBy("key").agg(F.min("doc_id").alias("rep")), "keys")
-    members = shared.cut(sets.select("doc_id", "key").join(keyed, "key").select("doc_id", "rep").distinct(), "members")
-    own = keyed.select(F.col("rep").alias("doc_id")).distinct()
-    reps = shared.cut(sets.join(own.hint("merge"), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("n", "key").alias("n"), F.min_by("shingles", "key").alias("shingles")), "reps", free=True)
+    sets = shared.cut(full_sets(maybe.join(left.hint("merge"), "doc_id")), "sets")
+    members = shared.cut(sets.select("doc_id", "key").distinct(), "keys")
+    reps = shared.cut(sets.groupBy(F.col("key").alias("rep")).agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "reps")
     shared.forget(sets)
-    groups = shared.components(links(reps))
-    return members.join(groups, members["rep"] == groups["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    measured, more = cover(reps)
+    stars = (measured if more is None else measured.unionByName(more)).where("near AND rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    # an id with several sets connects them
+    ties = members.join(members.groupBy("doc_id").agg(F.min("key").alias("v"), F.count("*").alias("c")).where("c > 1"), "doc_id").select(F.col("key").alias("u"), "v")
+    known = shared.components(stars.unionByName(ties))
+    met = shared.components(region_links(measured, reps, known)).toDF("c", "last")
+    known = known.join(met, known["component"] == met["c"], "left").select("node", F.coalesce("last", "component").alias("component")).unionByName(met.select(F.col("c").alias("node"), F.col("last").alias("component")))
+    groups = shared.cut(known.groupBy("node").agg(F.min("component").alias("component")), "groups")
+    placed = members.join(groups, members["key"] == groups["node"], "left").select("doc_id", F.coalesce("component", "key").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every document's set size and component."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    groups = join(docs).withColumnRenamed("doc_id", "id")
-    return counted(docs).join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    low = shared.cut(low_shingles(docs), "low")
+    groups = join(docs, low).withColumnRenamed("doc_id", "id")
+    counted = shared.cut(low.select("doc_id", "n"), "counts")
+    shared.forget(low)
+    return counted.join(groups, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays, and one row of each id; rows without an id stay."""
+    """Pipeline stage: of each component the document with the smallest id stays.
+
+    Of rows that repeat an id and its text one stays; rows without an id stay.
+    """
     gone = join(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -31,7 +31,7 @@ def brute(rows):
 def run(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     groups = {r["doc_id"]: r["component_id"] for r in op.join(df).collect()}
-    return {r["doc_id"]: (r["n"], groups.get(r["doc_id"], r["doc_id"])) for r in op.counted(df).collect()}
+    return {r["doc_id"]: (r["n"], groups.get(r["doc_id"], r["doc_id"])) for r in op.low_shingles(df).collect()}
 
 
 def corpus(seed):
@@ -63,14 +63,46 @@ def test_is_brute_force(spark, seed):
     assert run(spark, rows) == brute(rows)
 
 
-def test_small_blocks_divide_regions(spark, monkeypatch):
-    monkeypatch.setattr(op, "BLOCK", 4)
+@pytest.mark.parametrize("shingles", [1, 300])
+def test_small_blocks_divide_regions(spark, monkeypatch, shingles):
+    """Regions of many blocks, one pair of blocks a task, and divided again within it."""
+    monkeypatch.setattr(op, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(op, "LEAF", 3)
     monkeypatch.setattr(op, "PIVOTS", 2)
     rows = corpus(3)
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_what_stays_open_is_compared_too(spark, monkeypatch, rounds):
+    monkeypatch.setattr(op, "ROUNDS", rounds + 1)
+    if not rounds:
+        monkeypatch.setattr(op, "COVER", 0.01)
+        monkeypatch.setattr(op, "FAR", 0.26)
+    rows = corpus(5)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_dense_group_is_divided_into_regions(spark):
+    """Copies with up to a third of their words changed: regions with windows, members that no pivot is near."""
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(3000)]
+    base = [r.choice(words) for _ in range(150)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(r.randint(0, 12)):
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = op.full_sets(df).selectExpr("key AS rep", "n", "shingles").dropDuplicates(["rep"])
+    measured, _ = op.cover(reps)
+    placed = op.regions(measured)
+    assert placed.where("owned").groupBy("rep").count().where("count > 1").count() == 0
+    assert placed.select("pivot").distinct().count() > 3 and placed.where("NOT owned").count() > 100
+    assert run(spark, rows) == brute(rows)
+
+
 def test_regions_recurse_exactly():
     r = np.random.default_rng(4)
     centres = [np.sort(r.choice(5000, 60, replace=False)) for _ in range(30)]
@@ -82,7 +114,7 @@ def test_regions_recurse_exactly():
             s.add(int(r.integers(0, 5000)))
         sets.append(np.array(sorted(s), dtype=np.int64))
     found = op._Union(len(sets))
-    op.join_region(sets, None, found)
+    op.join_region(sets, found=found)
     other = op._Union(len(sets))
     for i in range(len(sets)):
         for j in range(i):
@@ -101,6 +133,16 @@ def test_odd_rows(spark):
     assert op.join(df.limit(0)).collect() == []
 
 
+def test_rows_that_repeat_an_id(spark):
+    text, near, alone = (" ".join(f"{p}{i}" for i in range(80)) for p in ("a", "a", "b"))
+    near = near.replace("a79", "z")
+    rows = [(9, text), (9, alone), (4, near), (9, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in op.join(df).collect()} == {9: 4, 4: 4}
+    apart = spark.createDataFrame([(9, text), (9, alone), (9, text)], "doc_id long, text string")
+    assert sorted(r["text"] for r in op.stage(spark, apart, "").collect()) == [text, alone]
+
+
 def test_long_words_and_texts():
     long = "x" * 100_000 + " b c d e"
     s = op.shingle_sets([long, long.upper(), long[1:], "ä b c d e", "Ä b c d e"])
