@@ -6,7 +6,7 @@ parses the output into the turns it was made from.
 
 Nulls and oddities: a null text is an empty text, a null role an empty role; a null sequence number sorts first; equal
 sequence numbers are ordered by role and text, so reruns agree; repeated rows are separate events; an empty table gives
-an empty table. Extra columns of the input are ignored, whatever their names.
+an empty table; a very long text is one message, whole. Extra columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -128,19 +128,53 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("parts", F.slice(parts, F.lit(1), F.size(parts) - 1)).withColumn("turns", F.transform("parts", turn)).drop("parts")
 
 
+def learned(formatted: DataFrame) -> DataFrame:
+    """formatted plus loss: the texts under the mask loss_spans, cut out of the rendered string and unescaped, joined.
+
+    The string is cut as four bytes a code point, so that each cut costs its own length wherever it lies.
+    """
+    def cut_out(wide: Column) -> Column:
+        piece = lambda s: F.substr(wide, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int"))
+        return F.array_join(F.transform("loss_spans", lambda s: unescape(F.decode(piece(s), "UTF-32"))), "")
+
+    wide = F.array(F.encode("formatted", "UTF-32"))  # bound once, not once a span
+    return formatted.withColumn("loss", F.get(F.transform(wide, cut_out), F.lit(0)))
+
+
+def as_events(turns: DataFrame) -> DataFrame:
+    """The event log that leaves turns (conv_id, turn, role, text) behind.
+
+    A model's answer is regenerated: its first text is dropped, the second one streams in as two deltas. Other turns are
+    written as a draft and edited. Messages are numbered by turn, role and text, sequence numbers run within a message.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+
+    def event(seq: int, kind: str, role: Column, said: Column) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("event"), role.alias("role"), said.alias("text"))
+
+    nobody = F.lit(None).cast("string")
+    streamed = F.array(
+        event(0, "message", F.col("role"), F.lit("dropped")),
+        event(1, "regenerate", nobody, F.lit("")),
+        event(2, "delta", nobody, F.substr(text, F.lit(1), half)),
+        event(3, "delta", nobody, F.substr(text, half + 1)),
+    )
+    written = F.array(event(0, "message", F.col("role"), F.lit("draft")), event(1, "edit", nobody, text))
+    numbered = turns.withColumn("message_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    log = numbered.select("conv_id", "message_id", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(written)).alias("e"))
+    return log.select("conv_id", "message_id", "e.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: every conversation, and conversation -7, formatted and read back."""
-    own = "conv_id long, turn long, role string, text string"
+    """op8: every conversation, and conversation -7, as an event log, folded, formatted and read back."""
     extra = spark.range(1).select(
         F.inline(F.array(*(F.struct(F.lit(-7).cast("long"), F.lit(t).cast("long"), F.lit(r), F.lit("</s>[INST] ok [/INST]")) for t, r in enumerate(("user", "assistant")))))
     )
     rows = shared.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(extra.toDF(*(c.split()[0] for c in own.split(", "))))
-    numbered = rows.withColumn("message_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    events = numbered.select("conv_id", "message_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), "role", "text")
-    back = read_back(render(fold_events(events)))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return back.withColumn("loss", loss).select(
+    rows = rows.unionByName(extra.toDF("conv_id", "turn", "role", "text"))
+    back = learned(read_back(render(fold_events(as_events(rows)))))
+    return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -35,6 +35,26 @@ def test_mask_covers_the_learned_texts(spark):
     assert spans == ["a[\\INST]b😀", "", "c"]
 
 
+def test_loss_is_read_through_the_mask(spark):
+    rows = [(c, i, ("assistant", "user", "assistant")[i % 3], NASTY[(c * 7 + i) % len(NASTY)]) for c in range(6) for i in range(c * 9)]
+    df = spark.createDataFrame(rows, "conv_id long, message_id int, role string, text string")
+    shown = chat.render(df)
+    got = {r["conv_id"]: r["loss"] for r in chat.learned(shown).collect()}
+    assert got == {c: "".join(t for k, _, r, t in rows if k == c and r == "assistant") for c in range(1, 6)}
+    # what the mask leaves out isn't read, what it moves to is
+    moved = shown.withColumn("loss_spans", F.expr("array(named_struct('start', 1L, 'length', 2L))"))
+    assert all(r["loss"] == r["formatted"][1:3] for r in chat.learned(moved).collect())
+
+
+def test_log_of_turns(spark):
+    rows = [(1, 0, "user", "question"), (1, 1, "assistant", "an answer"), (1, 2, "assistant", None), (1, 3, None, "x"), (1, 4, "assistant", "😀")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.as_events(df)
+    assert {r["event"] for r in log.collect()} == {"message", "edit", "regenerate", "delta"}
+    got = [(r["role"], r["text"]) for r in sorted(chat.fold_events(log).collect(), key=lambda r: r["message_id"])]
+    assert got == [(r or "", t or "") for *_, r, t in rows]
+
+
 def test_conversation_of_the_contract(spark):
     r = chat.query(spark, SF).where("conv_id = -7").first()
     text = "</s>[INST] ok [/INST]"
