@@ -8,7 +8,7 @@ Files go to the shared folder under a name of their own for each task attempt; t
 that ended well, so a lost executor or a second attempt leaves at most a file that nothing refers to.
 
 Nulls and oddities: a null payload is an empty payload, a null URL a record without a target URI; control characters in
-a URL are percent-encoded in its header; rows without an id are responses; of rows that repeat one id and payload all
+a URL are percent-encoded in its header; a very long payload is one record of one frame; rows without an id are responses; of rows that repeat one id and payload all
 are responses if the id is the largest; an empty table gives no bundle and an empty index. Extra columns are ignored.
 """
 
@@ -33,6 +33,8 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Decompressed bytes after which a frame ends, and compressed bytes after which a bundle does.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 64 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: Frames, each of about FRAME_BYTES, that one task reads back.
+FRAMES_A_TASK = 64
 INDEX = "page_id long, path string, frame int, offset long, length long"
 
 
@@ -197,28 +199,26 @@ def read_bundles(index: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    # one row a frame travels; records are unfolded where the frame is read, in order
+    # one row a frame travels; records are unfolded where the frame is read, in order; FRAMES_A_TASK frames are a task's
     frames = index.groupBy("path", "frame").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("at"))
-    return frames.select("path", "frame", F.inline("at")).mapInPandas(read, got)
+    number_of = index.select("path", "frame").distinct().count()
+    tasks = max(1, min(number_of, max(index.sparkSession.sparkContext.defaultParallelism, -(-number_of // FRAMES_A_TASK))))
+    dealt = frames.repartition(tasks, "path", "frame").sortWithinPartitions("path", "frame")
+    return dealt.select("path", "frame", F.inline("at")).mapInPandas(read, got)
 
 
 def mark(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Rows (page_id, url, html) with payload, digest, record_type and refers_to: the largest id of equal payloads is kept."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= least_bytes
-    keepers = (
-        rows.where(large)
-        .groupBy("digest")
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-        .where("n > 1 AND keeper IS NOT NULL")
-        .select("digest", "keeper")
-    )
-    joined = rows.join(keepers, "digest", "left")
-    again = large & F.coalesce(F.col("page_id") != F.col("keeper"), F.lit(False))
+    # who revisits whom is found on ids and digests alone, so that copies of a common page don't meet with their payloads
+    ids = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
+    keepers = ids.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL").select("digest", "keeper")
+    revisits = ids.join(keepers, "digest").where("page_id <> keeper").distinct()
+    joined = rows.join(revisits.hint("merge"), ["page_id", "digest"], "left")
     return joined.select(
         "page_id", "url", "payload", "digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("keeper")).alias("refers_to"),
+        F.when(F.col("keeper").isNull(), "response").otherwise("revisit").alias("record_type"),
+        F.col("keeper").alias("refers_to"),
     )
 
 

@@ -45,6 +45,18 @@ def test_damaged_bundles_are_noticed():
         warc.Reader(io.BytesIO(b"x" * 50))
 
 
+def test_bundles_are_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAMES_A_TASK", 2)
+    rows = [(i, f"http://h/{i}", "".join(hashlib.sha256(f"{i}-{k}".encode()).hexdigest() for k in range(600))) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    index = warc.write_bundles(warc.mark(df), shared.new_path(spark, "t"))
+    assert index.select("path").distinct().count() >= 2 and index.select("path", "frame").distinct().count() >= 8
+    read = warc.read_bundles(index)
+    assert read.rdd.getNumPartitions() >= 4 and read.withColumn("p", F.spark_partition_id()).select("p").distinct().count() >= 3
+    want = {i: base64.b32encode(hashlib.sha1(html.encode()).digest()).decode() for i, _, html in rows}
+    assert {r["page_id"]: r["payload_digest"] for r in read.collect()} == want
+
+
 def test_odd_rows(spark):
     big = "é" * 300_000
     rows = [(1, "http://a/ b\r\nX: y", "same"), (7, None, "same"), (7, "u", "same"), (3, "u", None), (4, "u", ""), (None, "u", "same"), (9, "u", big)]
