@@ -7,10 +7,12 @@ places: slot k takes, of the places the embedded text has, the one whose random
 about one length sample the same places. It keeps one byte a slot, a hash of the GRAM characters from the pointer on.
 The likeness of two fingerprints is the share of equal slots.
 
-`near_pairs` bands the slots and verifies all pairs that share a bucket by the edit distance of the texts. No query calls
-it; its cost is quadratic in the size of a bucket.
+A band samples BAND_BITS of a fingerprint's bits; texts that agree in a whole band are candidates, and verification counts
+their edits exactly. `compare_with_next` bands and verifies the pairs that it makes (a text with its edited text, a text
+with the next one), `near_links` all documents: those that share a band meet in a bucket, which is compared in blocks of bounded size.
 
-Nulls and oddities: a null text is an empty text, whose slots are all zero; of the documents with one id the order is
+Nulls and oddities: a null text is an empty text, whose slots are all zero; a very long text is walked over whole, in time
+in proportion, and its edits are counted in time of the product of lengths over 64, only for candidates; of the documents with one id the order is
 that of their texts; rows without an id come last; the only document is its own next; an empty table gives an empty
 table. Extra columns are ignored.
 """
@@ -32,14 +34,20 @@ SLOTS, GRAM = 128, 4
 #: Steps after which the shared random bits repeat, and classes of characters that have bits of their own.
 PERIOD, CLASSES = 4096, 256
 SEED = 40_961
+#: Bands, the bits that each samples, and the edits that verification allows, as a share of the longer text.
+BANDS, BAND_BITS, MOST_SHARE = 64, 24, 0.05
+#: Walks that near_links embeds each text by: an edit may keep two texts out of step for long in one, hardly in all.
+WALKS = 4
+#: Characters of a block of a bucket.
+BLOCK_CHARS = 1_000_000
 #: Characters that are walked over at once, and the longest embedded text that priorities are drawn for.
 CHUNK_CHARS, LONGEST = 6_000_000, 1 << 40
 
 
-@lru_cache(maxsize=1)
-def walk_bits() -> np.ndarray:
-    """bits[t % PERIOD][class]; class 0 pads and never moves."""
-    bits = np.random.default_rng(SEED).integers(0, 2, (PERIOD, CLASSES), dtype=np.int64)
+@lru_cache(maxsize=None)
+def walk_bits(walk: int = 0) -> np.ndarray:
+    """bits[t % PERIOD][class] of one of several independent walks; class 0 pads and never moves."""
+    bits = np.random.default_rng(SEED if not walk else [SEED, walk]).integers(0, 2, (PERIOD, CLASSES), dtype=np.int64)
     bits[:, 0] = 0
     return bits
 
@@ -62,7 +70,7 @@ def records() -> list[np.ndarray]:
     return out
 
 
-def fingerprints(texts: list[str]) -> np.ndarray:
+def fingerprints(texts: list[str], walk: int = 0) -> np.ndarray:
     """One row of SLOTS bytes for each text; all texts walk in step."""
     out = np.zeros((len(texts), SLOTS), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -77,7 +85,7 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     for k in range(GRAM):
         cls[starts + n + k] = 0
     cls = cls.astype(np.uint8)
-    bits, places = walk_bits(), records()
+    bits, places = walk_bits(walk), records()
     steps = 2 * n
     times = np.unique(np.concatenate([p[p < steps[0]] for p in places]))
     seen = np.empty((len(times), len(order)), dtype=np.int64 if len(code) >= 1 << 31 else np.int32)
@@ -114,6 +122,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
+@lru_cache(maxsize=1)
+def sampled_bits() -> np.ndarray:
+    """The bits of a fingerprint that each band samples."""
+    return np.random.default_rng(SEED + 1).integers(0, 8 * SLOTS, (BANDS, BAND_BITS))
+
+
+def bands(prints: np.ndarray) -> np.ndarray:
+    """One row of BANDS longs for each fingerprint."""
+    packed = np.packbits(np.unpackbits(prints, axis=1)[:, sampled_bits()], axis=2).astype(np.int64)
+    return packed @ (1 << 8 * np.arange(packed.shape[2], dtype=np.int64))
+
+
 def edited(text: str, following: str) -> str:
     """The last third of the text replaced by as many first characters of the following text, or all it has."""
     k = len(text) // 3
@@ -140,12 +160,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     if None in before:
         sentinel = F.when(F.col("doc_id").isNull(), before[None]).otherwise(sentinel)
     both = placed.withColumn("at", F.explode(F.filter(F.array(F.struct("bucket", F.lit(0).alias("sentinel")), F.struct(sentinel.cast("int").alias("bucket"), F.lit(1).alias("sentinel"))), lambda s: s["bucket"].isNotNull())))
-    dealt = both.select("at.bucket", "at.sentinel", "doc_id", "text").repartition(parts, "bucket")
+    # the key that hash partitioning sends to partition i stands for bucket i, so that no task gets two and another none
+    sent = spark.range(64 * parts).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("i")).agg(F.min("k").alias("k")).orderBy("i").collect()
+    keys = F.array(*(F.lit(r["k"]) for r in sent))
+    dealt = both.select("at.bucket", "at.sentinel", "doc_id", "text").repartition(parts, F.get(keys, F.col("bucket") % len(sent)))
     return dealt.sortWithinPartitions("bucket", "sentinel", F.desc_nulls_last("doc_id"), "text")
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of rows (doc_id, text)."""
+    """Each document (doc_id, text) against its edited text and the next document.
+
+    (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, bands_edited, bands_next,
+    edits_edited, edits_next): bands are those that two fingerprints share, edits the verified number of edits between the texts, null
+    if they share no band or more than MOST_SHARE of the longer text is edited.
+    """
 
     def work(rows: list[tuple]) -> Iterator[pd.DataFrame]:
         # rows: (bucket, doc_id, text) in order, the last one only as the next of the one before it
@@ -157,6 +185,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         prints = fingerprints(texts + changed)
         own, new = prints[: len(texts)], prints[len(texts) :]
         at = np.array(keep)
+        banded, new_bands = bands(own), bands(new)
+        shared_edited, shared_next = (banded[at] == new_bands).sum(axis=1), (banded[at] == banded[at + 1]).sum(axis=1)
         yield pd.DataFrame(
             {
                 "doc_id": pd.array([rows[i][1] for i in keep], dtype="Int64"),
@@ -166,6 +196,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 "edited_fingerprint": [x.tobytes().hex() for x in new],
                 "near_edited": likeness(own[at], new),
                 "near_next": likeness(own[at], own[at + 1]),
+                "bands_edited": shared_edited,
+                "bands_next": shared_next,
+                "edits_edited": pd.array([verified(texts[i], t) if k else None for i, t, k in zip(keep, changed, shared_edited, strict=True)], dtype="Int64"),
+                "edits_next": pd.array([verified(texts[i], texts[i + 1]) if k else None for i, k in zip(keep, shared_next, strict=True)], dtype="Int64"),
             }
         )
 
@@ -185,54 +219,133 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         yield from work(rows)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema += ", bands_edited long, bands_next long, edits_edited long, edits_next long"
     return with_next(docs).mapInPandas(run, schema)
 
 
 def edit_distance_within(a: str, b: str, most: int) -> int | None:
-    """The edit distance if it is at most `most`, else None, by the band around the diagonal."""
+    """The edit distance if it is at most `most`, else None.
+
+    All cells of a column of the distance matrix are one integer's bits (differences to the cell above), so a column
+    costs a few operations on integers of the shorter text's length.
+    """
     if abs(len(a) - len(b)) > most:
         return None
-    row = {j: j for j in range(min(len(b), most) + 1)}
-    for i, c in enumerate(a, 1):
-        new = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            best = row.get(j, most + 1) + 1
-            if j:
-                best = min(best, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (c != b[j - 1]))
-            else:
-                best = i
-            new[j] = best
-        row = new
-        if min(row.values()) > most:
+    if a == b:
+        return 0
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = every, 0, len(a)
+    for j, c in enumerate(b, 1):
+        same = at.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | ~(diagonal | up) & every, up & diagonal
+        if right & last:
+            distance += 1
+        elif left & last:
+            distance -= 1
+        if distance - (len(b) - j) > most:
             return None
-    return row[len(b)] if row[len(b)] <= most else None
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down = left | ~(diagonal | right) & every, right & diagonal
+    return distance if distance <= most else None
 
 
-def near_pairs(docs: DataFrame, bands: int = 32, most_share: float = 0.1) -> DataFrame:
-    """(u, v, distance), u > v: verified links between all documents (doc_id, text) that share a bucket.
+def _common(a: str, b: str) -> int:
+    """The length of the common beginning."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
 
-    Bands are SLOTS / bands neighbouring slots. distance is at most most_share of the longer text.
-    """
-    width = 2 * SLOTS // bands
 
-    @F.pandas_udf("string")
-    def printed(texts: pd.Series) -> pd.Series:
-        own = fingerprints([t or "" for t in texts])
-        return pd.Series([x.tobytes().hex() for x in own], dtype=object)
+def _least_edits(a: str, b: str) -> int:
+    """A lower bound of the edit distance: an edit changes three triples of characters on either side at most."""
 
-    @F.pandas_udf("int")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance_within(x, y, int(most_share * max(len(x), len(y)))) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    def triples(t: str) -> np.ndarray:
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
 
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    banded = rows.select("doc_id", printed("text").alias("f")).select(
-        "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substr("f", i * width + 1, F.lit(width)))).alias("band", "key")
+    x, y = triples(a), triples(b)
+    kinds, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    n = np.bincount(at[: len(x)], minlength=len(kinds)) - np.bincount(at[len(x) :], minlength=len(kinds))
+    return -(-int(np.abs(n).sum()) // 6)
+
+
+def verified(a: str, b: str) -> int | None:
+    """The number of edits between two texts if it is within MOST_SHARE of the longer one."""
+    most = int(MOST_SHARE * max(len(a), len(b)))
+    if a == b or abs(len(a) - len(b)) > most:
+        return 0 if a == b else None
+    n = _common(a, b)
+    a, b = a[n:], b[n:]
+    if n := _common(a[::-1], b[::-1]):
+        a, b = a[:-n], b[:-n]
+    return None if _least_edits(a, b) > most else edit_distance_within(a, b, most)
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, rep): of the documents (doc_id, text) with one text the smallest id stands for all."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    least = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    return rows.join(least, "digest").select("doc_id", "rep").distinct()
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """(u, v, edits), u > v: verified links between texts of rows (doc_id, text), by the smallest id of each text (text_classes).
+
+    In every bucket the links connect all that all its links connect; pairs that are connected already are not verified.
+    Buckets with the same members are one. An id should have one text; of several the smallest counts.
+    """
+
+    def print_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = np.hstack([bands(fingerprints(list(batch["text"]), walk)) for walk in range(WALKS)])
+            count = own.shape[1]
+            yield pd.DataFrame({"rep": np.repeat(batch["rep"].to_numpy(), count), "n": np.repeat(batch["text"].map(len).to_numpy(), count), "band": np.tile(np.arange(count), len(own)), "key": own.ravel()})
+
+    rows = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    chosen = shared.cut(rows.join(text_classes(docs).where("doc_id = rep").select("rep"), "rep"), "texts")
+    banded = shared.cut(chosen.mapInPandas(print_bands, "rep long, n long, band int, key long"), "bands")
+    digest = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(38,0)")).alias(f"d{i}") for i in range(2)]
+    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("c"), F.sum("n").alias("chars"), *digest).where("c > 1")
+    unlike = buckets.groupBy("c", "d0", "d1").agg(F.min(F.struct("band", "key", "chars")).alias("b")).select("b.*")
+    sized = unlike.withColumn("blocks", F.ceil((F.col("chars") + 1) / BLOCK_CHARS).cast("int"))
+    dealt = (
+        banded.join(sized, ["band", "key"])
+        .withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "key", "rep", "b", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"))
     )
-    banded = shared.cut(banded, "bands")
-    others = banded.withColumnRenamed("doc_id", "v")
-    pairs = banded.join(others, ["band", "key"]).where("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct()
-    a, b = rows.toDF("u", "a"), rows.toDF("v", "b")
-    return pairs.join(a, "u").join(b, "v").withColumn("distance", distance("a", "b")).where("distance IS NOT NULL").select("u", "v", "distance")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        ids, texts, block = pdf["rep"].tolist(), pdf["text"].tolist(), pdf["b"].tolist()
+        group = list(range(len(ids)))
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        out = []
+        for i in range(len(ids)):
+            for j in range(i):
+                if group[i] != group[j] and (lo == hi or block[i] != block[j]):
+                    edits = verified(texts[i], texts[j])
+                    if edits is not None:
+                        out.append((ids[i], ids[j], edits))
+                        old = group[i]
+                        group = [group[j] if g == old else g for g in group]
+        return pd.DataFrame(out, columns=["u", "v", "edits"], dtype="int64")
+
+    whole = dealt.join(chosen.hint("merge"), "rep")
+    return whole.groupBy("band", "key", "lo", "hi").applyInPandas(verify, "u long, v long, edits long").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import numpy as np
 import pytest
@@ -63,17 +65,95 @@ def test_odd_rows(spark, monkeypatch, chunk):
     assert op.compare_with_next(df.where("doc_id = 9")).first()["near_next"] == 1.0
 
 
-def test_near_pairs(spark):
-    base = "the quick brown fox jumps over the lazy dog and runs away "
-    rows = [(1, base * 5), (2, base * 4 + base.replace("lazy", "sleepy")), (3, "something else entirely " * 9), (4, None), (5, base * 5)]
-    got = {(r["u"], r["v"]): r["distance"] for r in op.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[2, 1] == op.edit_distance_within(rows[1][1], rows[0][1], 50) and got[5, 1] == 0 and not any(3 in p for p in got)
-    assert op.edit_distance_within("kitten", "sitting", 3) == 3 and op.edit_distance_within("kitten", "sitting", 2) is None and op.edit_distance_within("", "", 0) == 0
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
 
 
-def test_near_pairs_behind_a_false_minimum(spark):
-    text = "".join(f"word{i} and " for i in range(60))
-    rows = [(0, "#" * 20 + text[20:]), (1, text[:-20] + "#" * 20), (2, text), (3, text)]
+def test_distance_is_the_table():
+    r = random.Random(6)
+    for _ in range(1500):
+        a, b = ("".join(r.choice("abé😀") for _ in range(r.randint(0, 90 if r.random() < 0.1 else 9))) for _ in range(2))
+        n = distance(a, b)
+        assert op.edit_distance_within(a, b, n) == n and op.edit_distance_within(a, b, 200) == n
+        assert n == 0 or op.edit_distance_within(a, b, n - 1) is None
+    for _ in range(1500):
+        a = "".join(r.choice("ab😀") for _ in range(r.randint(0, 60)))
+        b = edit(r, a, r.randint(0, 4))
+        n = distance(a, b)
+        assert op._least_edits(a, b) <= n and op.verified(a, b) == (n if n <= op.MOST_SHARE * max(len(a), len(b)) else None)
+    long = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    began = time.process_time()
+    assert op.edit_distance_within(long, long[:30_000] + "XY" + long[30_001:], 6_000) == 2 and time.process_time() - began < 20
+
+
+def edit(r, text, n):
+    chars = list(text)
+    for _ in range(n):
+        at = r.randrange(len(chars) + 1)
+        kind = r.randrange(3)
+        if kind == 0:
+            chars.insert(at, r.choice("qxz"))
+        elif at < len(chars):
+            chars[at : at + 1] = [] if kind == 1 else r.choice("qxz")
+    return "".join(chars)
+
+
+def test_near_links_are_brute_force(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 8)))
+    rows, pairs = [], set()
+    for i in range(60):
+        text = " ".join(word() for _ in range(r.randint(30, 200)))
+        rows.append((3 * i, text))
+        rows.append((3 * i + 1, edit(r, text, max(1, len(text) * r.randint(1, 3) // 100))))
+        if i % 5 == 0:
+            rows.append((3 * i + 2, text))
+        pairs.add((3 * i, 3 * i + 1))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["u"], r["v"]) for r in op.near_pairs(df, bands=op.SLOTS, most_share=0.01).collect()}
-    assert got == {(3, 2)}
+    got = {(x["v"], x["u"]): x["edits"] for x in op.near_links(df).collect()}
+    texts = dict(rows)
+    assert all(n == distance(texts[v], texts[u]) <= op.MOST_SHARE * max(len(texts[v]), len(texts[u])) for (v, u), n in got.items())
+    near = {(v, u) for v in texts for u in texts if v < u and u % 3 != 2 and v % 3 != 2 and op.verified(texts[v], texts[u]) is not None}
+    assert set(got) <= near and len(set(got) & pairs) >= 0.9 * len(pairs)
+    classes = {x["doc_id"]: x["rep"] for x in op.text_classes(df).collect()}
+    assert all(classes[i] == (i - 2 if i % 3 == 2 else i) for i in texts)
+
+
+def test_near_links_in_blocks_lose_none(spark, monkeypatch):
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefghijkl ") for _ in range(600))
+    rows = [(i, edit(r, text, 3)) for i in range(40)] + [(99, None), (100, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rep", "2 AS band")
+    linked = []
+    for size in (op.BLOCK_CHARS, 3_000):
+        monkeypatch.setattr(op, "BLOCK_CHARS", size)
+        up = {i: i for i, _ in rows}
+        for x in op.near_links(df).collect():
+            a, b = up[x["u"]], up[x["v"]]
+            up = {k: min(a, b) if v in (a, b) else v for k, v in up.items()}
+        linked.append(up)
+    assert linked[0] == linked[1] and sum(linked[0][i] == 0 for i in range(40)) >= 36
+    assert op.near_links(df.limit(0)).collect() == []
+
+
+def test_query_bands_and_verifies(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in shared.table(spark, SF, "documents").collect()}
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    seen = 0
+    for r in op.query(spark, SF).collect():
+        own, following = texts[r["doc_id"]], texts[after[r["doc_id"]]]
+        same = own == following
+        assert r["bands_next"] == op.BANDS if same else r["bands_next"] <= op.BANDS
+        assert r["edits_next"] == (op.verified(own, following) if r["bands_next"] else None)
+        assert r["edits_edited"] == (op.verified(own, op.edited(own, following)) if r["bands_edited"] else None)
+        seen += r["edits_next"] is not None or r["edits_edited"] is not None
+    rows = spark.createDataFrame([(3, texts[order[0]]), (2, texts[order[0]]), (1, texts[order[0]][:-1])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["bands_next"] > 0, r["edits_next"]) for r in op.compare_with_next(rows).collect()}
+    assert got[3] == (True, 0) and got[2] == (True, 1)
