@@ -8,15 +8,15 @@ what they divide; they are elected, not drawn:
    the lowest LOW_EIGHTHS of the hash range drops most documents and never one with a partner. Documents with equal sets become
    one set. Shingles get one order (low part of the range before the rest, rare before frequent): two linked sets share one
    of the first n // 4 + 1 of either, two sets within FAR one of the first 5/8.
-2. Pivots. Each open set elects, of all open sets it shares one of its first n // 4 + 1 shingles with, the one of least
-   random priority; those elected are pivots. All sets within FAR of a pivot are found and their distances counted. Sets
-   nearer than COVER to a pivot are covered; the others stay open and elect again, ROUNDS times at most. Sets that are still
-   open then are compared with all they may be linked to.
-3. Regions. A covered set is owned by its nearest pivot. A partner of it, at most 1/4 away, lies within COVER + 1/4 = FAR of
-   that pivot, and within its own nearest distance + 1/2: so far a region's window reaches, and all in the window are
-   repeated in the region. Sets within 1/4 of a pivot are linked to it; what these links connect needs no comparison.
-   The other members of a region are compared with all members, in blocks of bounded size that different tasks compare.
-   Within a task `join_region` goes on: pivots, nearest regions, windows of nearest distance + 1/2, until a region is small.
+2. Pivots. Each set elects, of all sets it shares a row of this index with, the one of least random priority; those elected
+   are pivots. All sets within FAR of a pivot are found and their distances counted.
+3. Regions. A set within COVER of a pivot is owned by its nearest one. A partner of it, at most 1/4 away, lies within COVER +
+   1/4 = FAR of that pivot, and within its own nearest distance + 1/2: so far a region's window reaches, and all in the
+   window are repeated in the region. Sets that no pivot covers get regions of their own: each shingle they might share with a
+   linked set has a pivot, the least set under it, and all sets under a pivot's shingles are its region.
+4. Joining. Sets within 1/4 of a pivot are linked to it; what these links connect needs no comparison. The others are
+   compared with all members of a region that owns one end of the pair, in blocks of bounded size that different tasks
+   compare. Within a task `join_region` goes on: pivots, nearest regions, windows of nearest distance + 1/2, until a region is small.
 
 What is found is exact up to 64-bit hash collisions of shingles and sets. Components come from the links; copies and stars
 are never expanded into pairs. A region costs the product of its members and those of them that no pivot's links connect.
@@ -49,10 +49,8 @@ LOW_EIGHTHS = 3
 LOW_BELOW = np.uint64(LOW_EIGHTHS << 61)
 #: Greatest distance of a link, of a set to the pivot that covers it, and of what meets in a region.
 NEAR = 1 - PERCENT / 100
-COVER = 0.375
+COVER = 0.25
 FAR = COVER + NEAR
-#: Elections at most.
-ROUNDS = 3
 #: Shingles of a block of a region, and of small regions that go to one call.
 BLOCK_SHINGLES, BIN_SHINGLES = 150_000, 150_000
 #: Members at which a region isn't divided further within a task, and pivots it is divided by.
@@ -305,80 +303,90 @@ def shingle_index(reps: DataFrame) -> DataFrame:
     return kept.select("o.h", "rep", "n", (F.col("at") < F.col("k")).alias("first"))
 
 
-def elected(voters: DataFrame, turn: int) -> DataFrame:
-    """(rep): the sets that rows (h, rep) of an index elect."""
-    choice = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("priority"), "rep"))
-    least = voters.groupBy("h").agg(choice.alias("p"))
+def elected(index: DataFrame) -> DataFrame:
+    """(rep): the sets that each set elects, of all it shares a row (h, rep) with; a dense group elects few."""
+    voters = index.select("h", "rep")
+    least = voters.groupBy("h").agg(F.min(F.struct(F.xxhash64("rep").alias("priority"), "rep")).alias("p"))
     return voters.join(least.hint("merge"), "h").groupBy("rep").agg(F.min("p").alias("p")).select(F.col("p.rep").alias("rep")).distinct()
 
 
-def distances(index: DataFrame, pivots: DataFrame, reps: DataFrame, most: float) -> DataFrame:
-    """(rep, pivot, d, near): the sets within `most` of each pivot (rep); index: the rows that sets so near share one of."""
+def measured(met: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, pivot, d, near) of pairs (rep, n, pivot, pn): their distances, by exact counts."""
+    side = reps.select("rep", "shingles")
+    both = met.join(side.toDF("rep", "x").hint("merge"), "rep").join(side.toDF("pivot", "y").hint("merge"), "pivot")
+    inter = both.withColumn("inter", F.size(F.array_intersect("x", "y")).cast("long"))
+    d = 1 - F.col("inter") / (F.col("n") + F.col("pn") - F.col("inter"))
+    return inter.select("rep", "pivot", d.alias("d"), linked(F.col("inter"), F.col("n"), F.col("pn")).alias("near"))
+
+
+def around_pivots(index: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, pivot, d, near): all sets within FAR of each elected pivot, itself included."""
+    pivots = shared.cut(elected(index), "pivots")
     chosen = index.join(pivots, "rep", "left_semi").select("h", F.col("rep").alias("pivot"), F.col("n").alias("pn"))
-    least = 1 - most
+    least = 1 - FAR
     # of two sets the one whose rows end first in the global order shares with the other no more than the common rows and what it has behind its rows
     behind = F.greatest(F.ceil(F.col("n") * least), F.ceil(F.col("pn") * least)) - 1
     common = index.select("h", "rep", "n").join(chosen.hint("merge"), "h").where(F.least("n", "pn") >= least * F.greatest("n", "pn")).groupBy("rep", "pivot", "n", "pn").agg(F.count("*").alias("c"))
     met = common.where(F.col("c") + behind + 1e-6 >= least / (1 + least) * (F.col("n") + F.col("pn"))).drop("c")
-    side = reps.select("rep", "shingles")
-    both = met.join(side.toDF("rep", "x").hint("merge"), "rep").join(side.toDF("pivot", "y").hint("merge"), "pivot")
-    inter = both.withColumn("inter", F.size(F.array_intersect("x", "y")).cast("long"))
-    d = 1 - F.col("inter") / (F.col("n") + F.col("pn") - F.col("inter"))
-    return inter.select("rep", "pivot", d.alias("d"), linked(F.col("inter"), F.col("n"), F.col("pn")).alias("near")).where(F.col("d") <= most + 1e-12)
+    met = shared.cut(met, "met")  # the sets come when the rows of all pairs are gone
+    return shared.cut(measured(met, reps).where(F.col("d") <= FAR + 1e-12), "distances")
 
 
-def nearest(measured: DataFrame) -> DataFrame:
+def nearest(distances: DataFrame) -> DataFrame:
     """(rep, own, m): the nearest pivot of each set and its distance."""
-    return measured.groupBy("rep").agg(F.min(F.struct("d", "pivot")).alias("b")).select("rep", F.col("b.pivot").alias("own"), F.col("b.d").alias("m"))
+    return distances.groupBy("rep").agg(F.min(F.struct("d", "pivot")).alias("b")).select("rep", F.col("b.pivot").alias("own"), F.col("b.d").alias("m"))
 
 
-def cover(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Distances (rep, pivot, d, near) of sets to the pivots of all elections; links (rep, pivot, d, near) of what stays open."""
-    index = shared.cut(shingle_index(reps), "index")
-    voters = index.select("h", "rep")
-    measured = None
-    for turn in range(ROUNDS):
-        found = shared.cut(distances(index, elected(voters, turn), reps, FAR), "distances")
-        measured = found if measured is None else measured.unionByName(found)
-        still = index.where("first").select("h", "rep").join(nearest(measured).where(F.col("m") <= COVER), "rep", "left_anti")
-        voters = shared.cut(still.select("h", "rep"), "open")
-        if voters.isEmpty():
-            return measured, None
-    return measured, shared.cut(distances(index.where("first"), voters.select("rep").distinct(), reps, NEAR), "distances")
+def voronoi(distances: DataFrame) -> DataFrame:
+    """(region, pivot, rep, owned): the sets of each pivot's region, its own and those of its window."""
+    placed = distances.join(nearest(distances).hint("merge"), "rep").withColumn("owned", (F.col("pivot") == F.col("own")) & (F.col("m") <= COVER))
+    return placed.where(F.col("owned") | (F.col("d") <= F.col("m") + 2 * NEAR + 1e-12)).select(F.col("pivot").alias("region"), "pivot", "rep", "owned")
 
 
-def regions(measured: DataFrame) -> DataFrame:
-    """(pivot, rep, owned): the sets of each pivot's region, its own and those of its window."""
-    placed = measured.join(nearest(measured).hint("merge"), "rep").withColumn("owned", (F.col("pivot") == F.col("own")) & (F.col("m") <= COVER))
-    return placed.where(F.col("owned") | (F.col("d") <= F.col("m") + 2 * NEAR + 1e-12)).select("pivot", "rep", "owned")
+def around_shingles(index: DataFrame, distances: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions of sets that no pivot covers, which own themselves there; and the distances (rep, pivot, d, near) in them.
+
+    Each of the shingles that a linked set shares makes the least set under it a pivot, and all sets under the shingles of a
+    pivot its region; a set has no more of these pivots than rows.
+    """
+    covered = nearest(distances).where(F.col("m") <= COVER).select("rep", F.lit(False).alias("owned"))
+    rows = index.where("first").select("h", "rep", "n").join(covered, "rep", "left").withColumn("owned", F.coalesce("owned", F.lit(True)))
+    pivots = rows.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c"), F.max("owned").alias("open")).where("c > 1 AND open").select("h", "p")
+    under = rows.join(pivots.hint("merge"), "h").groupBy("rep", "n", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")).agg(F.max("owned").alias("owned"))
+    under = shared.cut(under, "under")
+    regions = under.select(F.bitwise_not("pivot").alias("region"), "pivot", "rep", "owned")
+    return regions, shared.cut(measured(under.where("rep <> pivot").drop("owned"), reps), "distances")
 
 
 #: Members of a region by class: owned by its pivot or of its window, loose (not yet connected with the pivot) or not.
 OWNED_LOOSE, OWNED, WINDOW_LOOSE, WINDOW = range(4)
 #: Classes that each class is compared with: an end of a pair is owned, and its ends aren't connected by the pivot.
 AGAINST = {OWNED_LOOSE: (OWNED_LOOSE, OWNED, WINDOW_LOOSE, WINDOW), OWNED: (OWNED_LOOSE, WINDOW_LOOSE), WINDOW_LOOSE: (OWNED_LOOSE, OWNED), WINDOW: (OWNED_LOOSE,)}
-#: Parts that a pivot's members are dealt out by, so that a hot one isn't one task's.
+#: Parts that a region's members are dealt out by, so that a hot one isn't one task's.
 SALTS = 16
 
 
 def salted(rows: DataFrame) -> DataFrame:
-    """One row a pivot, repeated for each salt."""
+    """One row a region, repeated for each salt."""
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def region_links(measured: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
-    """(u, v): components of `known` (node, component) that links within regions connect."""
+def region_links(regions: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v): components of `known` (node, component) that links within regions (region, pivot, rep, owned) connect.
+
+    A link is looked for in a region that owns one of its ends.
+    """
     of = known.select(F.col("node").alias("rep"), "component")
-    members = regions(measured).join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(reps.select("rep", "n"), "rep")
+    members = regions.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(reps.select("rep", "n"), "rep")
     members = shared.cut(members, "members")
-    heads = members.where("rep = pivot").select("pivot", F.col("component").alias("head"))
+    heads = members.where("rep = pivot").select("region", F.col("component").alias("head"))
     loose = F.col("component") != F.col("head")
     cls = F.when(F.col("owned"), F.when(loose, OWNED_LOOSE).otherwise(OWNED)).otherwise(F.when(loose, WINDOW_LOOSE).otherwise(WINDOW))
-    placed = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted(heads), ["pivot", "salt"]).withColumn("cls", cls).drop("head", "owned")
+    placed = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted(heads), ["region", "salt"]).withColumn("cls", cls).drop("head", "owned")
     held = [F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("n"))), F.lit(0)) for c in range(4)]
-    sizes = placed.groupBy("pivot").agg(*(x.alias(f"s{c}") for c, x in enumerate(held))).where("s0 > 0 OR s1 > 0 AND s2 > 0")
+    sizes = placed.groupBy("region").agg(*(x.alias(f"s{c}") for c, x in enumerate(held))).where("s0 > 0 OR s1 > 0 AND s2 > 0")
     total = F.col("s0") + F.col("s1") + F.col("s2") + F.when(F.col("s0") > 0, F.col("s3")).otherwise(0)
-    sizes = sizes.withColumn("total", total).withColumn("blocks", F.array(*(F.ceil(F.col(f"s{c}") / BLOCK_SHINGLES).cast("int") for c in range(4)))).select("pivot", "total", "blocks")
+    sizes = sizes.withColumn("total", total).withColumn("blocks", F.array(*(F.ceil(F.col(f"s{c}") / BLOCK_SHINGLES).cast("int") for c in range(4)))).select("region", "total", "blocks")
     sizes = shared.cut(sizes, "regions")
     bins = max(64, (sizes.agg(F.sum("total")).first()[0] or 0) // BIN_SHINGLES)
     # blocks are numbered through the classes; a task is a pair of blocks of classes to be compared, a small region one task
@@ -394,12 +402,12 @@ def region_links(measured: DataFrame, reps: DataFrame, known: DataFrame) -> Data
     tasks = F.when(small & ((F.col("cls") < WINDOW) | (F.get("blocks", F.lit(0)) > 0)), whole).when(small, F.slice(whole, 1, 0))
     for c in range(4):
         tasks = tasks.when(F.col("cls") == c, partners(c))
-    dealt = placed.join(salted(sizes), ["pivot", "salt"]).select("pivot", "rep", "component", "cls", small.alias("small"), F.explode(tasks).alias("t")).select("pivot", "rep", "component", "cls", "small", "t.*")
-    dealt = dealt.withColumn("bin", F.when(F.col("small"), F.pmod(F.xxhash64("pivot"), F.lit(bins))).otherwise(F.xxhash64("pivot", "lo", "hi")))
+    dealt = placed.join(salted(sizes), ["region", "salt"]).select("region", "rep", "component", "cls", small.alias("small"), F.explode(tasks).alias("t")).select("region", "rep", "component", "cls", "small", "t.*")
+    dealt = dealt.withColumn("bin", F.when(F.col("small"), F.pmod(F.xxhash64("region"), F.lit(bins))).otherwise(F.xxhash64("region", "lo", "hi")))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.groupby(["pivot", "lo", "hi"]):
+        for _, part in pdf.groupby(["region", "lo", "hi"]):
             part = part.sort_values("rep").reset_index(drop=True)
             own, cls, sets = part["component"].to_numpy(), part["cls"].to_numpy(), [np.asarray(s) for s in part["shingles"]]
             found = _Union(len(own))
@@ -434,12 +442,15 @@ def join(docs: DataFrame, low: DataFrame | None = None) -> DataFrame:
     members = shared.cut(sets.select("doc_id", "key").distinct(), "keys")
     reps = shared.cut(sets.groupBy(F.col("key").alias("rep")).agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "reps")
     shared.forget(sets)
-    measured, more = cover(reps)
-    stars = (measured if more is None else measured.unionByName(more)).where("near AND rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+    index = shared.cut(shingle_index(reps), "index")
+    distances = around_pivots(index, reps)
+    others, more = around_shingles(index, distances, reps)
+    shared.forget(index)
+    stars = distances.unionByName(more).where("near AND rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
     # an id with several sets connects them
     ties = members.join(members.groupBy("doc_id").agg(F.min("key").alias("v"), F.count("*").alias("c")).where("c > 1"), "doc_id").select(F.col("key").alias("u"), "v")
     known = shared.components(stars.unionByName(ties))
-    met = shared.components(region_links(measured, reps, known)).toDF("c", "last")
+    met = shared.components(region_links(voronoi(distances).unionByName(others), reps, known)).toDF("c", "last")
     known = known.join(met, known["component"] == met["c"], "left").select("node", F.coalesce("last", "component").alias("component")).unionByName(met.select(F.col("c").alias("node"), F.col("last").alias("component")))
     groups = shared.cut(known.groupBy("node").agg(F.min("component").alias("component")), "groups")
     placed = members.join(groups, members["key"] == groups["node"], "left").select("doc_id", F.coalesce("component", "key").alias("component"))

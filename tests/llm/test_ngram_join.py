@@ -63,28 +63,28 @@ def test_is_brute_force(spark, seed):
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("shingles", [1, 300])
-def test_small_blocks_divide_regions(spark, monkeypatch, shingles):
+def test_small_blocks_divide_regions(spark, monkeypatch):
     """Regions of many blocks, one pair of blocks a task, and divided again within it."""
-    monkeypatch.setattr(op, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(op, "BLOCK_SHINGLES", 1500)
     monkeypatch.setattr(op, "LEAF", 3)
     monkeypatch.setattr(op, "PIVOTS", 2)
     rows = corpus(3)
     assert run(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_what_stays_open_is_compared_too(spark, monkeypatch, rounds):
-    monkeypatch.setattr(op, "ROUNDS", rounds + 1)
-    if not rounds:
-        monkeypatch.setattr(op, "COVER", 0.01)
-        monkeypatch.setattr(op, "FAR", 0.26)
+@pytest.mark.parametrize("cover", [0.01, 0.45])
+def test_any_cover_is_exact(spark, monkeypatch, cover):
+    """With next to nothing covered by elected pivots, and with much more than by default."""
+    monkeypatch.setattr(op, "COVER", cover)
+    monkeypatch.setattr(op, "FAR", cover + op.NEAR)
     rows = corpus(5)
     assert run(spark, rows) == brute(rows)
 
 
-def test_dense_group_is_divided_into_regions(spark):
+def test_dense_group_is_divided_into_regions(spark, monkeypatch):
     """Copies with up to a third of their words changed: regions with windows, members that no pivot is near."""
+    monkeypatch.setattr(op, "COVER", 0.6)
+    monkeypatch.setattr(op, "FAR", 0.6 + op.NEAR)
     r = random.Random(8)
     words = [f"v{i}" for i in range(3000)]
     base = [r.choice(words) for _ in range(150)]
@@ -96,10 +96,10 @@ def test_dense_group_is_divided_into_regions(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     reps = op.full_sets(df).selectExpr("key AS rep", "n", "shingles").dropDuplicates(["rep"])
-    measured, _ = op.cover(reps)
-    placed = op.regions(measured)
+    distances = op.around_pivots(op.shingle_index(reps), reps)
+    placed = op.voronoi(distances)
     assert placed.where("owned").groupBy("rep").count().where("count > 1").count() == 0
-    assert placed.select("pivot").distinct().count() > 3 and placed.where("NOT owned").count() > 100
+    assert placed.where("owned").count() > 50 and placed.where("NOT owned").count() > 0
     assert run(spark, rows) == brute(rows)
 
 
