@@ -127,9 +127,12 @@ def recent_activity(activity: DataFrame, limit: int = 10) -> DataFrame:
     return activity.orderBy(F.desc("created_at"), F.desc("id")).limit(min(limit, 50))
 
 
-def last_page(pages: DataFrame) -> DataFrame:
-    """The number the next page of each document gets."""
-    return pages.groupBy("document_id").agg((F.coalesce(F.max("page_number"), F.lit(0)) + 1).alias("next_page"))
+def last_page(pages: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """The number the next page of each document gets; of docs (id), if given, also of those without pages: 1."""
+    known = pages.groupBy("document_id").agg((F.coalesce(F.max("page_number"), F.lit(0)) + 1).alias("next_page"))
+    if docs is None:
+        return known
+    return docs.select(F.col("id").alias("document_id")).join(known, "document_id", "left").withColumn("next_page", F.coalesce("next_page", F.lit(1)))
 
 
 def ordered(df: DataFrame, entity: str) -> DataFrame:

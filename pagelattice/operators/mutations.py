@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .library import status_rollup
@@ -12,12 +12,29 @@ def append(state: DataFrame, rows: DataFrame) -> DataFrame:
     return state.unionByName(rows, allowMissingColumns=True)
 
 
-def update(state: DataFrame, change: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of state with the non-null columns of change (the last row of a key; key first, no other order is defined)."""
-    fields = [c for c in change.columns if c != key and c in state.columns]
-    new = change.select(key, *(F.col(c).alias(f"new_{c}") for c in fields)).dropDuplicates([key])
-    joined = state.join(new, key, "left")
-    return joined.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in state.columns))
+def latest_fields(change: DataFrame, key: list[str], columns: list[str], order: str | None = None) -> DataFrame:
+    """key, at_<c> and new_<c> for each of columns that change has: the last value stated for it, wrapped in a struct, and its place.
+
+    A row states the columns that its array `fields` names, nulls among them; without one, those that aren't null. Rows of
+    a key are ordered by the column `order`, then by value. A field that no row states has a null struct.
+    """
+    rank = F.col(order) if order else F.lit(0)
+    stated = {c: F.array_contains("fields", F.lit(c)) if "fields" in change.columns else F.col(c).isNotNull() for c in columns if c in change.columns}
+    aggs = []
+    for c, there in stated.items():
+        at = F.when(there, F.struct(rank.alias("rank"), F.col(c).cast("string").alias("tie")))
+        aggs += [F.max_by(F.struct(F.col(c).alias("value")), at).alias(f"new_{c}"), F.max(F.when(there, rank)).alias(f"at_{c}")]
+    return change.groupBy(*key).agg(*aggs) if aggs else change.select(*key).distinct()
+
+
+def _with_latest(c: str, latest: DataFrame) -> Column:
+    return F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}")["value"]).otherwise(F.col(c)).alias(c) if f"new_{c}" in latest.columns else F.col(c)
+
+
+def update(state: DataFrame, change: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows of state with the last value that change states for each column; see latest_fields. Rows with other keys are left out."""
+    latest = latest_fields(change, [key], [c for c in state.columns if c != key], order)
+    return state.join(latest, key, "left").select(*(_with_latest(c, latest) for c in state.columns))
 
 
 def soft_delete(docs: DataFrame, ids: DataFrame, at: str) -> DataFrame:
@@ -40,11 +57,27 @@ def hard_delete(docs: DataFrame, pages: DataFrame, activity: DataFrame, ids: Dat
     return docs.join(gone, "id", "left_anti").select(*docs.columns), kept_pages, loose
 
 
-def upsert_pages(pages: DataFrame, change: DataFrame) -> DataFrame:
-    """The latest row of each (document_id, page_number): change's row if it has one, else the state's."""
-    both = pages.withColumn("rank", F.lit(0)).unionByName(change.withColumn("rank", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy("document_id", "page_number").orderBy(F.desc("rank"), F.desc("status"))
-    return both.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rank", "rn")
+PAGE_KEY = ["document_id", "page_number"]
+
+
+def upsert_pages(pages: DataFrame, change: DataFrame, order: str | None = None) -> DataFrame:
+    """Pages with the last value that change states for each column, and a page for each new (document_id, page_number).
+
+    What change doesn't state stays as it is (null in a new page); see latest_fields. A page whose blocks are stated after the last
+    statement of its structure loses its structure.
+    """
+    fields = [c for c in pages.columns if c not in PAGE_KEY]
+    latest = latest_fields(change.where("document_id IS NOT NULL AND page_number IS NOT NULL"), PAGE_KEY, fields, order)
+    merged = pages.join(latest, PAGE_KEY, "full_outer")
+    out = merged.select(*(F.col(c) if c in PAGE_KEY else _with_latest(c, latest) for c in pages.columns), *(F.col(c) for c in ("at_ocr_blocks", "at_structured_content") if c in latest.columns))
+    if "at_ocr_blocks" in out.columns and "structured_content" in pages.columns:
+        stale = F.col("at_ocr_blocks").isNotNull()
+        if "at_structured_content" in out.columns:
+            stale &= F.col("at_structured_content").isNull() | (F.col("at_structured_content") < F.col("at_ocr_blocks"))
+        out = out.withColumn("structured_content", F.when(~stale, F.col("structured_content")))
+        if "structure_status" in pages.columns:
+            out = out.withColumn("structure_status", F.when(stale, "none").otherwise(F.col("structure_status")))
+    return out.select(*pages.columns)
 
 
 def invalidate_structure(pages: DataFrame) -> DataFrame:
@@ -61,9 +94,13 @@ def invalidate_structure(pages: DataFrame) -> DataFrame:
     )
 
 
-def save_pages(docs: DataFrame, pages: DataFrame, change: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New pages, documents with their status rolled up, and an activity for each one that is now complete."""
-    merged = upsert_pages(pages, change)
+def save_pages(docs: DataFrame, pages: DataFrame, change: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New pages, documents with their status rolled up, and an activity for each one that is now complete.
+
+    Pages are saved as upsert_pages says; changes of documents that aren't there are left out.
+    """
+    known = change.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*change.columns)
+    merged = upsert_pages(pages, known, order)
     rolled = status_rollup(docs, merged)
     new_docs = docs.join(rolled.select("id", "new_status"), "id").withColumn("status", F.col("new_status")).select(*docs.columns)
     done = rolled.where("completed").select(F.col("id").alias("document_id"), F.lit("ocr_completed").alias("action"))
@@ -71,10 +108,24 @@ def save_pages(docs: DataFrame, pages: DataFrame, change: DataFrame) -> tuple[Da
 
 
 def delete_page(pages: DataFrame, gone: DataFrame) -> DataFrame:
-    """Pages without gone (document_id, page_number), numbered on without gaps; a document's only page stays."""
-    count = F.count("*").over(Window.partitionBy("document_id"))
-    marked = pages.withColumn("n", count).join(gone.select("document_id", "page_number").distinct().withColumn("hit", F.lit(True)), ["document_id", "page_number"], "left")
-    return renumber(marked.where("hit IS NULL OR n <= 1").select(*pages.columns))
+    """Pages without gone (document_id, page_number), numbered on without gaps.
+
+    A document's only page stays; if all its pages are named, the one with the highest number does.
+    """
+    document = Window.partitionBy("document_id")
+    marked = pages.join(gone.select(*PAGE_KEY).distinct().withColumn("hit", F.lit(True)), PAGE_KEY, "left")
+    marked = marked.withColumns({"left": F.count_if(F.col("hit").isNull()).over(document), "last": F.max("page_number").over(document)})
+    return renumber(marked.where("hit IS NULL OR left = 0 AND page_number = last").select(*pages.columns))
+
+
+def delete_pages(docs: DataFrame, pages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with their new page counts, and pages: of blank documents alone, pages can be deleted."""
+    blank = docs.where("file_type = 'blank'").select(F.col("id").alias("document_id"))
+    kept = delete_page(pages, gone.join(blank, "document_id", "left_semi"))
+    touched = gone.join(blank, "document_id", "left_semi").select("document_id").distinct()
+    counts = kept.join(touched, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").cast("int").alias("new_count"))
+    counted = docs.join(counts.withColumnRenamed("document_id", "id"), "id", "left").withColumn("page_count", F.coalesce("new_count", "page_count"))
+    return counted.select(*docs.columns), kept
 
 
 def renumber(pages: DataFrame) -> DataFrame:

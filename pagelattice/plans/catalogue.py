@@ -439,6 +439,37 @@ query("page_renumber", f"""{with_views("doc_pages")}, k AS (SELECT *, count(*) O
 SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, status) AS page_number, status FROM k WHERE page_number <> 2 OR n <= 1""")(
     lambda get: mutations.delete_page(get("doc_pages"), get("doc_pages").where("page_number = 2"))
 )
+query("next_page_of_each", f"""{with_views('docs', 'doc_pages')} SELECT id AS document_id, coalesce(m, 0) + 1 AS next_page
+FROM docs LEFT JOIN (SELECT document_id, max(page_number) AS m FROM doc_pages GROUP BY 1) ON document_id = id""")(lambda get: library.last_page(get("doc_pages"), get("docs")))
+
+
+def _stored_pages(get) -> DataFrame:
+    return get("doc_pages").select("document_id", "page_number", "status", F.concat(F.lit("b"), F.col("page_number").cast("string")).alias("ocr_blocks"), F.lit("s").alias("structured_content"), F.lit("edited").alias("structure_status"))
+
+
+def _partial_change(get) -> DataFrame:
+    """Two changes in turn to some pages, each of some fields, and new pages 99."""
+    k, text = F.col("document_id") + F.col("page_number"), F.lit(None).cast("string")
+    pages = get("doc_pages").select("document_id", "page_number")
+    first = pages.where(k % 3 == 0).select("document_id", "page_number", F.lit(1).alias("seq"), F.lit("ocr-complete").alias("status"), F.lit("first").alias("ocr_blocks"), F.lit("t").alias("structured_content"))
+    second = pages.where(k % 5 == 0).select("document_id", "page_number", F.lit(2).alias("seq"), text.alias("status"), F.lit("second").alias("ocr_blocks"), text.alias("structured_content"))
+    new = get("docs").where("id % 50 = 0").select(F.col("id").alias("document_id"), F.lit(99).alias("page_number"), F.lit(1).alias("seq"), F.lit("layout-detected").alias("status"), text.alias("ocr_blocks"), text.alias("structured_content"))
+    return first.unionByName(second).unionByName(new)
+
+
+PARTIAL = f"""{with_views('docs', 'doc_pages')}, k AS (SELECT *, (document_id + page_number) % 3 = 0 AS a, (document_id + page_number) % 5 = 0 AS b FROM doc_pages),
+saved AS (SELECT document_id, page_number, CASE WHEN a THEN 'ocr-complete' ELSE status END AS status,
+  CASE WHEN b THEN 'second' WHEN a THEN 'first' ELSE 'b' || CAST(page_number AS STRING) END AS ocr_blocks,
+  CASE WHEN b THEN NULL WHEN a THEN 't' ELSE 's' END AS structured_content, CASE WHEN b THEN 'none' ELSE 'edited' END AS structure_status FROM k
+  UNION ALL SELECT id, 99, 'layout-detected', NULL, NULL, NULL FROM docs WHERE id % 50 = 0)"""
+query("page_partial_save", f"{PARTIAL} SELECT * FROM saved")(lambda get: mutations.save_pages(get("docs"), _stored_pages(get), _partial_change(get), "seq")[0])
+query("page_delete_blank", f"""{with_views('docs', 'doc_pages')}, k AS (SELECT p.*, id % 3 = 0 AND (id % 2 = 0 OR page_number = 1) AS hit, max(page_number) OVER (PARTITION BY document_id) AS last,
+  sum(CASE WHEN id % 3 = 0 AND (id % 2 = 0 OR page_number = 1) THEN 0 ELSE 1 END) OVER (PARTITION BY document_id) AS others FROM doc_pages p JOIN docs ON id = document_id)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, status) AS page_number, status FROM k WHERE NOT hit OR (others = 0 AND page_number = last)""")(
+    lambda get: mutations.delete_pages(
+        get("docs").withColumn("file_type", F.when(F.col("id") % 3 == 0, "blank").otherwise("pdf")), get("doc_pages"), get("doc_pages").where("document_id % 2 = 0 OR page_number = 1")
+    )[1]
+)
 query("invalidate_structure", f"""{with_views("doc_pages")} SELECT document_id, page_number, CASE WHEN document_id % 2 = 0 THEN NULL ELSE 'old' END AS structured_content,
 CASE WHEN document_id % 2 = 0 THEN 'none' ELSE 'edited' END AS structure_status FROM doc_pages""")(
     lambda get: mutations.invalidate_structure(
