@@ -133,8 +133,8 @@ FROM docs LEFT JOIN p ON p.document_id = id LEFT JOIN t ON t.document_id = id WH
     lambda get: library.listing(library.search(get("docs")), get("doc_pages"), get("doc_tags"))
 )
 query("doc_search", f"""{with_views("docs")} SELECT id, filename, folder_id, file_size FROM docs
-WHERE deleted_at IS NULL AND folder_id = 'n7' AND is_starred AND contains(lower(filename), 'doc_') AND filename LIKE '%5.P%'""")(
-    lambda get: library.search(get("docs"), folder="n7", starred=True, text=" DOC_ ").where("filename LIKE '%5.P%'").select("id", "filename", "folder_id", "file_size")
+WHERE deleted_at IS NULL AND folder_id = 'n7' AND is_starred AND contains(lower(filename), 'doc_')""")(
+    lambda get: library.search(get("docs"), folder="n7", starred=True, text=" DOC_ ").select("id", "filename", "folder_id", "file_size")
 )
 query("doc_trash", f"{with_views('docs')} SELECT id, filename, deleted_at FROM docs WHERE deleted_at IS NOT NULL AND CAST(id AS STRING) IN ('10', '20', '30', '70', '170')")(
     lambda get: library.search(get("docs"), deleted=True, ids=" 10, 20,30,,70, 170").select("id", "filename", "deleted_at")
@@ -200,13 +200,13 @@ query("figure_s3_urls", f"""{with_views("figures")} SELECT DISTINCT u AS url, 'h
 FROM (SELECT unnest({FIG.format(c="old_blocks")}) AS u FROM figures)""")(
     lambda get: get("figures").select(F.explode(text.figure_urls(F.col("old_blocks"))).alias("url")).distinct().withColumn("s3_url", text.s3_url(F.col("url"), "bucket", "eu-west-1"))
 )
-query("delete_manifest", f"""{with_views("docs", "figures")}, d AS (SELECT id, filename FROM docs WHERE id % 50 = 0), f AS (SELECT f.* FROM figures f JOIN d ON d.id = f.document_id)
+query("delete_manifest", f"""{with_views("docs", "figures")}, d AS (SELECT id, filename FROM docs), f AS (SELECT f.* FROM figures f JOIN d ON d.id = f.document_id)
 SELECT DISTINCT document_id, p AS path FROM (
   SELECT document_id, unnest(['debug_cache/s' || document_id || '.jpg', 'training_images/s' || document_id || '.jpg', 'tatr_crops/s' || document_id || '_block_*.jpg']) AS p FROM f
   UNION ALL SELECT document_id, regexp_replace(unnest({FIG.format(c="old_blocks")}), '^/media/', 'media/') FROM f
   UNION ALL SELECT id, 'pdfs/' || filename FROM d)""")(
     lambda get: artifacts.delete_manifest(
-        get("docs").where("id % 50 = 0").select("id", F.concat(F.lit("pdfs/"), F.col("filename")).alias("pdf_file"), F.lit(None).cast("string").alias("thumbnail")),
+        get("docs").select("id", F.concat(F.lit("pdfs/"), F.col("filename")).alias("pdf_file"), F.lit(None).cast("string").alias("thumbnail")),
         get("figures").select("document_id", F.concat(F.lit("s"), F.col("document_id").cast("string")).alias("session_id"), F.col("old_blocks").alias("blocks")),
         True,
     )
@@ -365,9 +365,9 @@ def _pipes(get) -> DataFrame:
 
 query("format_table")(lambda get: _pipes(get).select("page_id", "reading_order", tables.format_table("lines").alias("markdown")))
 query("table_tsv")(lambda get: _pipes(get).select("page_id", "reading_order", tables.tsv(F.col("lines")).alias("tsv")))
-query("cell_normalize", f"""{with_views("regions")}, c AS (SELECT page_id, reading_order, concat(' | ', substr(value, 1, 40), '\\|  x | ') AS v FROM regions)
+query("cell_normalize", f"""{with_views("regions")}, c AS (SELECT page_id, reading_order, concat(' | ', value, '\\|  x | ') AS v FROM regions)
 SELECT page_id, reading_order, trim(regexp_replace(replace(regexp_replace(regexp_replace(v, '^[ \\t\\n\\r\\f]*\\|[ \\t\\n\\r\\f]*', ''), '[ \\t\\n\\r\\f]*\\|[ \\t\\n\\r\\f]*$', ''), '\\|', '|'), '[ \\t\\f]+', ' ', 'g'), E' \\t\\n\\r\\f') AS cell FROM c""")(
-    lambda get: get("regions").select("page_id", "reading_order", text.normalize_cell(F.concat(F.lit(" | "), F.substr("value", F.lit(1), F.lit(40)), F.lit("\\|  x | "))).alias("cell"))
+    lambda get: get("regions").select("page_id", "reading_order", text.normalize_cell(F.concat(F.lit(" | "), F.col("value"), F.lit("\\|  x | "))).alias("cell"))
 )
 
 # --- export -----------------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 PAGE_W, PAGE_H = 2480, 3508
@@ -39,7 +41,7 @@ SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS page_number,
        CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN 'idle' WHEN 1 THEN 'layout-detected' ELSE 'ocr-complete' END AS status
 FROM lineitem""",
     "doc_tags": """
-SELECT DISTINCT l_orderkey AS document_id, p_type AS tag FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2""",
+SELECT DISTINCT l_orderkey AS document_id, p_type AS tag FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "activity": """
 SELECT event_id AS id, user_id AS document_id, CASE WHEN event_type = 'purchase' THEN 'ocr_completed' ELSE 'uploaded' END AS action, ts AS created_at FROM events""",
     "regions": """
@@ -75,12 +77,13 @@ FROM lineitem""",
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables of sf_dir; the tables are read by what the plan asks of them."""
-    sql = VIEWS[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql.replace("\n", " ")}
-    for t, df in used.items():
-        df.createOrReplaceTempView(t)
-    return spark.sql(sql)
+    """A view over the tables of sf_dir, read by what the plan asks of them; no view of the session is touched."""
+    used, sql = {}, VIEWS[name].replace("{", "{{").replace("}", "}}")
+    for t in TABLES:
+        sql, times = re.subn(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+        if times:
+            used[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return spark.sql(sql, **used)
 
 
 def with_views(*names: str) -> str:
