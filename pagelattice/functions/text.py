@@ -57,6 +57,17 @@ def s3_url(media_url: Column, bucket: str, region: str) -> Column:
     return F.concat(F.lit(f"https://{bucket}.s3.{region}.amazonaws.com/"), F.regexp_replace(media_url, "^/media/", ""))
 
 
+def isoformat(c: Column) -> Column:
+    """A time of the session's zone in UTC, in ISO form; microseconds only where there are any."""
+    utc = F.convert_timezone(None, F.lit("UTC"), c.cast("timestamp_ntz"))
+    return F.concat(F.regexp_replace(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("+00:00"))
+
+
+def duration_ms(began: Column, ended: Column) -> Column:
+    """Milliseconds from began to ended with one decimal, halves to even."""
+    return F.bround(F.timestamp_diff("MICROSECOND", began, ended) / 100) / 10
+
+
 def data_url_bytes(c: Column) -> Column:
     """The bytes of a base64 data URL; null without a comma."""
     return F.when(F.contains(c, F.lit(",")), F.try_to_binary(F.substr(c, F.locate(",", c) + 1), F.lit("base64")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.latex import clean, clean_latex, roman_text
-from .operators.layout import handler
+from .operators.layout import handler, top_left
 from .schema import BLOCK
 
 BOXES = "page_id long, det_idx long, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double"
@@ -79,6 +79,12 @@ def ordered_elements(elements: Column, by_line: bool = True) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["e"])
 
 
+def cell_elements(elements: Column, width: Column, height: Column) -> Column:
+    """A cell's elements by the top, then the left edge of their polygon `position`; without one they stand at the centre. Ties keep their order."""
+    keyed = F.transform(elements, lambda e, i: F.struct(top_left(e["position"], width, height).alias("at"), i.alias("i"), e.alias("e")))
+    return F.transform(F.array_sort(keyed), lambda k: k["e"])
+
+
 def to_blocks(elements: DataFrame) -> DataFrame:
     """(id, i, type, value, display) of elements (id, i, type, text): formulas cleaned, letters set as formulas made text again."""
     stripped = elements.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).where("text <> ''")
@@ -108,4 +114,4 @@ class StandIn:
         return [{"type": "text", "text": clean(image.decode("utf-8", "replace")), "line_number": 0, "x": 0.0, "y": 0.0}]
 
 
-__all__ = ["BLOCK", "BOXES", "Detector", "Reader", "StandIn", "detect", "fallback_needed", "once", "ordered_elements", "read", "to_blocks"]
+__all__ = ["BLOCK", "BOXES", "Detector", "Reader", "StandIn", "cell_elements", "detect", "fallback_needed", "once", "ordered_elements", "read", "to_blocks"]

@@ -140,6 +140,20 @@ def crop_geometry(blocks: DataFrame) -> DataFrame:
     return padded.withColumn("scale", scale)
 
 
+def with_corners(boxes: DataFrame) -> DataFrame:
+    """Boxes whose array bbox has four values, as x1, y1, x2, y2; all others, null ones too, are left out."""
+    corners = {c: F.get("bbox", F.lit(i)) for i, c in enumerate(("x1", "y1", "x2", "y2"))}
+    return boxes.where(F.size("bbox") == 4).withColumns(corners)
+
+
+def top_left(position: Column, width: Column, height: Column) -> Column:
+    """(top, left) of a polygon of alternating x and y; the centre of a crop of this size without a whole polygon."""
+    xs, ys = F.filter(position, lambda _, i: i % 2 == 0), F.filter(position, lambda _, i: i % 2 == 1)
+    whole = (F.size(position) > 0) & (F.size(position) % 2 == 0) & ~F.exists(position, lambda v: v.isNull())
+    corner = F.struct(F.array_min(ys).cast("double").alias("top"), F.array_min(xs).cast("double").alias("left"))
+    return F.when(whole, corner).otherwise(F.struct((height / 2).cast("double").alias("top"), (width / 2).cast("double").alias("left")))
+
+
 def handler(label: Column) -> Column:
     """Which reader a region goes to."""
     return (

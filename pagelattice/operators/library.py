@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import isoformat
+
 #: Extensions of image files; fixed values.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "tiff", "tif", "bmp", "webp", "gif")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,6 +58,25 @@ def listing(docs: DataFrame, pages: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
+def media_url(path: Column, base: str) -> Column:
+    """The absolute URL of a stored file; null without one."""
+    return F.when(path != "", F.concat(F.lit(base.rstrip("/") + "/media/"), path))
+
+
+def rows(docs: DataFrame, pages: DataFrame, links: DataFrame, base: str) -> DataFrame:
+    """A document as a list shows it, 16 fields; docs: thumbnail and pdf_file besides, links: (document_id, tag_id)."""
+    tags = links.groupBy("document_id").agg(F.array_sort(F.collect_set(F.col("tag_id").cast("string"))).alias("tag_ids"))
+    joined = docs.join(page_counts(pages).withColumnRenamed("document_id", "id"), "id", "left").join(tags.withColumnRenamed("document_id", "id"), "id", "left")
+    return joined.select(
+        F.col("id").cast("string").alias("id"), "filename", "page_count", "status",
+        media_url(F.col("thumbnail"), base).alias("thumbnail_url"), media_url(F.col("pdf_file"), base).alias("pdf_url"),
+        isoformat(F.col("created_at")).alias("created_at"), isoformat(F.col("updated_at")).alias("updated_at"),
+        "is_starred", F.col("folder_id").cast("string").alias("folder_id"), F.coalesce("tag_ids", F.array().cast("array<string>")).alias("tag_ids"),
+        "file_size", "file_type", isoformat(F.col("deleted_at")).alias("deleted_at"),
+        F.coalesce("pages_layout_done", F.lit(0)).alias("pages_layout_done"), F.coalesce("pages_ocr_done", F.lit(0)).alias("pages_ocr_done"),
+    )
+
+
 def detail(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """A row a document with its pages as an array of (page_number, status), in order."""
     own = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "status"))).alias("pages"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .library import status_rollup
+from ..functions.text import strip
+from .library import file_type, status_rollup
 
 
 def append(state: DataFrame, rows: DataFrame) -> DataFrame:
@@ -151,3 +152,66 @@ def delete_folders(folders: DataFrame, docs: DataFrame, tree: DataFrame, ids: Da
     marked = docs.join(gone.select(F.col("id").alias("folder_id"), F.lit(True).alias("hit")), "folder_id", "left")
     loose = marked.withColumn("folder_id", F.when(F.col("hit").isNull(), F.col("folder_id"))).select(*docs.columns)
     return folders.join(gone, "id", "left_anti").select(*folders.columns), loose
+
+
+def _known(folders: DataFrame, column: str) -> DataFrame:
+    return folders.select(F.col("id").alias(column), F.lit(True).alias("known")).distinct()
+
+
+def create_documents(docs: DataFrame, pages: DataFrame, activity: DataFrame, folders: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, pages and activities with those of new (id, filename, file_type, page_count, file_size, folder_id, created_at).
+
+    A row of type blank has one idle page, no bytes and the name Untitled if it has none; the type of others follows from
+    their filename. A folder that isn't there is left out. Null ids and ids that are there already add nothing; of rows that repeat an
+    id the least counts.
+    """
+    fields = [c for c in new.columns if c != "id"]
+    fresh = new.where("id IS NOT NULL").join(docs.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.min(F.struct(*fields)).alias("r")).select("id", "r.*")
+    blank = F.coalesce(F.col("file_type") == "blank", F.lit(False))
+    made = fresh.join(_known(folders, "folder_id"), "folder_id", "left").select(
+        "id", F.when(blank, F.coalesce(F.nullif("filename", F.lit("")), F.lit("Untitled"))).otherwise(F.col("filename")).alias("filename"),
+        F.lit("uploaded").alias("status"), F.when(blank, 1).otherwise(F.coalesce("page_count", F.lit(0))).alias("page_count"),
+        F.when(blank, 0).otherwise(F.coalesce("file_size", F.lit(0))).alias("file_size"), F.when(blank, "blank").otherwise(file_type(F.col("filename"))).alias("file_type"),
+        F.when(F.col("known"), F.col("folder_id")).alias("folder_id"), F.lit(False).alias("is_starred"), "created_at",
+    )
+    page = made.where("file_type = 'blank'").select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), F.lit("idle").alias("status"))
+    said = made.select(F.col("id").alias("document_id"), F.lit("uploaded").alias("action"), "created_at")
+    return append(docs, made.select(*(c for c in made.columns if c in docs.columns))), append(pages, page), append(activity, said)
+
+
+def move(docs: DataFrame, change: DataFrame, folders: DataFrame) -> DataFrame:
+    """Documents in the folders that change (id, folder_id) names, null being the root.
+
+    A move to a folder that isn't there is left out; of several moves of a document the one to the greatest folder id counts, to the root last.
+    """
+    wanted = change.select("id", F.col("folder_id").alias("to")).join(_known(folders, "to"), "to", "left").where("known OR to IS NULL")
+    moves = wanted.groupBy("id").agg(F.max("to").alias("to"), F.lit(True).alias("hit"))
+    return docs.join(moves, "id", "left").withColumn("folder_id", F.when(F.col("hit"), F.col("to")).otherwise(F.col("folder_id"))).select(*docs.columns)
+
+
+def create_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
+    """Folders with new ones (id, name, parent_id), names stripped; rows without a name or with a parent that isn't there add nothing."""
+    named = new.withColumn("name", strip(F.col("name"))).where("name <> ''").join(_known(folders, "parent_id"), "parent_id", "left")
+    return append(folders, named.where("known OR parent_id IS NULL").select("id", "name", "parent_id"))
+
+
+def save_folders(folders: DataFrame, change: DataFrame, order: str | None = None) -> DataFrame:
+    """Folders with the names and parents that change states (see latest_fields); rows with a parent that isn't there are left out."""
+    parents = change.join(_known(folders, "parent_id"), "parent_id", "left").where("known OR parent_id IS NULL").select(*change.columns)
+    return update(folders, parents.withColumn("name", strip(F.col("name"))), "id", order)
+
+
+def create_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
+    """Tags with new ones (id, name, color), names stripped, gray if no colour is given.
+
+    Rows without a name or with one that a tag has add nothing; of rows that share a name the least id counts.
+    """
+    named = new.withColumn("name", strip(F.col("name"))).where("name <> ''").join(tags.select("name").distinct(), "name", "left_anti")
+    first = named.groupBy("name").agg(F.min(F.struct("id", "color")).alias("r"))
+    return append(tags, first.select("r.id", "name", F.coalesce("r.color", F.lit("gray")).alias("color")))
+
+
+def delete_tags(tags: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags and links (document_id, tag_id) without the tags of ids."""
+    gone = ids.select("id").distinct()
+    return tags.join(gone, "id", "left_anti").select(*tags.columns), links.join(gone.withColumnRenamed("id", "tag_id"), "tag_id", "left_anti").select(*links.columns)

@@ -57,8 +57,10 @@ def option_letter(text: Column) -> Column:
 
 
 def question_type(text: Column, n_options: Column) -> Column:
+    """The type by clues and options; unknown for a question without blocks (null text)."""
     return (
-        F.when(n_options >= 3, F.when(text.rlike(MULTI), "mcq_multi").otherwise("mcq_single"))
+        F.when(text.isNull(), "unknown")
+        .when(n_options >= 3, F.when(text.rlike(MULTI), "mcq_multi").otherwise("mcq_single"))
         .when(text.rlike(ASSERTION), "assertion_reason")
         .when(text.rlike(INTEGER), "integer")
         .when(n_options > 0, "mcq_single")

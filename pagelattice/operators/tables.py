@@ -163,3 +163,20 @@ def profile_angle(profiles: DataFrame) -> DataFrame:
     """(crop_id, angle) of profiles (crop_id, angle, row_sum): the angle whose row sums vary most, the first among equals."""
     spread = profiles.groupBy("crop_id", "angle").agg(F.var_pop("row_sum").alias("v"))
     return spread.groupBy("crop_id").agg(F.max_by("angle", F.struct("v", (-F.col("angle")).alias("o"))).alias("angle"))
+
+
+#: Sides below which a crop isn't turned, and the angles tried; fixed values.
+DESKEW_LEAST, SKEW_RANGE, SKEW_STEP = 60, 10.0, 0.5
+
+
+def skew_angles() -> Column:
+    """The angles tried, from the least."""
+    steps = int(2 * SKEW_RANGE / SKEW_STEP)
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i * F.lit(SKEW_STEP) - F.lit(SKEW_RANGE))
+
+
+def deskew_angle(crops: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(crop_id, angle) of each crop (crop_id, w, h): see profile_angle; 0 for one that is too small or has no profile."""
+    tall = crops.where((F.col("w") >= DESKEW_LEAST) & (F.col("h") >= DESKEW_LEAST)).select("crop_id")
+    best = profile_angle(profiles.join(tall, "crop_id", "left_semi"))
+    return crops.select("crop_id").join(best, "crop_id", "left").withColumn("angle", F.coalesce("angle", F.lit(0.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import models
 from ..functions import latex, text
 from ..operators import artifacts, export, layout, library, mutations, questions, structure, tables
 from ..sources.views import PAGE_H, PAGE_W, view, with_views
@@ -500,3 +501,123 @@ query("update_documents", f"{with_views('docs')} SELECT id, CASE WHEN id % 7 = 0
 query("session_lru", f"""{with_views("sessions")}, l AS (SELECT session_id, max(ts) AS ts FROM sessions GROUP BY 1)
 SELECT session_id, ts FROM l ORDER BY ts DESC, session_id DESC LIMIT {streams.KEPT}""")(lambda get: streams.newest_sessions(get("sessions")))
 query("ocr_ndjson_stream")(lambda get: streams.ndjson(_blocks(get).select("page_id", "block_id", "reading_order", "label", "blocks", "error")))
+
+# --- rows, creation and geometry --------------------------------------------------------------------------------------
+
+ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' ELSE strftime({c}, '.%f') END || '+00:00'"
+
+
+@query("doc_rows", f"""{with_views("docs", "doc_pages", "doc_tags")}, d AS (SELECT *, created_at + to_microseconds(id * 1001000) AS updated_at FROM docs),
+p AS (SELECT document_id, count(*) FILTER (status = 'layout-detected') AS l, count(*) FILTER (status = 'ocr-complete') AS o FROM doc_pages GROUP BY 1),
+t AS (SELECT document_id, string_agg(tag, '|' ORDER BY tag) AS tags FROM doc_tags GROUP BY 1)
+SELECT CAST(id AS STRING) AS id, filename, page_count, status, CASE WHEN id % 3 = 0 THEN 'https://host/media/t/' || CAST(id AS STRING) || '.jpg' END AS thumbnail_url,
+  CASE WHEN id % 4 <> 3 THEN 'https://host/media/pdfs/' || filename END AS pdf_url, {ISO.format(c="created_at")} AS created_at, {ISO.format(c="updated_at")} AS updated_at,
+  is_starred, folder_id, coalesce(tags, '') AS tag_ids, file_size, {FT} AS file_type, {ISO.format(c="deleted_at")} AS deleted_at, coalesce(l, 0) AS pages_layout_done, coalesce(o, 0) AS pages_ocr_done
+FROM d LEFT JOIN p ON p.document_id = id LEFT JOIN t ON t.document_id = id""")
+def _doc_rows(get):
+    docs = get("docs").withColumns({
+        "thumbnail": F.when(F.col("id") % 3 == 0, F.concat(F.lit("t/"), F.col("id").cast("string"), F.lit(".jpg"))), "pdf_file": F.when(F.col("id") % 4 != 3, F.concat(F.lit("pdfs/"), "filename")).otherwise(""),
+        "updated_at": F.timestamp_add("MILLISECOND", F.col("id") * 1001, F.col("created_at")), "file_type": library.file_type(F.col("filename")),
+    })
+    links = get("doc_tags").withColumnRenamed("tag", "tag_id")
+    return library.rows(docs, get("doc_pages"), links, "https://host/").withColumn("tag_ids", F.array_join("tag_ids", "|"))
+
+
+query("doc_tag_search", f"""{with_views("docs", "doc_tags")} SELECT id, filename FROM docs WHERE deleted_at IS NULL AND id IN (SELECT document_id FROM doc_tags WHERE tag = 'PROMO')""")(
+    lambda get: library.search(get("docs"), get("doc_tags"), tag="PROMO").select("id", "filename")
+)
+query("usable_sessions", f"""{with_views("doc_pages")} SELECT document_id, page_number FROM doc_pages WHERE (document_id + page_number) % 3 = 2""")(
+    lambda get: library.with_usable_session(
+        get("doc_pages").withColumn("session_id", F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.lit("s")), ((F.col("document_id") + F.col("page_number")) % 3 + 1).cast("int")))
+    ).select("document_id", "page_number")
+)
+
+
+def _new_documents(get) -> DataFrame:
+    """A new document for each that is there, blank for even ids, and rows that repeat ids."""
+    d = get("docs")
+    new = d.select(
+        (-1 - F.col("id")).alias("id"), F.when(F.col("id") % 4 != 0, F.col("filename")).alias("filename"), F.when(F.col("id") % 2 == 0, "blank").alias("file_type"), "page_count", "file_size",
+        F.when(F.col("id") % 3 == 0, "n1").when(F.col("id") % 3 == 1, "nowhere").alias("folder_id"), "created_at",
+    )
+    return new.unionByName(new).unionByName(d.select("id", "filename", F.lit("blank").alias("file_type"), "page_count", "file_size", "folder_id", "created_at"))
+
+
+@query("document_create", f"""{with_views("docs")}, c AS (SELECT id, filename, status, page_count, file_size, folder_id, NULL AS first_status FROM docs UNION ALL
+SELECT -1 - id, CASE WHEN id % 4 = 0 THEN 'Untitled' ELSE filename END, 'uploaded', CASE WHEN id % 2 = 0 THEN 1 ELSE page_count END, CASE WHEN id % 2 = 0 THEN 0 ELSE file_size END,
+  CASE WHEN id % 3 = 0 THEN 'n1' END, CASE WHEN id % 2 = 0 THEN 'idle' END FROM docs) SELECT *, CASE WHEN id < 0 THEN 'uploaded' END AS action FROM c""")
+def _document_create(get):
+    docs, pages, acts = mutations.create_documents(get("docs"), get("doc_pages").where("page_number < 0"), get("activity").where("document_id < 0"), get("folders"), _new_documents(get))
+    first = pages.where("page_number = 1").select(F.col("document_id").alias("id"), F.col("status").alias("first_status"))
+    said = acts.select(F.col("document_id").alias("id"), "action")
+    return docs.select("id", "filename", "status", "page_count", "file_size", "folder_id").join(first, "id", "left").join(said, "id", "left")
+
+
+query("doc_move", f"""{with_views("docs")} SELECT id, CASE id % 4 WHEN 0 THEN 'n3' WHEN 2 THEN NULL ELSE folder_id END AS folder_id FROM docs""")(
+    lambda get: mutations.move(
+        get("docs"), get("docs").where("id % 4 < 3").select("id", F.when(F.col("id") % 4 == 0, "n3").when(F.col("id") % 4 == 1, "nowhere").alias("folder_id")), get("folders")
+    ).select("id", "folder_id")
+)
+query("folder_create", f"""{with_views("folders")} SELECT id, name, parent_id FROM folders UNION ALL SELECT 'x' || id, 'new ' || name, id FROM folders WHERE parent_id IS NULL""")(
+    lambda get: mutations.create_folders(
+        get("folders"),
+        get("folders").select(
+            F.concat(F.lit("x"), "id").alias("id"), F.when(F.col("id") == "n2", "  ").otherwise(F.concat(F.lit(" new "), "name", F.lit(" "))).alias("name"), F.when(F.col("parent_id").isNull(), F.col("id")).otherwise("nowhere").alias("parent_id")
+        ),
+    )
+)
+query("folder_save", f"""{with_views("folders")} SELECT id, CASE WHEN parent_id = 'r1' THEN 'renamed' ELSE name END AS name, CASE WHEN parent_id = 'r1' THEN 'r2' ELSE parent_id END AS parent_id FROM folders""")(
+    lambda get: mutations.save_folders(
+        get("folders"), get("folders").where("parent_id IS NOT NULL").select("id", F.lit(" renamed ").alias("name"), F.when(F.col("parent_id") == "r1", "r2").otherwise("nowhere").alias("parent_id"))
+    )
+)
+query("tag_create", f"""{with_views("folders")}, t AS (SELECT id, name, 'red' AS color FROM folders WHERE parent_id IS NULL)
+SELECT * FROM t UNION ALL SELECT min(id), name, 'gray' FROM folders WHERE name NOT IN (SELECT name FROM t) GROUP BY name""")(
+    lambda get: mutations.create_tags(
+        get("folders").where("parent_id IS NULL").select("id", "name", F.lit("red").alias("color")), get("folders").select("id", F.concat(F.lit(" "), "name").alias("name"), F.lit(None).cast("string").alias("color"))
+    )
+)
+query("bbox_corners", f"""{with_views("boxes")} SELECT page_id, det_idx, x1, y1, x2, y2 FROM boxes WHERE det_idx % 3 = 0""")(
+    lambda get: layout.with_corners(
+        get("boxes").select("page_id", "det_idx", F.when(F.col("det_idx") % 3 == 0, F.array("x1", "y1", "x2", "y2")).when(F.col("det_idx") % 3 == 1, F.array("x1", "y1", "x2")).alias("bbox"))
+    ).drop("bbox")
+)
+
+
+def _element(*fields) -> DataFrame:
+    return F.array_sort(F.collect_list(F.struct("det_idx", *fields)))
+
+
+query("cell_element_order", f"""{with_views("boxes")}, e AS (SELECT page_id, det_idx, CASE WHEN det_idx % 4 = 3 THEN {PAGE_H / 2} ELSE least(y1, y2) END AS t, CASE WHEN det_idx % 4 = 3 THEN {PAGE_W / 2} ELSE least(x1, x2) END AS l FROM boxes)
+SELECT page_id, det_idx, row_number() OVER (PARTITION BY page_id ORDER BY t, l, det_idx) - 1 AS pos FROM e""")(
+    lambda get: get("boxes").groupBy("page_id").agg(_element(F.when(F.col("det_idx") % 4 != 3, F.array("x2", "y2", "x1", "y2", "x1", "y1", "x2", "y1")).alias("position")).alias("e"))
+    .select("page_id", F.posexplode(models.cell_elements(F.col("e"), F.lit(PAGE_W), F.lit(PAGE_H))).alias("pos", "o")).select("page_id", "o.det_idx", "pos")
+)
+query("line_element_order", f"""{with_views("boxes")} SELECT page_id, det_idx, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN det_idx % 4 = 3 THEN 0 ELSE class_id END, x1, det_idx) - 1 AS pos FROM boxes""")(
+    lambda get: get("boxes").groupBy("page_id").agg(_element(F.when(F.col("det_idx") % 4 != 3, F.col("class_id")).alias("line_number"), F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y")).alias("e"))
+    .select("page_id", F.posexplode(models.ordered_elements(F.col("e"))).alias("pos", "o")).select("page_id", "o.det_idx", "pos")
+)
+query("deskew_angle", f"""{with_views("boxes", "tables")}, p AS (SELECT page_id, (class_id - 5) * 0.5 AS angle, (x1 * 7919 + y1 * 104729) % 100003 AS row_sum FROM boxes),
+v AS (SELECT page_id, angle, var_pop(row_sum) AS v FROM p GROUP BY ALL), b AS (SELECT page_id, arg_max(angle, (v, -angle)) AS angle FROM v GROUP BY 1)
+SELECT table_id AS crop_id, CAST(CASE WHEN n_rows * 20 >= 60 THEN coalesce(angle, 0) ELSE 0 END AS DOUBLE) AS angle FROM tables LEFT JOIN b ON page_id = table_id""")(
+    lambda get: tables.deskew_angle(
+        get("tables").select(F.col("table_id").alias("crop_id"), F.col("crop_w").alias("w"), (F.col("n_rows") * 20).alias("h")),
+        get("boxes").select(F.col("page_id").alias("crop_id"), ((F.col("class_id") - 5) * F.lit(0.5)).alias("angle"), ((F.col("x1") * 7919 + F.col("y1") * 104729) % 100003).alias("row_sum")),
+    )
+)
+query("cell_upscale", f"""{with_views("tables")} SELECT table_id, CAST(CASE WHEN w < 128 OR h < 128 THEN greatest(CAST(128 AS DOUBLE) / greatest(w, 1), CAST(128 AS DOUBLE) / greatest(h, 1), 1) ELSE 1 END AS DOUBLE) AS scale
+FROM (SELECT table_id, crop_w // n_cols AS w, crop_h // n_rows AS h FROM tables)""")(
+    lambda get: get("tables").select("table_id", F.floor(F.col("crop_w") / F.col("n_cols")).alias("w"), F.floor(F.col("crop_h") / F.col("n_rows")).alias("h")).select("table_id", tables.upscale(F.col("w"), F.col("h"), 128).alias("scale"))
+)
+query("table_cells", f"""{with_views("tables")}, r AS (SELECT *, unnest(range(0, n_rows)) AS r FROM tables), c AS (SELECT *, unnest(range(0, n_cols)) AS c FROM r),
+s AS (SELECT table_id, r, string_agg(r || ':' || c || CASE WHEN r < header_rows THEN 'header' ELSE 'data' END, ',' ORDER BY c) AS s FROM c GROUP BY table_id, r)
+SELECT table_id, string_agg(s, ';' ORDER BY r) AS cells FROM s GROUP BY table_id""")(
+    lambda get: tables.regroup(tables.grid(_tables(get)).select("table_id", "r", "c", F.concat(F.col("r").cast("string"), F.lit(":"), F.col("c").cast("string"), "cell_type").alias("content")))
+    .select("table_id", F.array_join(F.transform("cells", lambda row: F.array_join(row, ",")), ";").alias("cells"))
+)
+query("block_durations", f"""{with_views("activity")} SELECT id, round_even(id % 90001 / 100, 0) / 10 AS duration_ms FROM activity""")(
+    lambda get: get("activity").select("id", text.duration_ms(F.col("created_at"), F.timestamp_add("MICROSECOND", F.col("id") % 90001, F.col("created_at"))).alias("duration_ms"))
+)
+query("data_url_bytes", "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN md5(text) END AS digest FROM documents")(
+    lambda get: get("texts").select("doc_id", F.md5(text.data_url_bytes(F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8")))).otherwise("none"))).alias("digest"))
+)

@@ -63,6 +63,7 @@ SELECT p_partkey AS table_id, CAST(2 + p_size % 6 AS INT) AS n_rows, CAST(2 + p_
        CAST(p_partkey % 3 AS INT) AS header_rows, CASE WHEN p_partkey % 2 = 0 THEN 'edited' ELSE 'tatr' END AS source,
        CAST(400 + p_partkey % 200 AS INT) AS crop_w, CAST(300 + p_size * 4 AS INT) AS crop_h
 FROM part""",
+    "texts": "SELECT doc_id, text FROM documents",
     "formulas": """
 SELECT doc_id AS id,
        CONCAT('$$ α', CAST(doc_id % 90 AS STRING), ' × β ≤ γ ', CASE doc_id % 4 WHEN 0 THEN '→' WHEN 1 THEN '<=' WHEN 2 THEN '∑' ELSE '°' END, ' x_', CAST(10 + doc_id % 80 AS STRING), ' $$') AS expr

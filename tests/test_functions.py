@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagelattice.functions import latex, text
-from pagelattice.operators import export, library
+from pagelattice.operators import export, layout, library, questions, tables
 
 
 def one_by_one(expr):
@@ -77,3 +77,15 @@ def test_rendered_table(spark):
     html, md = df.select(export.block_html(F.col("b")), export.block_md(F.col("b"))).first()
     assert html == '<table style="border-collapse:collapse;width:100%"><tr><th><span>h</span> </th><th><span>i</span> </th></tr><tr><td><span>&lt;1&gt;</span> </td><td></td></tr></table>'
     assert md == "| h | i |\n| --- | --- |\n| <1> |  |"
+
+
+def test_times_corners_and_types(spark):
+    at = spark.sql("SELECT TIMESTAMP '2024-01-02 03:04:05.000600' AS t, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS n, CAST(NULL AS TIMESTAMP) AS z")
+    assert tuple(at.select(text.isoformat(F.col("t")), text.isoformat(F.col("n")), text.isoformat(F.col("z"))).first()) == ("2024-01-02T03:04:05.000600+00:00", "2024-01-02T03:04:05+00:00", None)
+    p = spark.createDataFrame([([3.0, 9.0, 1.0, 7.0],), ([],), (None,), ([1.0, 2.0, 3.0],), ([1.0, None],)], "p array<double>")
+    assert [tuple(r["c"]) for r in p.select(layout.top_left(F.col("p"), F.lit(10), F.lit(20)).alias("c")).collect()] == [(7.0, 1.0)] + [(10.0, 5.0)] * 4
+    assert layout.with_corners(p.select(F.col("p").alias("bbox"))).count() == 1
+    none = F.lit(None).cast("string")
+    assert spark.range(1).select(questions.question_type(none, F.lit(0)), questions.question_type(F.lit(""), F.lit(0))).first()[:] == ("unknown", "subjective")
+    angles = spark.range(1).select(tables.skew_angles().alias("a")).first()["a"]
+    assert len(angles) == 41 and (angles[0], angles[20], angles[40]) == (-10.0, 0.0, 10.0)

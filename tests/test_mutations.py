@@ -67,3 +67,23 @@ def test_next_page_of_a_document_without_pages(spark):
     pages = spark.createDataFrame([(1, 4)], "document_id long, page_number int")
     docs = spark.createDataFrame([(1,), (2,)], "id long")
     assert sorted(map(tuple, library.last_page(pages, docs).collect())) == [(1, 5), (2, 1)]
+
+
+def test_creation_leaves_out_what_it_must(spark):
+    folders = spark.createDataFrame([("f", "F", None)], "id string, name string, parent_id string")
+    new = spark.createDataFrame([("a", "  x ", None), ("b", " ", None), ("c", "y", "none"), ("d", "z", "f"), ("e", None, None)], "id string, name string, parent_id string")
+    assert sorted(map(tuple, mutations.create_folders(folders, new).collect()), key=str) == [("a", "x", None), ("d", "z", "f"), ("f", "F", None)]
+    assert mutations.create_folders(folders, new.limit(0)).count() == 1
+    tags = spark.createDataFrame([("t", "old", "red")], "id string, name string, color string")
+    more = spark.createDataFrame([("u", "old ", None), ("v", "n", None), ("w", " n", "blue"), ("x", "", None)], tags.schema)
+    assert sorted(map(tuple, mutations.create_tags(tags, more).collect())) == [("t", "old", "red"), ("v", "n", "gray")]
+    links = spark.createDataFrame([(1, "t"), (2, "u")], "document_id int, tag_id string")
+    left, linked = mutations.delete_tags(tags, links, spark.createDataFrame([("t",), ("t",)], "id string"))
+    assert left.count() == 0 and [tuple(r) for r in linked.collect()] == [(2, "u")]
+
+
+def test_moves_to_the_root_and_to_nowhere(spark):
+    docs = spark.createDataFrame([(1, "f"), (2, "f"), (3, "f")], "id int, folder_id string")
+    folders = spark.createDataFrame([("f",), ("g",)], "id string")
+    change = spark.createDataFrame([(1, None), (2, "none"), (3, "g"), (3, None), (9, "g")], docs.schema)
+    assert sorted(map(tuple, mutations.move(docs, change, folders).collect())) == [(1, None), (2, "f"), (3, "g")]
