@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, merkle, mixing, ngram_join, pieces, secrets, toxicity, url_filter, vectors, warc
+from . import chat, decontaminate, fingerprints, lexical_search, merkle, mixing, ngram_join, pieces, secrets, toxicity, url_filter, vectors, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.query,
     "op9_url_filters": url_filter.query,
     "op10_warc": warc.query,
+    "op11_ranked_lexical_search": lexical_search.query,
     "op12_decontamination": decontaminate.query,
     "op13_merkle_manifest": merkle.query,
 }
@@ -22,5 +23,6 @@ ORACLES = {
     "op8_chat_formatting": chat.ORACLE,
     "op9_url_filters": url_filter.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_ranked_lexical_search": lexical_search.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
