@@ -131,11 +131,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def learned(formatted: DataFrame) -> DataFrame:
     """formatted plus loss: the texts under the mask loss_spans, cut out of the rendered string and unescaped, joined.
 
-    The string is cut as four bytes a code point, so that each cut costs its own length wherever it lies.
+    The string is cut as four bytes a code point, so that each cut costs its own length wherever it lies. The decoder takes a mark of
+    the byte order off the front, so it gets one of its own and leaves those of the text.
     """
+    mark = F.lit(bytearray(b"\x00\x00\xfe\xff"))
+
     def cut_out(wide: Column) -> Column:
         piece = lambda s: F.substr(wide, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int"))
-        return F.array_join(F.transform("loss_spans", lambda s: unescape(F.decode(piece(s), "UTF-32"))), "")
+        return F.array_join(F.transform("loss_spans", lambda s: unescape(F.decode(F.concat(mark, piece(s)), "UTF-32"))), "")
 
     wide = F.array(F.encode("formatted", "UTF-32"))  # bound once, not once a span
     return formatted.withColumn("loss", F.get(F.transform(wide, cut_out), F.lit(0)))

@@ -31,9 +31,9 @@ from . import postings, shared
 
 MOST = 50
 #: Documents and text bytes of a block.
-BLOCK_DOCS, BLOCK_BYTES = 64, 1 << 20
+BLOCK_DOCS, BLOCK_BYTES = 16, 1 << 20
 #: Blocks of a query that are scored for its first threshold.
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 32
 #: Distinct terms of queries that are sent to all tasks at once, counted for each query, on average.
 QUERY_TERMS = 200_000
 #: Cells of a matrix of a block's terms and queries that is held at once.

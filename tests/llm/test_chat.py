@@ -74,3 +74,12 @@ def test_events_fold(spark):
     got = sorted((r["message_id"], r["role"], r["text"]) for r in chat.fold_events(df.repartition(5)).collect())
     assert got == [(1, "user", "Hello"), (2, "assistant", "good"), (3, "user", "y"), (5, "", "")]
     assert chat.fold_events(df.limit(0)).collect() == []
+
+
+def test_byte_order_marks_are_text(spark):
+    """A mark that begins, ends or is a text stays in what is learned from it."""
+    texts = ["\ufeffhello", "in\ufeffside", "\ufeff", "\ufeff\ufeff", "end\ufeff", "", "\U0001f600\ufeff"]
+    rows = [(1, 2 * i + k, ("user", "assistant")[k], t) for i, t in enumerate(texts) for k in (0, 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    out = chat.learned(chat.render(chat.fold_events(chat.as_events(turns)))).first()
+    assert out["loss"] == "".join(texts)
