@@ -13,53 +13,236 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values from here to SECOND_SYMBOLS: which command stands for which symbol.
-GREEK = dict(
-    zip(
-        "αβγδεζηθικλμνξπρστυφχψωϵϑϕϱϖϝϰςΓΔΘΛΞΠΣΥΦΨΩℵℶℸℷ",
-        "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega "
-        "varepsilon vartheta varphi varrho varpi digamma varkappa varsigma "
-        "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega aleph beth daleth gimel".split(),
-        strict=True,
-    )
-)
-LARGE = dict(zip("∑∏∐∫∮∬∭⋂⋃⊎⋁⋀⨆", "sum prod coprod int oint iint iiint bigcap bigcup biguplus bigvee bigwedge bigsqcup".split(), strict=True))
-ARROWS = dict(
-    zip(
-        "←→↑↓↔↕⇐⇒⇑⇓⇔⇕↦↩↪↼↽⇀⇁⇌↗↘↙↖↠↞↣↢↻↺↚↛⇍⇏⇎⇝",
-        "leftarrow rightarrow uparrow downarrow leftrightarrow updownarrow Leftarrow Rightarrow Uparrow Downarrow Leftrightarrow Updownarrow "
-        "mapsto hookleftarrow hookrightarrow leftharpoonup leftharpoondown rightharpoonup rightharpoondown rightleftharpoons "
-        "nearrow searrow swarrow nwarrow twoheadrightarrow twoheadleftarrow rightarrowtail leftarrowtail circlearrowright circlearrowleft "
-        "nleftarrow nrightarrow nLeftarrow nRightarrow nLeftrightarrow leadsto".split(),
-        strict=True,
-    )
-)
-BINARY = dict(
-    zip(
-        "×÷±∓·∘•⊕⊗⊖⊘⊙†‡∧∨∩∪⊔⊓⊠⊞⊟⊡⊻⊼⋏⋎⊥⊤⊺△▽◁▷",
-        "times div pm mp cdot circ bullet oplus otimes ominus oslash odot dagger ddagger wedge vee cap cup sqcup sqcap "
-        "boxtimes boxplus boxminus boxdot veebar barwedge curlywedge curlyvee bot top intercal bigtriangleup bigtriangledown triangleleft triangleright".split(),
-        strict=True,
-    )
-)
-RELATIONS = dict(
-    zip(
-        "≡≅≈∼≃≐∝∣∥⊂⊃⊆⊇⊏⊐⊑⊒∈∉∋⊢⊣⊨≺≻≼≽≪≫⌣⌢∴∵≠≤≥≦≧⩽⩾≁≇∤∦⊄⊅≮≯≰≱",
-        "equiv cong approx sim simeq doteq propto mid parallel subset supset subseteq supseteq sqsubset sqsupset sqsubseteq sqsupseteq in notin ni "
-        "vdash dashv models prec succ preceq succeq ll gg smile frown therefore because neq leq geq leqq geqq leqslant geqslant "
-        "nsim ncong nmid nparallel nsubseteq nsupseteq nless ngtr nleq ngeq".split(),
-        strict=True,
-    )
-)
-MISC = dict(
-    zip(
-        "∞∇∂∀∃∄∅∠√…⋯⋮⋱ℏℓ℘ℜℑ♣♦♥♠★◇∡∢ð§¶©£",
-        "infty nabla partial forall exists nexists emptyset angle sqrt ldots cdots vdots ddots hbar ell wp Re Im clubsuit diamondsuit heartsuit spadesuit "
-        "bigstar Diamond measuredangle sphericalangle eth S P copyright pounds".split(),
-        strict=True,
-    )
-)
-PLAIN = {"°": r"^{\circ}", "′": "'", "″": "''", "‴": "'''"}
+# Fixed values from here to UNITS: which command stands for which symbol.
+GREEK = {
+    "α": "alpha",
+    "β": "beta",
+    "γ": "gamma",
+    "δ": "delta",
+    "ε": "epsilon",
+    "ζ": "zeta",
+    "η": "eta",
+    "θ": "theta",
+    "ι": "iota",
+    "κ": "kappa",
+    "λ": "lambda",
+    "μ": "mu",
+    "ν": "nu",
+    "ξ": "xi",
+    "π": "pi",
+    "ρ": "rho",
+    "σ": "sigma",
+    "τ": "tau",
+    "υ": "upsilon",
+    "φ": "phi",
+    "χ": "chi",
+    "ψ": "psi",
+    "ω": "omega",
+    "ϵ": "varepsilon",
+    "ϑ": "vartheta",
+    "ϕ": "varphi",
+    "ϱ": "varrho",
+    "ϖ": "varpi",
+    "ϝ": "digamma",
+    "ϰ": "varkappa",
+    "ς": "varsigma",
+    "Γ": "Gamma",
+    "Δ": "Delta",
+    "Θ": "Theta",
+    "Λ": "Lambda",
+    "Ξ": "Xi",
+    "Π": "Pi",
+    "Σ": "Sigma",
+    "Υ": "Upsilon",
+    "Φ": "Phi",
+    "Ψ": "Psi",
+    "Ω": "Omega",
+    "ℵ": "aleph",
+    "ℶ": "beth",
+    "ℸ": "daleth",
+    "ℷ": "gimel",
+}
+LARGE = {
+    "∑": "sum",
+    "∏": "prod",
+    "∐": "coprod",
+    "∫": "int",
+    "∮": "oint",
+    "∬": "iint",
+    "∭": "iiint",
+    "⋂": "bigcap",
+    "⋃": "bigcup",
+    "⊎": "biguplus",
+    "⋁": "bigvee",
+    "⋀": "bigwedge",
+    "⨆": "bigsqcup",
+}
+ARROWS = {
+    "←": "leftarrow",
+    "→": "rightarrow",
+    "↑": "uparrow",
+    "↓": "downarrow",
+    "↔": "leftrightarrow",
+    "↕": "updownarrow",
+    "⇐": "Leftarrow",
+    "⇒": "Rightarrow",
+    "⇑": "Uparrow",
+    "⇓": "Downarrow",
+    "⇔": "Leftrightarrow",
+    "⇕": "Updownarrow",
+    "↦": "mapsto",
+    "↩": "hookleftarrow",
+    "↪": "hookrightarrow",
+    "↼": "leftharpoonup",
+    "↽": "leftharpoondown",
+    "⇀": "rightharpoonup",
+    "⇁": "rightharpoondown",
+    "⇌": "rightleftharpoons",
+    "↗": "nearrow",
+    "↘": "searrow",
+    "↙": "swarrow",
+    "↖": "nwarrow",
+    "↠": "twoheadrightarrow",
+    "↞": "twoheadleftarrow",
+    "↣": "rightarrowtail",
+    "↢": "leftarrowtail",
+    "↻": "circlearrowright",
+    "↺": "circlearrowleft",
+    "↚": "nleftarrow",
+    "↛": "nrightarrow",
+    "⇍": "nLeftarrow",
+    "⇏": "nRightarrow",
+    "⇎": "nLeftrightarrow",
+    "⇝": "leadsto",
+}
+BINARY = {
+    "×": "times",
+    "÷": "div",
+    "±": "pm",
+    "∓": "mp",
+    "·": "cdot",
+    "∘": "circ",
+    "•": "bullet",
+    "⊕": "oplus",
+    "⊗": "otimes",
+    "⊖": "ominus",
+    "⊘": "oslash",
+    "⊙": "odot",
+    "†": "dagger",
+    "‡": "ddagger",
+    "∧": "wedge",
+    "∨": "vee",
+    "∩": "cap",
+    "∪": "cup",
+    "⊔": "sqcup",
+    "⊓": "sqcap",
+    "⊠": "boxtimes",
+    "⊞": "boxplus",
+    "⊟": "boxminus",
+    "⊡": "boxdot",
+    "⊻": "veebar",
+    "⊼": "barwedge",
+    "⋏": "curlywedge",
+    "⋎": "curlyvee",
+    "⊥": "bot",
+    "⊤": "top",
+    "⊺": "intercal",
+    "△": "bigtriangleup",
+    "▽": "bigtriangledown",
+    "◁": "triangleleft",
+    "▷": "triangleright",
+}
+RELATIONS = {
+    "≡": "equiv",
+    "≅": "cong",
+    "≈": "approx",
+    "∼": "sim",
+    "≃": "simeq",
+    "≐": "doteq",
+    "∝": "propto",
+    "∣": "mid",
+    "∥": "parallel",
+    "⊂": "subset",
+    "⊃": "supset",
+    "⊆": "subseteq",
+    "⊇": "supseteq",
+    "⊏": "sqsubset",
+    "⊐": "sqsupset",
+    "⊑": "sqsubseteq",
+    "⊒": "sqsupseteq",
+    "∈": "in",
+    "∉": "notin",
+    "∋": "ni",
+    "⊢": "vdash",
+    "⊣": "dashv",
+    "⊨": "models",
+    "≺": "prec",
+    "≻": "succ",
+    "≼": "preceq",
+    "≽": "succeq",
+    "≪": "ll",
+    "≫": "gg",
+    "⌣": "smile",
+    "⌢": "frown",
+    "∴": "therefore",
+    "∵": "because",
+    "≠": "neq",
+    "≤": "leq",
+    "≥": "geq",
+    "≦": "leqq",
+    "≧": "geqq",
+    "⩽": "leqslant",
+    "⩾": "geqslant",
+    "≁": "nsim",
+    "≇": "ncong",
+    "∤": "nmid",
+    "∦": "nparallel",
+    "⊄": "nsubseteq",
+    "⊅": "nsupseteq",
+    "≮": "nless",
+    "≯": "ngtr",
+    "≰": "nleq",
+    "≱": "ngeq",
+}
+MISC = {
+    "∞": "infty",
+    "∇": "nabla",
+    "∂": "partial",
+    "∀": "forall",
+    "∃": "exists",
+    "∄": "nexists",
+    "∅": "emptyset",
+    "∠": "angle",
+    "√": "sqrt",
+    "…": "ldots",
+    "⋯": "cdots",
+    "⋮": "vdots",
+    "⋱": "ddots",
+    "ℏ": "hbar",
+    "ℓ": "ell",
+    "℘": "wp",
+    "ℜ": "Re",
+    "ℑ": "Im",
+    "♣": "clubsuit",
+    "♦": "diamondsuit",
+    "♥": "heartsuit",
+    "♠": "spadesuit",
+    "★": "bigstar",
+    "◇": "Diamond",
+    "∡": "measuredangle",
+    "∢": "sphericalangle",
+    "ð": "eth",
+    "§": "S",
+    "¶": "P",
+    "©": "copyright",
+    "£": "pounds",
+}
+PLAIN = {
+    "°": r"^{\circ}",
+    "′": "'",
+    "″": "''",
+    "‴": "'''",
+}
 FUNCTIONS = "arccos arcsin arctan arg cos cosh cot coth csc deg det dim exp gcd hom inf ker lg liminf limsup lim ln log max min Pr sec sin sinh sup tan tanh".split()
 UNITS = "kg ms nm km mol rad eV MeV GeV Hz kHz MHz Pa bar".split()
 BRACED_ACCENTS = "hat vec bar tilde dot ddot acute grave breve check".split()
@@ -77,28 +260,63 @@ def rules() -> list:
     braced = [(rf"\\{name}\s*\{{", rf"\\{name}{{") for name in BRACED_ACCENTS]
     built = [(rf"\\{name}\s*\{{", rf"\\{name}{{") for name in BRACED_CONSTRUCTS]
     return [
-        (r"^```latex\s*", ""), (r"^```\s*", ""), (r"```\s*$", ""), (r"^\$\$\s*", ""), (r"\s*\$\$$", ""), (r"^\$\s*", ""), (r"\s*\$$", ""), (r"\\\\$", ""),
-        (r"\\[,:;!]\s*", " "), (r"\\quad\s*", " "), (r"\\qquad\s*", "  "), (r"\\hspace\{[^}]*\}", " "), (r"\\vspace\{[^}]*\}", ""), (r"~", " "),
+        (r"^```latex\s*", ""),
+        (r"^```\s*", ""),
+        (r"```\s*$", ""),
+        (r"^\$\$\s*", ""),
+        (r"\s*\$\$$", ""),
+        (r"^\$\s*", ""),
+        (r"\s*\$$", ""),
+        (r"\\\\$", ""),
+        (r"\\[,:;!]\s*", " "),
+        (r"\\quad\s*", " "),
+        (r"\\qquad\s*", "  "),
+        (r"\\hspace\{[^}]*\}", " "),
+        (r"\\vspace\{[^}]*\}", ""),
+        (r"~", " "),
         FIRST_SYMBOLS,
-        (r"<=>", r"\\Leftrightarrow"), (r"(?<![=\-])-+>", r"\\rightarrow"), (r"<-+(?![=\-])", r"\\leftarrow"), (r"=+>", r"\\Rightarrow"),
+        (r"<=>", r"\\Leftrightarrow"),
+        (r"(?<![=\-])-+>", r"\\rightarrow"),
+        (r"<-+(?![=\-])", r"\\leftarrow"),
+        (r"=+>", r"\\Rightarrow"),
         {k: "\\" + v for k, v in BINARY.items()},
         (r"(?<=[A-Za-z0-9}])\s*\*\s*(?=[A-Za-z0-9{\\])", r"\\cdot"),
         {k: "\\" + v for k, v in RELATIONS.items()},
-        (r"(?<![<\\])<=(?!=)", r"\\leq"), (r"(?<![>\\])>=(?!=)", r"\\geq"), (r"(?<![!=])!=", r"\\neq"),
+        (r"(?<![<\\])<=(?!=)", r"\\leq"),
+        (r"(?<![>\\])>=(?!=)", r"\\geq"),
+        (r"(?<![!=])!=", r"\\neq"),
         {k: "\\" + v for k, v in MISC.items()} | PLAIN,
         *braced,
-        (r"\\frac\s+\{", r"\\frac{"), (r"\\frac\s+(\w)\s+(\w)", r"\\frac{\1}{\2}"), (r"\\sqrt\s+(\w)", r"\\sqrt{\1}"),
-        (r"\^([A-Za-z0-9]{2,})", r"^{\1}"), (r"_([A-Za-z0-9]{2,})", r"_{\1}"), (r"_\{\s*\\,\s*", "_{"),
+        (r"\\frac\s+\{", r"\\frac{"),
+        (r"\\frac\s+(\w)\s+(\w)", r"\\frac{\1}{\2}"),
+        (r"\\sqrt\s+(\w)", r"\\sqrt{\1}"),
+        (r"\^([A-Za-z0-9]{2,})", r"^{\1}"),
+        (r"_([A-Za-z0-9]{2,})", r"_{\1}"),
+        (r"_\{\s*\\,\s*", "_{"),
         *built,
-        (r"\\left\s*\(", r"\\left("), (r"\\right\s*\)", r"\\right)"), (r"\\left\s*\[", r"\\left["), (r"\\right\s*\]", r"\\right]"),
-        (r"\\left\s*\\\{", r"\\left\{"), (r"\\right\s*\\\}", r"\\right\}"), (r"\{\s+", "{"), (r"\s+\}", "}"),
-        (r"\\textbf\{([^}]+)\}", r"\\mathbf{\1}"), (r"\\text\{([^}]+)\}", r"\\mathrm{\1}"), (r"\\mathbb\{([a-z])\}", r"\\mathbf{\1}"),
-        (r"\\hat\{\\textbf\{([^}]+)\}\}", r"\\hat{\\mathbf{\1}}"), (r"\\mathbf\{([^}=]+)=\}", r"\\mathbf{\1}="), (r"\\operatorname\s*\{", r"\\operatorname{"),
+        (r"\\left\s*\(", r"\\left("),
+        (r"\\right\s*\)", r"\\right)"),
+        (r"\\left\s*\[", r"\\left["),
+        (r"\\right\s*\]", r"\\right]"),
+        (r"\\left\s*\\\{", r"\\left\{"),
+        (r"\\right\s*\\\}", r"\\right\}"),
+        (r"\{\s+", "{"),
+        (r"\s+\}", "}"),
+        (r"\\textbf\{([^}]+)\}", r"\\mathbf{\1}"),
+        (r"\\text\{([^}]+)\}", r"\\mathrm{\1}"),
+        (r"\\mathbb\{([a-z])\}", r"\\mathbf{\1}"),
+        (r"\\hat\{\\textbf\{([^}]+)\}\}", r"\\hat{\\mathbf{\1}}"),
+        (r"\\mathbf\{([^}=]+)=\}", r"\\mathbf{\1}="),
+        (r"\\operatorname\s*\{", r"\\operatorname{"),
         (rf"(?<!\\)\b({'|'.join(FUNCTIONS)})\b(?=\s*[\(\{{])", r"\\\1"),
-        (r"\bd\s+([A-Z])\b", r"d\1"), (r"\bd\s+([a-z])\b", r"d\1"), (rf"(\d)\s*({'|'.join(UNITS)})", r"\1\\,\\mathrm{\2}"),
-        (r"\\mathrm\{([A-Z][a-z]?)\}(\d)", r"\\ce{\1\2}"), (r"\\rightleftharpoons", r"\\ce{<=>}"), (r"\\xrightarrow\{([^}]*)\}", r"\\ce{->[\1]}"),
+        (r"\bd\s+([A-Z])\b", r"d\1"),
+        (r"\bd\s+([a-z])\b", r"d\1"),
+        (rf"(\d)\s*({'|'.join(UNITS)})", r"\1\\,\\mathrm{\2}"),
+        (r"\\mathrm\{([A-Z][a-z]?)\}(\d)", r"\\ce{\1\2}"),
+        (r"\\rightleftharpoons", r"\\ce{<=>}"),
+        (r"\\xrightarrow\{([^}]*)\}", r"\\ce{->[\1]}"),
         (r"\s+", " "),
-    ]
+    ]
 
 
 def _step(rule):

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import normalize_cell, round_exact, split_row, strip
+from ..functions.text import bound, normalize_cell, round_exact, split_row, strip
 
 CELL_PADDING, CELL_LEAST, TYPING_LEAST = 4, 32, 128
 #: Annotation categories; fixed values.
@@ -115,48 +111,43 @@ def tsv(lines: Column) -> Column:
     return F.array_join(F.transform(cells, lambda r: F.array_join(F.transform(r, normalize_cell), "\t")), "\n")
 
 
-def _cells(line: str) -> list[str]:
-    parts = [p.strip() for p in line.split("|")]
-    return parts[1 if parts and not parts[0] else 0 : len(parts) - 1 if len(parts) > 1 and not parts[-1] else len(parts)]
+def _upper(c: Column) -> Column:
+    """Some letter is upper case, and none lower or title case."""
+    return c.rlike(r"\p{IsUppercase}") & ~c.rlike(r"[\p{IsLowercase}\p{Lt}]")
 
 
-_EDGES, _SPACES = re.compile(r"^\s*\|\s*|\s*\|\s*$"), re.compile(r"[^\S\r\n]+")
+def format_table(lines: Column) -> Column:
+    """A pipe table of lines with equal columns and one separator; empty without cells, null for null.
 
+    A first row of short or upper-case cells gets the separator below it. Other rows of dashes, or of empty cells, go; the
+    separator follows the first row if none of them went.
+    """
+    rows = F.filter(F.transform(F.filter(F.transform(lines, strip), lambda x: x != ""), split_row), lambda r: F.size(r) > 0)
+    return bound(F.transform(rows, lambda r: F.transform(r, normalize_cell)), _ruled)
 
-def _heading(row: list[str]) -> bool:
-    return all(len(c) <= 15 for c in row) or all(c.isupper() for c in row if len(c) > 1)
 
+def _show(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-def pipe_table(lines: list[str]) -> str:
-    """A pipe table with equal columns and one separator.
 
-    A first row that reads like a heading gets the separator; a row of dashes (or of empty cells) goes and counts as one;
-    if there was neither, the separator follows the first row.
-    """
-    rows = [r for r in (_cells(x.strip()) for x in lines if x.strip()) if r]
-    rows = [[_SPACES.sub(" ", _EDGES.sub("", c).replace("\\|", "|")).strip() for c in r] for r in rows]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    show = lambda r: "| " + " | ".join(r) + " |"
-    dashes = show(["---"] * width)
-    out, done = [], False
-    for i, r in enumerate(r + [""] * (width - len(r)) for r in rows):
-        if i == 0 and _heading(r):
-            out += [show(r), dashes]
-            done = True
-        elif all(set(c) <= {"-"} for c in r):
-            done = True
-        else:
-            out.append(show(r))
-    if not done and out:
-        out.insert(1, dashes)
-    return "\n".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def format_table(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: None if x is None else pipe_table(list(x)))
+def _ruled(rows: Column) -> Column:
+    """The table of rows of clean cells; see format_table."""
+    width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+    wide = bound(width, lambda n: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), n - F.size(r)))))
+    heading = lambda first: F.forall(first, lambda c: F.length(c) <= 15) | F.forall(first, lambda c: (F.length(c) <= 1) | _upper(c))
+    dashes = lambda r: F.forall(r, lambda c: c.rlike(r"\A-*\z"))
+    below = lambda r: _show(F.transform(r, lambda c: F.lit("---")))
+
+    def laid_out(w: Column) -> Column:
+        first, others = F.slice(w, 1, 1), F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))
+        plain = F.transform(F.filter(w, lambda r: ~dashes(r)), _show)
+        rest = F.transform(F.filter(others, lambda r: ~dashes(r)), _show)
+        separator = F.transform(first, below)
+        headed = F.concat(F.transform(first, _show), separator, rest)
+        unheaded = bound(plain, lambda p: F.when(F.size(p) < F.size(w), p).otherwise(F.concat(F.slice(p, 1, 1), separator, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))))))
+        return F.array_join(F.when(F.forall(first, heading), headed).otherwise(unheaded), "\n")
+
+    return F.when(F.size(rows) > 0, bound(wide, laid_out)).otherwise(F.when(rows.isNotNull(), ""))
 
 
 def profile_angle(profiles: DataFrame) -> DataFrame:

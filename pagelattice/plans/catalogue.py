@@ -364,8 +364,32 @@ def _pipes(get) -> DataFrame:
     return get("regions").select("page_id", "reading_order", F.concat(F.array(row(F.lit(0)), rule), rows).alias("lines"))
 
 
-query("format_table")(lambda get: _pipes(get).select("page_id", "reading_order", tables.format_table("lines").alias("markdown")))
-query("table_tsv")(lambda get: _pipes(get).select("page_id", "reading_order", tables.tsv(F.col("lines")).alias("tsv")))
+WS = "E' \\t\\n\\r\\f'"
+_AT = lambda i: f"coalesce(w[{i} + 1], '')"
+_ROW = lambda i: f"'| ' || {_AT(i)} || ' |  ' || {_AT(f'{i} + 1')} || '\\|x | ' || {_AT(f'{i} + 2')} || ' |'"
+PIPES = f"""{with_views("regions")}, v AS (SELECT page_id, reading_order, string_split(value, ' ') AS w FROM regions),
+l AS (SELECT page_id, reading_order, list_concat([{_ROW(0)}, CASE WHEN page_id % 2 = 0 THEN '|---|---|---|' ELSE '  ' END],
+  list_transform(range(1, greatest(2, (len(w) - 1) // 3) + 1), lambda k: {_ROW("k * 3")})) AS lines FROM v),
+s AS (SELECT page_id, reading_order, list_filter(list_transform(lines, lambda x: trim(x, {WS})), lambda x: x <> '') AS lines FROM l),
+f AS (SELECT page_id, reading_order, lines, list_transform(lines, lambda x: list_transform(string_split(x, '|'), lambda c: trim(c, {WS}))) AS parts FROM s),
+c AS (SELECT page_id, reading_order, lines, list_transform(parts, lambda p: p[CASE WHEN p[1] = '' THEN 2 ELSE 1 END : CASE WHEN p[-1] = '' THEN len(p) - 1 ELSE len(p) END]) AS parts FROM f),
+r AS (SELECT page_id, reading_order, lines, list_transform(parts, lambda p: list_transform(p, lambda c:
+  trim(regexp_replace(replace(regexp_replace(regexp_replace(c, '^[ \\t\\n\\r\\f\\v]*\\|[ \\t\\n\\r\\f\\v]*', ''), '[ \\t\\n\\r\\f\\v]*\\|[ \\t\\n\\r\\f\\v]*$', ''), '\\|', '|'), '[ \\t\\f\\v]+', ' ', 'g'), {WS}))) AS rows FROM c)"""
+query("format_table", f"""{PIPES}, n AS (SELECT page_id, reading_order, list_filter(rows, lambda x: len(x) > 0) AS rows FROM r),
+w AS (SELECT page_id, reading_order, rows, list_max(list_transform(rows, lambda x: len(x))) AS width FROM n),
+p AS (SELECT page_id, reading_order, width, list_transform(rows, lambda x: list_concat(x, list_transform(range(0, width - len(x)), lambda i: ''))) AS rows FROM w),
+h AS (SELECT *, len(list_filter(rows[1], lambda c: length(c) > 15)) = 0
+  OR len(list_filter(rows[1], lambda c: length(c) > 1 AND (regexp_matches(c, '\\p{{Ll}}|\\p{{Lt}}') OR NOT regexp_matches(c, '\\p{{Lu}}')))) = 0 AS heading FROM p),
+g AS (SELECT *, list_filter(range(1, len(rows) + 1), lambda i: (i = 1 AND heading) OR len(list_filter(rows[i], lambda c: NOT regexp_matches(c, '^-*$'))) > 0) AS kept FROM h),
+o AS (SELECT *, list_transform(kept, lambda i: '| ' || array_to_string(rows[i], ' | ') || ' |') AS shown FROM g)
+SELECT page_id, reading_order, CASE WHEN len(shown) = 0 THEN '' ELSE array_to_string(list_concat(shown[1:1], CASE WHEN heading OR len(kept) = len(rows)
+  THEN ['| ' || array_to_string(list_transform(range(0, width), lambda i: '---'), ' | ') || ' |'] ELSE [] END, shown[2:]), chr(10)) END AS markdown FROM o""")(
+    lambda get: _pipes(get).select("page_id", "reading_order", tables.format_table(F.col("lines")).alias("markdown"))
+)
+query("table_tsv", f"""{PIPES}, k AS (SELECT page_id, reading_order, list_filter(range(1, len(lines) + 1), lambda i: NOT regexp_matches(lines[i], '^[-| ]*$') AND len(rows[i]) > 0) AS kept, rows FROM r)
+SELECT page_id, reading_order, array_to_string(list_transform(kept, lambda i: array_to_string(rows[i], chr(9))), chr(10)) AS tsv FROM k""")(
+    lambda get: _pipes(get).select("page_id", "reading_order", tables.tsv(F.col("lines")).alias("tsv"))
+)
 query("cell_normalize", f"""{with_views("regions")}, c AS (SELECT page_id, reading_order, concat(' | ', value, '\\|  x | ') AS v FROM regions)
 SELECT page_id, reading_order, trim(regexp_replace(replace(regexp_replace(regexp_replace(v, '^[ \\t\\n\\r\\f]*\\|[ \\t\\n\\r\\f]*', ''), '[ \\t\\n\\r\\f]*\\|[ \\t\\n\\r\\f]*$', ''), '\\|', '|'), '[ \\t\\f]+', ' ', 'g'), E' \\t\\n\\r\\f') AS cell FROM c""")(
     lambda get: get("regions").select("page_id", "reading_order", text.normalize_cell(F.concat(F.lit(" | "), F.col("value"), F.lit("\\|  x | "))).alias("cell"))

@@ -116,12 +116,22 @@ def test_renumber_keeps_the_only_page(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 1)]
 
 
-def test_pipe_tables():
-    assert tables.pipe_table([]) == ""
-    assert tables.pipe_table(["| Name | Age |", "| Ann | 3 |"]) == "| Name | Age |\n| --- | --- |\n| Ann | 3 |"
+def test_pipe_tables(spark):
     long = "a heading of many words"
-    assert tables.pipe_table([f"| {long} | b |", "|---|---|", "| 1 |"]) == f"| {long} | b |\n| 1 |  |"  # a rule counts as the separator
-    assert tables.pipe_table([f"|{long}|", "x"]) == f"| {long} |\n| --- |\n| x |"
+    cases = [
+        ([], ""), (None, None), (["  ", ""], ""), (["|"], ""),
+        (["| Name | Age |", "| Ann | 3 |"], "| Name | Age |\n| --- | --- |\n| Ann | 3 |"),
+        ([f"| {long} | b |", "|---|---|", "| 1 |"], f"| {long} | b |\n| 1 |  |"),  # a rule counts as the separator
+        ([f"|{long}|", "x"], f"| {long} |\n| --- |\n| x |"),
+        ([f"|{long.upper()}|", "x", " | "], f"| {long.upper()} |\n| --- |\n| x |"),
+        (["---|-", "a|b"], "| --- | - |\n| --- | --- |\n| a | b |"),  # short cells are a heading, whatever they say
+        (["-" * 20, "a"], "| a |"),
+        (["-" * 20], ""),
+        ([f"{long} 1|B", "c| | d \\| e"], f"| {long} 1 | B |  |  |\n| --- | --- | --- | --- |\n| c |  | d \\ | e |"),
+    ]
+    rows = spark.createDataFrame([(i, lines) for i, (lines, _) in enumerate(cases)], "i int, lines array<string>")
+    got = {r["i"]: r["t"] for r in rows.select("i", tables.format_table(F.col("lines")).alias("t")).collect()}
+    assert [got[i] for i in range(len(cases))] == [wanted for _, wanted in cases]
 
 
 def test_repair_runs_out_of_blocks(spark):
