@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import strip
+from ..functions.text import figure_urls, strip
 from .library import file_type, status_rollup
 
 
@@ -13,6 +14,13 @@ def append(state: DataFrame, rows: DataFrame) -> DataFrame:
     return state.unionByName(rows, allowMissingColumns=True)
 
 
+def states(change: DataFrame, column: str) -> Column:
+    """Whether a row of a change states a column: one that its array `fields` names; without one, one that isn't null."""
+    if column not in change.columns:
+        return F.lit(False)
+    return F.coalesce(F.array_contains("fields", F.lit(column)), F.lit(False)) if "fields" in change.columns else F.col(column).isNotNull()
+
+
 def latest_fields(change: DataFrame, key: list[str], columns: list[str], order: str | None = None) -> DataFrame:
     """key, at_<c> and new_<c> for each of columns that change has: the last value stated for it, wrapped in a struct, and its place.
 
@@ -20,9 +28,9 @@ def latest_fields(change: DataFrame, key: list[str], columns: list[str], order:
     a key are ordered by the column `order`, then by value. A field that no row states has a null struct.
     """
     rank = F.col(order) if order else F.lit(0)
-    stated = {c: F.array_contains("fields", F.lit(c)) if "fields" in change.columns else F.col(c).isNotNull() for c in columns if c in change.columns}
     aggs = []
-    for c, there in stated.items():
+    for c in (c for c in columns if c in change.columns):
+        there = states(change, c)
         at = F.when(there, F.struct(rank.alias("rank"), F.col(c).cast("string").alias("tie")))
         aggs += [F.max_by(F.struct(F.col(c).alias("value")), at).alias(f"new_{c}"), F.max(F.when(there, rank)).alias(f"at_{c}")]
     return change.groupBy(*key).agg(*aggs) if aggs else change.select(*key).distinct()
@@ -59,17 +67,28 @@ def hard_delete(docs: DataFrame, pages: DataFrame, activity: DataFrame, ids: Dat
 
 
 PAGE_KEY = ["document_id", "page_number"]
+#: What a new page has where nothing is stated; fixed values. Lists are empty.
+PAGE_DEFAULTS = {"session_id": "", "image_w": 0, "image_h": 0, "status": "idle", "structure_status": "none"}
+PAGE_LISTS = ("layout_blocks", "ocr_blocks", "placed_images")
+
+
+def _default(pages: DataFrame, c: str) -> Column:
+    kind = pages.schema[c].dataType
+    if c in PAGE_LISTS:
+        return F.lit("[]") if isinstance(kind, T.StringType) else F.array().cast(kind)
+    return F.lit(PAGE_DEFAULTS.get(c)).cast(kind)
 
 
 def upsert_pages(pages: DataFrame, change: DataFrame, order: str | None = None) -> DataFrame:
     """Pages with the last value that change states for each column, and a page for each new (document_id, page_number).
 
-    What change doesn't state stays as it is (null in a new page); see latest_fields. A page whose blocks are stated after the last
-    statement of its structure loses its structure.
+    What change doesn't state stays as it is, and is its default in a new page: idle, without structure, lists empty; see latest_fields. A page
+    whose blocks are stated after the last statement of its structure loses its structure.
     """
     fields = [c for c in pages.columns if c not in PAGE_KEY]
     latest = latest_fields(change.where("document_id IS NOT NULL AND page_number IS NOT NULL"), PAGE_KEY, fields, order)
-    merged = pages.join(latest, PAGE_KEY, "full_outer")
+    merged = pages.withColumn("there", F.lit(True)).join(latest, PAGE_KEY, "full_outer")
+    merged = merged.withColumns({c: F.when(F.col("there"), F.col(c)).otherwise(_default(pages, c)) for c in fields})
     out = merged.select(*(F.col(c) if c in PAGE_KEY else _with_latest(c, latest) for c in pages.columns), *(F.col(c) for c in ("at_ocr_blocks", "at_structured_content") if c in latest.columns))
     if "at_ocr_blocks" in out.columns and "structured_content" in pages.columns:
         stale = F.col("at_ocr_blocks").isNotNull()
@@ -81,6 +100,20 @@ def upsert_pages(pages: DataFrame, change: DataFrame, order: str | None = None)
     return out.select(*pages.columns)
 
 
+def dropped_figures(pages: DataFrame, change: DataFrame, order: str | None = None) -> DataFrame:
+    """(document_id, page_number, url): figures that a save of blocks no longer refers to, of the page's blocks right before it.
+
+    Saves are taken in their order, after what pages have; a save that states the structure too drops nothing.
+    """
+    rank = F.col(order) if order else F.lit(0)
+    empty = F.lit(None).cast("string")
+    saved = change.where(states(change, "ocr_blocks")).select(*PAGE_KEY, rank.alias("rank"), F.col("ocr_blocks").cast("string").alias("blocks"), states(change, "structured_content").alias("whole"))
+    old = pages.join(saved.select(*PAGE_KEY).distinct(), PAGE_KEY, "left_semi").select(*PAGE_KEY, F.lit(None).cast(saved.schema["rank"].dataType).alias("rank"), F.col("ocr_blocks").cast("string").alias("blocks"), F.lit(True).alias("whole"))
+    turn = Window.partitionBy(*PAGE_KEY).orderBy(F.col("rank").asc_nulls_first(), "blocks")
+    pairs = old.unionByName(saved).withColumn("before", F.coalesce(F.lag("blocks").over(turn), empty)).where("NOT whole")
+    return pairs.select(*PAGE_KEY, F.explode(F.array_except(figure_urls(F.col("before")), figure_urls(F.col("blocks")))).alias("url")).distinct()
+
+
 def invalidate_structure(pages: DataFrame) -> DataFrame:
     """Clears the structure of pages whose blocks changed without a new structure.
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import latex, text
 from ..operators import artifacts, export, layout, library, mutations, questions, structure, tables
+from ..sources import store
+from ..sources.versioned import SPAN, PageTable
 from ..sources.views import PAGE_H, PAGE_W, view, with_views
 from ..streaming import batch as streams
+from ..streaming import pages as page_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -486,8 +489,85 @@ PARTIAL = f"""{with_views('docs', 'doc_pages')}, k AS (SELECT *, (document_id +
 saved AS (SELECT document_id, page_number, CASE WHEN a THEN 'ocr-complete' ELSE status END AS status,
   CASE WHEN b THEN 'second' WHEN a THEN 'first' ELSE 'b' || CAST(page_number AS STRING) END AS ocr_blocks,
   CASE WHEN b THEN NULL WHEN a THEN 't' ELSE 's' END AS structured_content, CASE WHEN b THEN 'none' ELSE 'edited' END AS structure_status FROM k
-  UNION ALL SELECT id, 99, 'layout-detected', NULL, NULL, NULL FROM docs WHERE id % 50 = 0)"""
+  UNION ALL SELECT id, 99, 'layout-detected', '[]', NULL, 'none' FROM docs WHERE id % 50 = 0)"""
 query("page_partial_save", f"{PARTIAL} SELECT * FROM saved")(lambda get: mutations.save_pages(get("docs"), _stored_pages(get), _partial_change(get), "seq")[0])
+
+
+def _page_table(get) -> PageTable:
+    spark = get("docs").sparkSession
+    return PageTable(spark, store.run_folder(spark, "pages"))
+
+
+def _saved_table(get) -> DataFrame:
+    """The same changes as two saves to a versioned table."""
+    table = _page_table(get)
+    table.create(_stored_pages(get))
+    table.log(_partial_change(get).where("seq = 1"))
+    table.save(_partial_change(get).where("seq = 2"))
+    return table.read()
+
+
+def _few_saved(get) -> DataFrame:
+    """Versions before and after a save of the newest hundredth of the documents, and how many pages a reader of each finds changed."""
+    table = _page_table(get)
+    table.create(_stored_pages(get))
+    before = table.read()
+    newest = get("docs").agg((F.max("id") - F.max("id") / 100).alias("least"))
+    few = get("doc_pages").join(F.broadcast(newest), F.col("document_id") > F.col("least"))  # of one row
+    table.save(few.select("document_id", "page_number", F.lit("saved").alias("ocr_blocks")))
+    seen = [(v, df.where("ocr_blocks = 'saved'").count()) for v, df in ((1, before), (2, table.read()))]
+    return table.history().join(table.spark.createDataFrame(seen, "version long, changed long"), "version")
+
+
+query("page_table_save", f"{PARTIAL} SELECT * FROM saved")(_saved_table)
+query("page_table_versions", f"""{with_views('docs', 'doc_pages')}, f AS (SELECT max(id) - max(id) / 100 AS least FROM docs),
+p AS (SELECT document_id // {SPAN} AS b, document_id > least AS hit FROM doc_pages, f),
+n AS (SELECT count(DISTINCT b) AS buckets, count(DISTINCT b) FILTER (hit) AS rewritten, count(*) FILTER (hit) AS changed FROM p)
+SELECT 1 AS version, buckets, buckets AS rewritten, 0 AS changed FROM n UNION ALL SELECT 2, buckets, rewritten, changed FROM n""")(_few_saved)
+
+
+def _figure_saves(get) -> tuple[DataFrame, DataFrame]:
+    """Pages with figures, and up to three saves of each: new blocks, blocks with their structure, the first blocks again."""
+    f = get("figures").groupBy("document_id", "page_number").agg(F.min("old_blocks").alias("ocr_blocks"), F.max("new_blocks").alias("new_blocks"))
+    pages = f.select("document_id", "page_number", F.lit("layout-detected").alias("status"), "ocr_blocks", F.lit("s").alias("structured_content"), F.lit("edited").alias("structure_status"))
+    save = lambda seq, blocks, where, **more: f.where(where).select("document_id", "page_number", F.lit(seq).alias("seq"), blocks.alias("ocr_blocks"), *(F.lit(more.get(c)).cast("string").alias(c) for c in ("status", "structured_content")))
+    k = F.col("document_id") + F.col("page_number")
+    first = save(1, F.col("new_blocks"), F.col("new_blocks").isNotNull(), status="ocr-complete")
+    second = save(2, F.lit("[]"), k % 3 == 0, structured_content="t")
+    third = save(3, F.col("ocr_blocks"), k % 2 == 0)
+    status = save(4, F.lit(None).cast("string"), k % 5 == 0, status="idle")
+    return pages, first.unionByName(second).unionByName(third).unionByName(status)
+
+
+SAVES = f"""{with_views("figures")}, p AS (SELECT document_id, page_number, min(old_blocks) AS b0, max(new_blocks) AS b1, (document_id + page_number) % 3 = 0 AS two, (document_id + page_number) % 2 = 0 AS three,
+  (document_id + page_number) % 5 = 0 AS four FROM figures GROUP BY ALL),
+c AS (SELECT document_id, page_number, 0 AS seq, b0 AS b, true AS whole FROM p UNION ALL SELECT document_id, page_number, 1, b1, false FROM p WHERE b1 IS NOT NULL
+  UNION ALL SELECT document_id, page_number, 2, '[]', true FROM p WHERE two UNION ALL SELECT document_id, page_number, 3, b0, false FROM p WHERE three),
+l AS (SELECT *, lag(b) OVER (PARTITION BY document_id, page_number ORDER BY seq) AS before FROM c),
+u AS (SELECT document_id, page_number, b, unnest(regexp_extract_all(before, '/media/figures/[^\\s"''<>]+')) AS url FROM l WHERE NOT whole),
+dropped AS (SELECT DISTINCT document_id, page_number, url FROM u WHERE NOT contains(b, url || '"'))"""
+query("page_dropped_figures", f"{SAVES} SELECT * FROM dropped")(lambda get: mutations.dropped_figures(*_figure_saves(get), "seq"))
+
+
+def _streamed(get) -> DataFrame:
+    """The figure saves as a stream: half of them arrive late, behind the pages themselves, in batches of their own."""
+    pages, change = _figure_saves(get)
+    spark = pages.sparkSession
+    root = store.run_folder(spark, "saves")
+    arrives = F.when(F.col("seq").isNull(), 1).otherwise(F.pmod(F.col("seq") + F.col("document_id"), F.lit(2)) * 2)
+    rows = page_stream.snapshot(pages).unionByName(page_stream.saves(change, "seq")).withColumn("arrives", arrives)
+    for turn in range(3):
+        rows.where(F.col("arrives") == turn).drop("arrives").write.mode("append").parquet(f"{root}/in")
+        page_stream.fold_files(spark, f"{root}/in", f"{root}/out", f"{root}/state", files_in_batch=1000)
+    return page_stream.last_emitted(spark, f"{root}/out").withColumn("dropped", F.array_join("dropped", "|"))
+
+
+query("page_save_stream", f"""{SAVES}, d AS (SELECT document_id, page_number, string_agg(url, '|' ORDER BY url) AS dropped FROM dropped GROUP BY ALL)
+SELECT p.document_id, p.page_number, CASE WHEN four THEN 'idle' WHEN b1 IS NOT NULL THEN 'ocr-complete' ELSE 'layout-detected' END AS status,
+  CASE WHEN three THEN b0 WHEN two THEN '[]' WHEN b1 IS NOT NULL THEN b1 ELSE b0 END AS ocr_blocks,
+  CASE WHEN three THEN NULL WHEN two THEN 't' WHEN b1 IS NOT NULL THEN NULL ELSE 's' END AS structured_content,
+  CASE WHEN three OR (b1 IS NOT NULL AND NOT two) THEN 'none' ELSE 'edited' END AS structure_status, coalesce(dropped, '') AS dropped
+FROM p LEFT JOIN d USING (document_id, page_number)""")(_streamed)
 query("page_delete_blank", f"""{with_views('docs', 'doc_pages')}, k AS (SELECT p.*, id % 3 = 0 AND (id % 2 = 0 OR page_number = 1) AS hit, max(page_number) OVER (PARTITION BY document_id) AS last,
   sum(CASE WHEN id % 3 = 0 AND (id % 2 = 0 OR page_number = 1) THEN 0 ELSE 1 END) OVER (PARTITION BY document_id) AS others FROM doc_pages p JOIN docs ON id = document_id)
 SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, status) AS page_number, status FROM k WHERE NOT hit OR (others = 0 AND page_number = last)""")(

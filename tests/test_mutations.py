@@ -20,7 +20,7 @@ def test_saves_are_single_requests(spark):
         fields = r.sample(COLUMNS[:3], r.randint(0, 3))
         values = {c: r.choice(["x", "y", None]) for c in fields}
         changes.append((*key, seq, fields, *(values.get(c) for c in COLUMNS[:3])))
-        page = model.setdefault(key, dict.fromkeys(COLUMNS))
+        page = model.setdefault(key, dict(zip(COLUMNS, ["idle", "[]", None, "none"], strict=True)))
         page.update(values)
         if "ocr_blocks" in fields and "structured_content" not in fields:
             page |= {"structured_content": None, "structure_status": "none"}
