@@ -102,18 +102,6 @@ def tag_counts(tags: DataFrame, docs: DataFrame) -> DataFrame:
     return tags.join(live, tags["document_id"] == live["live_id"], "left").groupBy("tag").agg(F.count("live_id").alias("document_count"))
 
 
-def folder_tree(folders: DataFrame) -> DataFrame:
-    """(root, id, level): every folder under itself and each of its ancestors, by a recursive query."""
-    return folders.sparkSession.sql(
-        """WITH RECURSIVE tree(root, id, level) AS (
-             SELECT id, id, 0 FROM {folders}
-             UNION ALL
-             SELECT t.root, f.id, t.level + 1 FROM tree t JOIN {folders} f ON f.parent_id = t.id)
-           SELECT root, id, level FROM tree""",
-        folders=folders,
-    )
-
-
 def storage_summary(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """One row: live documents, their bytes, and their pages with text."""
     live = docs.where("deleted_at IS NULL")

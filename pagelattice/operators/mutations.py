@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import figure_urls, strip
+from .folders import under
 from .library import file_type, status_rollup
 
 
@@ -179,9 +180,9 @@ def replace_tags(tags: DataFrame, change: DataFrame) -> DataFrame:
     return kept.unionByName(change.where("tag IS NOT NULL").select(*tags.columns).distinct())
 
 
-def delete_folders(folders: DataFrame, docs: DataFrame, tree: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Folders without ids and what lies under them (tree: root, id); documents in them go to the root."""
-    gone = tree.join(ids.select(F.col("id").alias("root")), "root", "left_semi").select("id").distinct()
+def delete_folders(folders: DataFrame, docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folders without ids and what lies under them, however deep; documents in them go to the root."""
+    gone = under(folders, ids)
     marked = docs.join(gone.select(F.col("id").alias("folder_id"), F.lit(True).alias("hit")), "folder_id", "left")
     loose = marked.withColumn("folder_id", F.when(F.col("hit").isNull(), F.col("folder_id"))).select(*docs.columns)
     return folders.join(gone, "id", "left_anti").select(*folders.columns), loose
@@ -223,9 +224,15 @@ def move(docs: DataFrame, change: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def create_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
-    """Folders with new ones (id, name, parent_id), names stripped; rows without a name or with a parent that isn't there add nothing."""
-    named = new.withColumn("name", strip(F.col("name"))).where("name <> ''").join(_known(folders, "parent_id"), "parent_id", "left")
-    return append(folders, named.where("known OR parent_id IS NULL").select("id", "name", "parent_id"))
+    """Folders with new ones (id, name, parent_id), names stripped.
+
+    Rows without a name or an id, with an id that is there or with a parent that isn't add nothing; of rows that share an id the least
+    name counts, then the least parent.
+    """
+    named = new.withColumn("name", strip(F.col("name"))).where("name <> '' AND id IS NOT NULL").join(_known(folders, "parent_id"), "parent_id", "left")
+    fresh = named.where("known OR parent_id IS NULL").join(folders.select("id").distinct(), "id", "left_anti")
+    first = fresh.groupBy("id").agg(F.min(F.struct("name", "parent_id")).alias("r"))
+    return append(folders, first.select("id", "r.name", "r.parent_id"))
 
 
 def save_folders(folders: DataFrame, change: DataFrame, order: str | None = None) -> DataFrame:
@@ -237,13 +244,34 @@ def save_folders(folders: DataFrame, change: DataFrame, order: str | None = None
 def create_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
     """Tags with new ones (id, name, color), names stripped, gray if no colour is given.
 
-    Rows without a name or with one that a tag has add nothing; of rows that share a name the least id counts.
+    Rows without a name or an id, or with one that a tag has, add nothing; of rows that share an id the least name counts, then of rows that
+    share a name the least id.
     """
-    named = new.withColumn("name", strip(F.col("name"))).where("name <> ''").join(tags.select("name").distinct(), "name", "left_anti")
-    first = named.groupBy("name").agg(F.min(F.struct("id", "color")).alias("r"))
+    named = new.withColumn("name", strip(F.col("name"))).where("name <> '' AND id IS NOT NULL")
+    fresh = named.join(tags.select("name").distinct(), "name", "left_anti").join(tags.select("id").distinct(), "id", "left_anti")
+    one = fresh.groupBy("id").agg(F.min(F.struct("name", "color")).alias("r")).select("id", "r.name", "r.color")
+    first = one.groupBy("name").agg(F.min(F.struct("id", "color")).alias("r"))
     return append(tags, first.select("r.id", "name", F.coalesce("r.color", F.lit("gray")).alias("color")))
 
 
+def save_tags(tags: DataFrame, change: DataFrame, order: str | None = None) -> DataFrame:
+    """Tags with the names and colours that change states (see latest_fields), names stripped.
+
+    A blank name is left out, and so is one that another tag has or would get: names stay unique.
+    """
+    named = change.withColumn("name", F.nullif(strip(F.col("name")), F.lit(""))) if "name" in change.columns else change
+    if "fields" in named.columns and "name" in named.columns:
+        named = named.withColumn("fields", F.when(F.col("name").isNull(), F.array_remove("fields", "name")).otherwise(F.col("fields")))
+    after = update(tags, named, "id", order).select("id", F.col("name").alias("after"), "color")
+    both = tags.select("id", "name").join(after, "id")
+    # a name is free for a tag if no other has it now or after the change
+    wanted = both.where("after <> name").select("id", "after")
+    held = both.select(F.col("id").alias("other"), F.explode(F.array_distinct(F.array("name", "after"))).alias("after"))
+    taken = wanted.join(held, "after").where("id <> other").select("id").distinct().withColumn("taken", F.lit(True))
+    out = both.join(taken, "id", "left").withColumn("name", F.when(F.col("taken"), F.col("name")).otherwise(F.col("after")))
+    return out.select(*tags.columns)
+
+
 def delete_tags(tags: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tags and links (document_id, tag_id) without the tags of ids."""
     gone = ids.select("id").distinct()

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions import latex, text
-from ..operators import artifacts, export, layout, library, mutations, questions, structure, tables
-from ..sources import store
+from ..operators import artifacts, export, folders, layout, library, mutations, questions, structure, tables
+from ..sources import plugins, sinks, store
 from ..sources.versioned import SPAN, PageTable
 from ..sources.views import PAGE_H, PAGE_W, view, with_views
 from ..streaming import batch as streams
@@ -140,6 +140,33 @@ query("doc_search", f"""{with_views("docs")} SELECT id, filename, folder_id, fil
 WHERE deleted_at IS NULL AND folder_id = 'n7' AND is_starred AND contains(lower(filename), 'doc_')""")(
     lambda get: library.search(get("docs"), folder="n7", starred=True, text=" DOC_ ").select("id", "filename", "folder_id", "file_size")
 )
+DEEP = f"""{with_views("tables").replace("WITH ", "WITH RECURSIVE ", 1)},
+deep AS (SELECT table_id AS id, CASE WHEN table_id % 700 = 1 THEN NULL WHEN table_id % 700 = 350 AND table_id % 1400 < 700 THEN table_id + 9 ELSE table_id - 1 END AS parent_id FROM tables)"""
+
+
+def _deep(get) -> DataFrame:
+    """A folder a part: chains of up to 700, and in every second one a cycle of ten half-way down."""
+    t = F.col("table_id")
+    parent = F.when(t % 700 == 1, None).when((t % 700 == 350) & (t % 1400 < 700), t + 9).otherwise(t - 1)
+    return get("tables").select(t.alias("id"), parent.alias("parent_id"))
+
+
+query("folder_places", f"""{DEEP}, r(id, root, depth) AS (SELECT id, id, 0 FROM deep WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM deep)
+  UNION ALL SELECT d.id, r.root, r.depth + 1 FROM r JOIN deep d ON d.parent_id = r.id),
+c(own, up) AS (SELECT id, parent_id FROM deep WHERE id NOT IN (SELECT id FROM r) UNION SELECT c.own, d.parent_id FROM c JOIN deep d ON d.id = c.up)
+SELECT id, root, depth, id IN (SELECT own FROM c WHERE own = up) AS in_cycle FROM deep LEFT JOIN r USING (id)""")(lambda get: folders.placed(_deep(get)))
+query("folders_under", f"""{DEEP}, u(id) AS (SELECT id FROM deep WHERE id % 700 IN (100, 355) UNION SELECT d.id FROM u JOIN deep d ON d.parent_id = u.id) SELECT id FROM u""")(
+    lambda get: folders.under(_deep(get), _deep(get).where("id % 700 IN (100, 355)").select("id"))
+)
+query("tag_save", f"""{with_views("folders")} SELECT id, CASE WHEN id LIKE 'n%' AND length(id) = 2 THEN 'T ' || id ELSE name END AS name, CASE WHEN id LIKE '%1' THEN 'blue' ELSE 'red' END AS color
+FROM (SELECT min(id) AS id, name FROM folders GROUP BY name)""")(
+    lambda get: mutations.save_tags(
+        get("folders").groupBy("name").agg(F.min("id").alias("id")).select("id", "name", F.lit("red").alias("color")),
+        get("folders").select(
+            "id", F.when(F.col("id").like("n%") & (F.length("id") == 2), F.concat(F.lit(" T "), "id")).when(F.col("id").like("r%"), F.lit("EGYPT")).otherwise(" ").alias("name"), F.when(F.col("id").like("%1"), "blue").alias("color")
+        ),
+    )
+)
 query("doc_trash", f"{with_views('docs')} SELECT id, filename, deleted_at FROM docs WHERE deleted_at IS NOT NULL AND CAST(id AS STRING) IN ('10', '20', '30', '70', '170')")(
     lambda get: library.search(get("docs"), deleted=True, ids=" 10, 20,30,,70, 170").select("id", "filename", "deleted_at")
 )
@@ -162,7 +189,7 @@ FROM folders f LEFT JOIN docs d ON d.folder_id = f.id GROUP BY ALL""")(lambda ge
 query("tag_counts", f"""{with_views("doc_tags", "docs")} SELECT tag, count(d.id) FILTER (d.deleted_at IS NULL) AS document_count
 FROM doc_tags t LEFT JOIN docs d ON d.id = t.document_id GROUP BY tag""")(lambda get: library.tag_counts(get("doc_tags"), get("docs")))
 query("folder_subtree", f"""{with_views("folders").replace("WITH ", "WITH RECURSIVE ", 1)}, tree(root, id, level) AS (SELECT id, id, 0 FROM folders UNION ALL
-SELECT t.root, f.id, t.level + 1 FROM tree t JOIN folders f ON f.parent_id = t.id) SELECT * FROM tree""")(lambda get: library.folder_tree(get("folders")))
+SELECT t.root, f.id, t.level + 1 FROM tree t JOIN folders f ON f.parent_id = t.id) SELECT * FROM tree""")(lambda get: folders.tree(get("folders")))
 query("storage_summary", f"""{with_views("docs", "doc_pages")} SELECT count(*) AS file_count, coalesce(CAST(sum(file_size) AS BIGINT), 0) AS used_bytes,
 (SELECT count(*) FROM doc_pages p JOIN docs d ON d.id = p.document_id WHERE d.deleted_at IS NULL AND p.status = 'ocr-complete') AS ocr_pages, {library.STORAGE_LIMIT} AS limit_bytes
 FROM docs WHERE deleted_at IS NULL""")(lambda get: library.storage_summary(get("docs"), get("doc_pages")))
@@ -191,6 +218,22 @@ query("orphan_artifacts", f"{ORPHANS} SELECT session_id, dir, stem, size, mtime
 )
 query("freed_bytes", f"""{ORPHANS}, k AS (SELECT * FROM o WHERE session_id NOT IN (SELECT session_id FROM live) AND mtime <= TIMESTAMP '{CUTOFF}')
 SELECT dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM k GROUP BY ROLLUP (dir)""")(lambda get: artifacts.freed(artifacts.orphans(get("artifacts"), _sessions(get), CUTOFF)))
+
+
+def _listed_orphans(get) -> DataFrame:
+    """The artifacts as files (of 0 to 4 bytes), listed where they lie; those of no live session."""
+    files = get("artifacts")
+    spark = plugins.register(files.sparkSession)
+    root = store.run_folder(spark, "artifacts")
+    for d in ("debug_cache", "training_images", "tatr_crops"):
+        named = files.where(F.col("dir") == d).select(F.concat("stem", F.lit(".jpg")).alias("name"), F.encode(F.repeat(F.lit("x"), (F.col("size") % 5).cast("int")), "UTF-8").alias("content"))
+        if not sinks.write_files(named, f"{root}/{d}").where("error IS NOT NULL").isEmpty():
+            raise OSError(f"{root}/{d} can't be written")
+    listed = spark.read.format("file_listing").option("path", root).option("pattern", "*.jpg").load()
+    return artifacts.orphans(listed, _sessions(get)).select("session_id", "dir", "stem", "size")
+
+
+query("artifact_files", f"{ORPHANS} SELECT session_id, dir, stem, size % 5 AS size FROM o WHERE session_id NOT IN (SELECT session_id FROM live)")(_listed_orphans)
 query("crop_files_present", f"""{with_views("artifacts", "doc_pages")}, b AS (SELECT document_id, page_number, 's' || CAST(document_id AS STRING) || '_block_' || CAST(page_number AS STRING) AS stem FROM doc_pages)
 SELECT stem, document_id, page_number FROM b WHERE stem IN (SELECT stem FROM artifacts)""")(
     lambda get: artifacts.existing(
@@ -593,7 +636,7 @@ UNION ALL SELECT DISTINCT document_id, 'kept' FROM doc_tags WHERE document_id %
 )
 query("delete_folders", f"""{with_views("docs", "folders")}, gone AS (SELECT id FROM folders WHERE id = 'r1' OR parent_id = 'r1')
 SELECT id, CASE WHEN folder_id IN (SELECT id FROM gone) THEN NULL ELSE folder_id END AS folder_id FROM docs""")(
-    lambda get: mutations.delete_folders(get("folders"), get("docs"), library.folder_tree(get("folders")), get("folders").where("id = 'r1'"))[1].select("id", "folder_id")
+    lambda get: mutations.delete_folders(get("folders"), get("docs"), get("folders").where("id = 'r1'"))[1].select("id", "folder_id")
 )
 query("toggle_star", f"{with_views('docs')} SELECT id, CASE WHEN id % 3 = 0 THEN NOT is_starred ELSE is_starred END AS is_starred FROM docs")(lambda get: mutations.toggle_star(get("docs"), get("docs").where("id % 3 = 0")).select("id", "is_starred"))
 query("update_documents", f"{with_views('docs')} SELECT id, CASE WHEN id % 7 = 0 THEN 'renamed' ELSE filename END AS filename, status FROM docs")(
@@ -604,7 +647,31 @@ query("update_documents", f"{with_views('docs')} SELECT id, CASE WHEN id % 7 = 0
 
 query("session_lru", f"""{with_views("sessions")}, l AS (SELECT session_id, max(ts) AS ts FROM sessions GROUP BY 1)
 SELECT session_id, ts FROM l ORDER BY ts DESC, session_id DESC LIMIT {streams.KEPT}""")(lambda get: streams.newest_sessions(get("sessions")))
-query("ocr_ndjson_stream")(lambda get: streams.ndjson(_blocks(get).select("page_id", "block_id", "reading_order", "label", "blocks", "error")))
+NDJSON = f"""{ELEMENTS}, x AS (SELECT page_id, reading_order, '[' || string_agg('{{"type":"' || type || '","value":' || to_json(value) || ',"display":' || CAST(display AS STRING) || ',"url":' || to_json('/media/figures/' || value) || ',"alt":"","width":0,"height":0,"rows":0,"cols":0}}', ',' ORDER BY i) || ']' AS blocks FROM k GROUP BY ALL),
+lines AS (SELECT r.page_id, row_number() OVER (PARTITION BY r.page_id ORDER BY r.reading_order) - 1 AS seq, r.label, CAST(r.reading_order AS STRING) AS block_id,
+  CASE WHEN (r.page_id + r.reading_order) % 7 = 5 OR value IS NOT NULL THEN coalesce(blocks, '[]') END AS blocks, (r.page_id + r.reading_order) % 7 = 5 AS bad FROM regions r LEFT JOIN x USING (page_id, reading_order)),
+json AS (SELECT page_id, seq, '{{"block_id":"' || block_id || '","label":"' || label || '"' || coalesce(',"blocks":' || blocks, '') || CASE WHEN bad THEN ',"error":"unreadable"' ELSE '' END || '}}' AS line FROM lines)"""
+
+
+def _lines(get) -> DataFrame:
+    return streams.ndjson(_blocks(get).select("page_id", "block_id", "reading_order", "label", "blocks", "error"))
+
+
+def _sunk(get) -> DataFrame:
+    """The lines as a stream into the NDJSON sink, in three batches, and read back in the order of the files."""
+    lines = _lines(get).withColumn("line", F.concat(F.lit('{"page_id":'), F.col("page_id").cast("string"), F.lit(","), F.substring("line", 2, F.length("line"))))
+    spark = plugins.register(lines.sparkSession)
+    root = store.run_folder(spark, "ndjson")
+    for turn in range(3):
+        lines.where(F.pmod("page_id", F.lit(3)) == turn).write.mode("append").parquet(f"{root}/in")
+        plugins.write_lines(spark.readStream.schema(lines.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/state").awaitTermination()
+    found = spark.read.format("page_ndjson").option("path", f"{root}/out").load().withColumn("page_id", F.get_json_object("line", "$.page_id").cast("long"))
+    place = Window.partitionBy("page_id").orderBy("batch", "at")  # a page's lines are in one file
+    return found.select("page_id", (F.row_number().over(place) - 1).alias("seq"), "line")
+
+
+query("ocr_ndjson_stream", f"{NDJSON} SELECT page_id, seq, line FROM json")(_lines)
+query("ocr_ndjson_sink", f"""{NDJSON} SELECT page_id, seq, '{{"page_id":' || CAST(page_id AS STRING) || ',' || substr(line, 2) AS line FROM json""")(_sunk)
 
 # --- rows, creation and geometry --------------------------------------------------------------------------------------
 
