@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -20,16 +18,28 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf(T.DoubleType())
-def round_exact(x: pd.Series, digits: pd.Series) -> pd.Series:
-    """Half to even on the binary value; bround works on the shortest decimal and differs at ties."""
-    return pd.Series([None if pd.isna(v) else round(float(v), int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
-
-
-@F.pandas_udf(T.StringType())
-def fixed6(x: pd.Series) -> pd.Series:
-    """Six decimals of the binary value; format_string rounds the shortest decimal half up."""
-    return x.map(lambda v: None if pd.isna(v) else f"{v:.6f}")
+def round_exact(x: Column, digits: int) -> Column:
+    """Half to even on the binary value of a double well below 10 ** 11.
+
+    bround rounds the shortest decimal, which is right unless that one ends in a 5 behind the last digit while the binary value lies
+    a little to one side of it. Which side is the error of the product with a power of ten, found by splitting both factors.
+    """
+    ten = 10.0 ** (digits + 1)
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    ten_high = ten * 134217729.0 - (ten * 134217729.0 - ten)
+    ten_low = ten - ten_high
+    product = x * F.lit(ten)
+    low = x - high(x)
+    error = ((high(x) * ten_high - product) + high(x) * ten_low + low * ten_high) + low * ten_low
+    tie = F.rint(product)
+    off = (product - tie) + error
+    beside = (F.abs(tie) % 10 == 5) & (F.abs(product - tie) <= F.abs(product) * F.lit(2.0**-48)) & (off != 0)
+    return F.when(beside, (tie + F.signum(off) * 5) / F.lit(ten)).otherwise(F.bround(x, digits))
+
+
+def fixed6(x: Column) -> Column:
+    """Six decimals of the binary value; format_string alone rounds the shortest decimal half up."""
+    return F.when(x.isNotNull(), F.format_string("%.6f", round_exact(x, 6)))
 
 
 def escape_html(c: Column) -> Column:

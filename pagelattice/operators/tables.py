@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, normalize_cell, round_exact, split_row, strip
+from .scan import scanned
 
 CELL_PADDING, CELL_LEAST, TYPING_LEAST = 4, 32, 128
 #: Annotation categories; fixed values.
@@ -15,11 +16,11 @@ CATEGORIES = {1: "table column header", 2: "table row", 3: "table column", 4: "t
 def dividers(lines: DataFrame) -> DataFrame:
     """Adds (table_id, axis, i, divider): the middle between each row's or column's end and the next one's begin, as a share.
 
-    lines: table_id, axis, lo, hi, dim. A single line gives none.
+    lines: table_id, axis, lo, hi, dim, and idx by which equal begins go. A single line gives none.
     """
-    order = Window.partitionBy("table_id", "axis").orderBy("lo", "hi")
+    order = Window.partitionBy("table_id", "axis").orderBy("lo", "idx" if "idx" in lines.columns else "hi")
     following = lines.withColumn("i", F.row_number().over(order) - 1).withColumn("next", F.lead("lo").over(order)).where("next IS NOT NULL")
-    return following.select("table_id", "axis", "i", round_exact((F.col("hi") + F.col("next")) / 2.0 / F.col("dim"), F.lit(4)).alias("divider"))
+    return following.select("table_id", "axis", "i", round_exact((F.col("hi") + F.col("next")) / 2.0 / F.col("dim"), 4).alias("divider"))
 
 
 def boundaries(shares: Column, dim: Column) -> Column:
@@ -83,8 +84,7 @@ def surest(candidates: DataFrame) -> DataFrame:
 def annotations(tables: DataFrame) -> DataFrame:
     """Rectangles of edited tables (table_id, rb, cb, header_rows, crop_w, crop_h) with running image and annotation ids.
 
-    Rows come first, then columns, then the table; ids follow table_id. Numbers of tables before one are summed over chunks
-    of ids first, so no task sees all rows.
+    Rows come first, then columns, then the table; ids follow table_id, and no task sees all rows (see scan).
     """
     kinds = F.concat(
         F.transform(F.sequence(F.lit(0), F.size("rb") - 2), lambda i: F.struct(
@@ -94,16 +94,36 @@ def annotations(tables: DataFrame) -> DataFrame:
             F.lit(3).alias("category_id"), F.get("cb", j).alias("x"), F.lit(0).alias("y"), (F.get("cb", j + 1) - F.get("cb", j)).alias("w"), F.col("crop_h").alias("h"))),
         F.array(F.struct(F.lit(4).alias("category_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("crop_w").alias("w"), F.col("crop_h").alias("h"))),
     )
-    chunked = tables.withColumn("a", kinds).withColumn("n", F.size("a").cast("long")).withColumn("chunk", F.floor(F.col("table_id") / 1024))
-    over = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = chunked.groupBy("chunk").agg(F.sum("n").alias("ns"), F.count("*").alias("ts")).select(
-        "chunk", F.coalesce(F.sum("ns").over(over), F.lit(0)).alias("n0"), F.coalesce(F.sum("ts").over(over), F.lit(0)).alias("t0"))
-    inside = Window.partitionBy("chunk").orderBy("table_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = chunked.withColumns({"nr": F.sum("n").over(inside), "tr": F.count("*").over(inside)}).join(base, "chunk")
-    return placed.select("table_id", (F.col("t0") + F.col("tr")).alias("image_id"), (F.col("n0") + F.col("nr") - F.col("n")).alias("before"), F.posexplode("a").alias("i", "a")).select(
+    placed = scanned(tables.select("table_id", kinds.alias("a")), ["table_id"], {"before": F.size("a")})
+    return placed.select(F.col("rank").alias("image_id"), "before", F.posexplode("a").alias("i", "a")).select(
         "image_id", (F.col("before") + F.col("i") + 1).alias("annotation_id"), "a.category_id", "a.x", "a.y", "a.w", "a.h", (F.col("a.w") * F.col("a.h")).alias("area"))
 
 
+#: Labels of detected parts of a table, and the score above which they count; fixed values.
+ROW, COLUMN, COLUMN_HEADER, PART_SCORE = "table row", "table column", "table column header", 0.7
+
+
+def structure(crops: DataFrame, parts: DataFrame) -> DataFrame:
+    """(table_id, row_dividers, col_dividers, header_rows, cell_types, source) of each crop (table_id, w, h).
+
+    parts: table_id, idx (order of detection), label, score, x1, y1, x2, y2 as detected. Rows go by their top and columns by their left edge, equal ones as
+    detected; dividers are the middles between one's end and the next one's begin. header_rows counts the boxes of the header, as
+    their detection does. A crop without parts is one cell.
+    """
+    sure = parts.where(F.col("score") > PART_SCORE)
+    row = F.col("label") == ROW
+    lines = sure.where(row | (F.col("label") == COLUMN)).join(crops.select("table_id", "w", "h"), "table_id").select(
+        "table_id", F.when(row, "row").otherwise("col").alias("axis"), "idx", F.when(row, F.col("y1")).otherwise(F.col("x1")).alias("lo"),
+        F.when(row, F.col("y2")).otherwise(F.col("x2")).alias("hi"), F.when(row, F.col("h")).otherwise(F.col("w")).alias("dim"))
+    split = lambda axis: F.transform(F.array_sort(F.collect_list(F.when(F.col("axis") == axis, F.struct("i", "divider")))), lambda d: d["divider"])
+    divided = dividers(lines).groupBy("table_id").agg(split("row").alias("rows"), split("col").alias("cols"))
+    headers = sure.where(F.col("label") == COLUMN_HEADER).groupBy("table_id").agg(F.count("*").cast("int").alias("n"))
+    none = F.array().cast("array<double>")
+    out = crops.select("table_id").join(divided, "table_id", "left").join(headers, "table_id", "left")
+    out = out.select("table_id", F.coalesce("rows", none).alias("row_dividers"), F.coalesce("cols", none).alias("col_dividers"), F.coalesce("n", F.lit(0)).alias("header_rows"))
+    return out.withColumns({"cell_types": cell_types(F.size("row_dividers") + 1, F.size("col_dividers") + 1, F.col("header_rows")), "source": F.lit("tatr")})
+
+
 def tsv(lines: Column) -> Column:
     """Lines of a pipe table as tab-separated rows, without separators and blank lines."""
     rows = F.filter(F.transform(lines, strip), lambda x: ~x.rlike(r"^[-| ]*$"))

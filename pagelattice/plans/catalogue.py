@@ -13,6 +13,7 @@ from ..sources.versioned import SPAN, PageTable
 from ..sources.views import PAGE_H, PAGE_W, view, with_views
 from ..streaming import batch as streams
 from ..streaming import pages as page_stream
+from ..streaming import sessions as session_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -673,6 +674,40 @@ def _sunk(get) -> DataFrame:
 query("ocr_ndjson_stream", f"{NDJSON} SELECT page_id, seq, line FROM json")(_lines)
 query("ocr_ndjson_sink", f"""{NDJSON} SELECT page_id, seq, '{{"page_id":' || CAST(page_id AS STRING) || ',' || substr(line, 2) AS line FROM json""")(_sunk)
 
+
+
+def _streamed_sessions(get) -> DataFrame:
+    """The sessions as a stream of three batches, later ones first."""
+    s = get("sessions")
+    root = store.run_folder(s.sparkSession, "sessions")
+    for turn in range(3):
+        s.where(F.pmod(F.col("event_id").cast("long"), F.lit(3)) == 2 - turn).select("session_id", F.col("ts").cast("timestamp").alias("ts")).write.mode("append").parquet(f"{root}/in")
+        session_stream.fold_files(s.sparkSession, f"{root}/in", f"{root}/out", f"{root}/state", files_in_batch=1000)
+    return session_stream.merged(s.sparkSession, f"{root}/out").select("session_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+query("session_lru_stream", ORACLES["session_lru"])(_streamed_sessions)
+PARTS = f"""{with_views("boxes")}, p AS (SELECT page_id AS table_id, det_idx AS idx, CASE class_id % 5 WHEN 0 THEN 'table row' WHEN 1 THEN 'table column' WHEN 2 THEN 'table row' WHEN 3 THEN 'table column header' ELSE 'table' END AS label,
+  confidence AS score, x1, y1, x2, y2 FROM boxes WHERE confidence > 0.7),
+l AS (SELECT table_id, 'row' AS axis, idx, y1 AS lo, y2 AS hi, {PAGE_H} AS dim FROM p WHERE label = 'table row' UNION ALL SELECT table_id, 'col', idx, x1, x2, {PAGE_W} FROM p WHERE label = 'table column'),
+d AS (SELECT *, lead(lo) OVER w AS nxt, row_number() OVER w AS i FROM l WINDOW w AS (PARTITION BY table_id, axis ORDER BY lo, idx)),
+s AS (SELECT table_id, string_agg(printf('%.4f', (hi + nxt) / 2.0 / dim), ',' ORDER BY i) FILTER (axis = 'row') AS r, string_agg(printf('%.4f', (hi + nxt) / 2.0 / dim), ',' ORDER BY i) FILTER (axis = 'col') AS c,
+  count(*) FILTER (axis = 'row') AS nr, count(*) FILTER (axis = 'col') AS nc FROM d WHERE nxt IS NOT NULL GROUP BY table_id),
+h AS (SELECT table_id, count(*) AS n FROM p WHERE label = 'table column header' GROUP BY table_id), t AS (SELECT DISTINCT page_id AS table_id FROM boxes)
+SELECT table_id, coalesce(r, '') AS row_dividers, coalesce(c, '') AS col_dividers, coalesce(n, 0) AS header_rows, coalesce(nr, 0) + 1 AS n_rows, coalesce(nc, 0) + 1 AS n_cols, least(coalesce(n, 0), coalesce(nr, 0) + 1) AS typed
+FROM t LEFT JOIN s USING (table_id) LEFT JOIN h USING (table_id)"""
+
+
+@query("table_structure", PARTS)
+def _table_structure(get):
+    kinds = F.element_at(F.array(*map(F.lit, (tables.ROW, tables.COLUMN, tables.ROW, tables.COLUMN_HEADER, "table"))), F.col("class_id") % 5 + 1)
+    parts = get("boxes").select(F.col("page_id").alias("table_id"), F.col("det_idx").alias("idx"), kinds.alias("label"), F.col("confidence").alias("score"), *("x1", "y1", "x2", "y2"))
+    crops = get("boxes").select(F.col("page_id").alias("table_id"), F.lit(PAGE_W).alias("w"), F.lit(PAGE_H).alias("h")).distinct()
+    shown = lambda c: F.array_join(F.transform(c, lambda d: F.format_string("%.4f", d)), ",").alias(c)
+    typed = F.size(F.filter("cell_types", lambda row: row[0] == "header"))
+    return tables.structure(crops, parts).select("table_id", shown("row_dividers"), shown("col_dividers"), "header_rows", F.size("cell_types").alias("n_rows"), F.size(F.get("cell_types", F.lit(0))).alias("n_cols"), typed.alias("typed"))
+
+
 # --- rows, creation and geometry --------------------------------------------------------------------------------------
 
 ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' ELSE strftime({c}, '.%f') END || '+00:00'"

@@ -40,9 +40,16 @@ def test_vectorised_forms(spark):
 
 
 def test_rounding_and_formats(spark):
-    df = spark.createDataFrame([(2.675, 2), (0.12345, 4), (2.5, 0)], "x double, d int")
-    assert [r[0] for r in df.select(text.round_exact("x", "d")).collect()] == [round(2.675, 2), round(0.12345, 4), 2.0]
-    assert spark.range(1).select(text.fixed6(F.lit(3 / 640))).first()[0] == "0.004687"
+    import random
+
+    r = random.Random(1)
+    values = [2.675, 0.12345, 2.5, 0.5, -0.5, 0.0, 1e-9, 3 / 640, -2.675, None, 0.03125, 0.09375, 1234567.8125]
+    values += [k / 1280 for k in range(1, 1280)] + [k / 3840 for k in range(1, 3840, 7)] + [r.randrange(10**7) / 10**5 for _ in range(2000)] + [-r.randrange(10**9) / 10**7 for _ in range(2000)] + [r.random() * 10 ** r.randrange(-6, 9) for _ in range(2000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i")
+    for digits in (0, 1, 2, 3, 4, 6):
+        got = [x[0] for x in df.select(text.round_exact(F.col("x"), digits)).collect()]
+        assert got == [None if v is None else round(v, digits) for v in values]
+    assert [x[0] for x in df.select(text.fixed6(F.col("x"))).collect()] == [None if v is None else f"{v:.6f}".replace("-0.000000", "0.000000") if round(v, 6) == 0 else f"{v:.6f}" for v in values]
 
 
 def test_cells_and_escapes(spark):
