@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import isoformat
+from ..functions.text import isoformat, strip
 
 #: Extensions of image files; fixed values.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "tiff", "tif", "bmp", "webp", "gif")
@@ -90,6 +90,25 @@ def page_detail(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     return wanted.join(pages, ["document_id", "page_number"], "left").withColumn("status", F.coalesce("status", F.lit("idle")))
 
 
+#: JSON texts that count as nothing; fixed values.
+NOTHING = ("", "null", "[]", "{}", '""', "0", "0.0", "false")
+
+
+def or_empty(c: Column) -> Column:
+    """A JSON list, or an empty one for null and for what counts as nothing."""
+    return F.when(c.isNull() | strip(c).isin(*NOTHING), "[]").otherwise(c)
+
+
+def page_payload(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """A page as it is shown, for each (document_id, page_number) asked for: lists are never null. A page that isn't there is idle, has no
+    blocks, and nothing else of it is known."""
+    lists = ("layout_blocks", "ocr_blocks", "placed_images")
+    there = pages.select("document_id", "page_number", *("session_id", "image_w", "image_h", "status"), *(or_empty(F.col(c)).alias(c) for c in lists))
+    out = wanted.select("document_id", "page_number").join(there.withColumn("there", F.lit(True)), ["document_id", "page_number"], "left")
+    absent = F.col("there").isNull()
+    return out.withColumns({"layout_blocks": F.when(absent, "[]").otherwise(F.col("layout_blocks")), "status": F.when(absent, "idle").otherwise(F.col("status"))}).drop("there")
+
+
 def folder_counts(folders: DataFrame, docs: DataFrame) -> DataFrame:
     """Live documents of each folder; a folder without any counts 0."""
     live = docs.where("deleted_at IS NULL").groupBy("folder_id").agg(F.count("id").alias("n"))

@@ -82,15 +82,20 @@ def split_options(blocks: DataFrame) -> DataFrame:
     )
 
 
-def parse_questions(blocks: DataFrame) -> DataFrame:
-    """(question_id, number, marks, type, content, options) of blocks (question_id, pos, type, value)."""
+def parse_questions(blocks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(question_id, number, marks, type, content, options) of blocks (question_id, pos, type, value).
+
+    questions: (question_id) of all questions, if some have no blocks; their type is unknown.
+    """
     order = Window.partitionBy("question_id").orderBy("pos")
     texts = F.sum((F.col("type") == "text").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     ranked = blocks.withColumn("lead", (F.col("type") == "text") & (texts == 1))
     number = F.when(F.col("lead"), F.regexp_extract("value", PREFIX, 1).try_cast("bigint"))
     bare = ranked.withColumn("number", number).withColumn("value", F.when(F.col("lead"), strip_prefix(F.col("value"))).otherwise(F.col("value")))
     kept = bare.where(~(F.col("lead") & F.col("number").isNotNull() & (F.col("value") == "")))
-    numbers = bare.groupBy("question_id").agg(F.max("number").alias("number"))
+    numbers = bare.groupBy("question_id").agg(F.max("number").alias("number"), F.lit(True).alias("asked"))
+    if questions is not None:
+        numbers = questions.select("question_id").distinct().join(numbers, "question_id", "left")
     full = kept.where("type = 'text'").groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " ").alias("full_text"))
     pieces = split_options(kept.select("question_id", "pos", "type", "value"))
     item = F.struct("pos", "value")
@@ -100,7 +105,7 @@ def parse_questions(blocks: DataFrame) -> DataFrame:
     content = grouped.where("option IS NULL").select("question_id", values.alias("content"))
     whole = numbers.join(full, "question_id", "left").join(content, "question_id", "left").join(options, "question_id", "left")
     count = F.coalesce(F.size(F.map_keys("options")), F.lit(0))
-    text = F.coalesce("full_text", F.lit(""))
+    text = F.when(F.col("asked"), F.coalesce("full_text", F.lit("")))
     return whole.select(
         "question_id", "number", marks(text).alias("marks"), question_type(text, count).alias("type"),
         F.coalesce("content", F.array().cast("array<string>")).alias("content"), "options",

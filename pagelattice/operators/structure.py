@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 INLINE = "array<struct<type:string,value:string,display:boolean>>"
 
@@ -102,35 +98,3 @@ def repair_table_sources(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
 def not_parsed(pages: DataFrame) -> DataFrame:
     """Pages that have blocks and no stored structure: what a parse has yet to do."""
     return pages.where("structured_content IS NULL AND ocr_blocks IS NOT NULL")
-
-
-@F.udtf(returnType=T.StructType().add("path", "string").add("depth", "integer").add("id", "string").add("type", "string"))
-class Nodes:
-    """The nodes of a structured document of any depth, each before its children."""
-
-    def eval(self, content: str):
-        def walk(nodes: list, path: str, depth: int):
-            for i, n in enumerate(nodes or []):
-                yield f"{path}/{i}", depth, n.get("id"), n.get("type")
-                yield from walk(n.get("children"), f"{path}/{i}", depth + 1)
-
-        yield from walk((json.loads(content) if content else {}).get("nodes"), "", 0)
-
-
-@F.pandas_udf(T.StringType())
-def with_s3_url(contents: pd.Series, ids: pd.Series, urls: pd.Series) -> pd.Series:
-    """Documents with s3_url set on the image node of that id, at any depth."""
-
-    def patch(content, node_id, url):
-        if content is None:
-            return None
-        doc = json.loads(content)
-        todo = list(doc.get("nodes", []))
-        while todo:
-            n = todo.pop()
-            if n.get("id") == node_id and n.get("type") == "image":
-                n["s3_url"] = url
-            todo += n.get("children") or []
-        return json.dumps(doc, ensure_ascii=False)
-
-    return pd.Series([patch(*x) for x in zip(contents, ids, urls, strict=True)], dtype=object)

@@ -187,7 +187,10 @@ def skew_angles() -> Column:
 
 
 def deskew_angle(crops: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(crop_id, angle) of each crop (crop_id, w, h): see profile_angle; 0 for one that is too small or has no profile."""
+    """(crop_id, angle) of each crop (crop_id, w, h): see profile_angle; 0 for one that is too small or has no profile.
+
+    Of the profiles those at the angles of skew_angles count.
+    """
     tall = crops.where((F.col("w") >= DESKEW_LEAST) & (F.col("h") >= DESKEW_LEAST)).select("crop_id")
-    best = profile_angle(profiles.join(tall, "crop_id", "left_semi"))
+    best = profile_angle(profiles.where(F.array_contains(skew_angles(), F.col("angle").cast("double"))).join(tall, "crop_id", "left_semi"))
     return crops.select("crop_id").join(best, "crop_id", "left").withColumn("angle", F.coalesce("angle", F.lit(0.0)))

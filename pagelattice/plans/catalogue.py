@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..functions import latex, text
-from ..operators import artifacts, export, folders, layout, library, mutations, questions, structure, tables
-from ..sources import plugins, sinks, store
+from ..operators import artifacts, export, folders, layout, library, mutations, questions, structure, tables, trees
+from ..sources import cleanup, plugins, sinks, store
 from ..sources.versioned import SPAN, PageTable
 from ..sources.views import PAGE_H, PAGE_W, view, with_views
 from ..streaming import batch as streams
@@ -185,6 +185,26 @@ query("page_detail", f"""{with_views("docs", "doc_pages")} SELECT d.id AS docume
 FROM docs d, LATERAL (SELECT unnest(range(1, d.page_count + 1)) AS n) LEFT JOIN doc_pages p ON p.document_id = d.id AND p.page_number = n""")(
     lambda get: library.page_detail(get("docs").select(F.col("id").alias("document_id"), F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number")), get("doc_pages"))
 )
+
+
+def _payload_pages(get) -> DataFrame:
+    """Stored pages whose lists are null, empty in several ways, or not, and whose sizes may be 0."""
+    k = ((F.col("document_id") + F.col("page_number")) % 6).cast("int")
+    some = lambda *texts: F.element_at(F.array(*(F.lit(t) for t in texts)), k + 1)
+    return get("doc_pages").withColumns({
+        "session_id": some("", "s", None, "s", "s", ""), "image_w": F.when(k != 3, k * 100), "image_h": F.lit(0),
+        "layout_blocks": some(None, "[]", "{}", '[{"id":"a"}]', "", "null"), "ocr_blocks": some("[1]", None, "[]", "0", '""', " [] "), "placed_images": some("[]", "[2]", "false", None, "[0]", "[]"),
+    })
+
+
+query("page_payload", f"""{with_views("docs", "doc_pages")}, w AS (SELECT id AS document_id, unnest(range(1, page_count + 1)) AS page_number FROM docs),
+p AS (SELECT *, (document_id + page_number) % 6 AS k, true AS there FROM doc_pages)
+SELECT w.document_id, w.page_number, CASE WHEN there THEN ['', 's', NULL, 's', 's', ''][k + 1] END AS session_id, CASE WHEN k <> 3 THEN k * 100 END AS image_w, CASE WHEN there THEN 0 END AS image_h,
+  coalesce(status, 'idle') AS status, CASE WHEN k = 3 THEN '[{{"id":"a"}}]' ELSE '[]' END AS layout_blocks, CASE WHEN k = 0 THEN '[1]' WHEN there THEN '[]' END AS ocr_blocks,
+  CASE k WHEN 1 THEN '[2]' WHEN 4 THEN '[0]' ELSE CASE WHEN there THEN '[]' END END AS placed_images
+FROM w LEFT JOIN p ON p.document_id = w.document_id AND p.page_number = w.page_number""")(
+    lambda get: library.page_payload(get("docs").select(F.col("id").alias("document_id"), F.explode(F.sequence(F.lit(1), "page_count")).alias("page_number")), _payload_pages(get))
+)
 query("folder_counts", f"""{with_views("folders", "docs")} SELECT f.id, f.name, f.parent_id, count(d.id) FILTER (d.deleted_at IS NULL) AS document_count
 FROM folders f LEFT JOIN docs d ON d.folder_id = f.id GROUP BY ALL""")(lambda get: library.folder_counts(get("folders"), get("docs")))
 query("tag_counts", f"""{with_views("doc_tags", "docs")} SELECT tag, count(d.id) FILTER (d.deleted_at IS NULL) AS document_count
@@ -221,8 +241,8 @@ query("freed_bytes", f"""{ORPHANS}, k AS (SELECT * FROM o WHERE session_id NOT I
 SELECT dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM k GROUP BY ROLLUP (dir)""")(lambda get: artifacts.freed(artifacts.orphans(get("artifacts"), _sessions(get), CUTOFF)))
 
 
-def _listed_orphans(get) -> DataFrame:
-    """The artifacts as files (of 0 to 4 bytes), listed where they lie; those of no live session."""
+def _artifact_files(get) -> tuple[DataFrame, str]:
+    """The artifacts as files of 0 to 4 bytes: a listing of them where they lie, and the folder."""
     files = get("artifacts")
     spark = plugins.register(files.sparkSession)
     root = store.run_folder(spark, "artifacts")
@@ -230,11 +250,23 @@ def _listed_orphans(get) -> DataFrame:
         named = files.where(F.col("dir") == d).select(F.concat("stem", F.lit(".jpg")).alias("name"), F.encode(F.repeat(F.lit("x"), (F.col("size") % 5).cast("int")), "UTF-8").alias("content"))
         if not sinks.write_files(named, f"{root}/{d}").where("error IS NOT NULL").isEmpty():
             raise OSError(f"{root}/{d} can't be written")
-    listed = spark.read.format("file_listing").option("path", root).option("pattern", "*.jpg").load()
-    return artifacts.orphans(listed, _sessions(get)).select("session_id", "dir", "stem", "size")
+    return spark.read.format("file_listing").option("path", root).option("pattern", "*.jpg").load(), root
+
 
+def _cleaned(get) -> DataFrame:
+    """What a cleanup of the files frees, by a dry run and then in fact, and how many files are left."""
+    listed, root = _artifact_files(get)
+    dry = cleanup.clean(listed, _sessions(get), root, f"{root}-dry", dry_run=True).withColumnRenamed("files", "would").drop("bytes")
+    freed = cleanup.clean(listed, _sessions(get), root, f"{root}-journal")
+    left = listed.rollup("dir").agg(F.count("*").alias("left"))
+    return freed.join(dry, freed["dir"].eqNullSafe(dry["dir"])).drop(dry["dir"]).join(left, freed["dir"].eqNullSafe(left["dir"])).drop(left["dir"])
 
-query("artifact_files", f"{ORPHANS} SELECT session_id, dir, stem, size % 5 AS size FROM o WHERE session_id NOT IN (SELECT session_id FROM live)")(_listed_orphans)
+
+query("artifact_files", f"{ORPHANS} SELECT session_id, dir, stem, size % 5 AS size FROM o WHERE session_id NOT IN (SELECT session_id FROM live)")(
+    lambda get: artifacts.orphans(_artifact_files(get)[0], _sessions(get)).select("session_id", "dir", "stem", "size")
+)
+query("artifact_cleanup", f"""{ORPHANS}, k AS (SELECT dir, size % 5 AS size, session_id NOT IN (SELECT session_id FROM live) AS gone FROM o)
+SELECT dir, count(*) FILTER (gone) AS files, CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS bytes, count(*) FILTER (gone) AS would, count(*) FILTER (NOT gone) AS left FROM k GROUP BY ROLLUP (dir)""")(_cleaned)
 query("crop_files_present", f"""{with_views("artifacts", "doc_pages")}, b AS (SELECT document_id, page_number, 's' || CAST(document_id AS STRING) || '_block_' || CAST(page_number AS STRING) AS stem FROM doc_pages)
 SELECT stem, document_id, page_number FROM b WHERE stem IN (SELECT stem FROM artifacts)""")(
     lambda get: artifacts.existing(
@@ -302,6 +334,26 @@ SELECT page_id, CAST(reading_order AS STRING) AS block_id, row_number() OVER (PA
 )
 query("structured_content")(lambda get: structure.structured(_blocks(get)))
 
+
+
+def _trees(get) -> DataFrame:
+    """Documents of up to seven nested sections, each with a paragraph, and an image at the bottom."""
+    section = lambda i: F.concat(F.lit('{"id":"s'), i.cast("string"), F.lit('","type":"section","children":[{"id":"p'), i.cast("string"), F.lit('","type":"paragraph","value":"'), F.md5("text"), F.lit('"},'))
+    depth = (F.col("doc_id") % 8).cast("int")
+    opened = F.when(depth > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(depth - 1, F.lit(0))), section), "")).otherwise("")
+    return get("texts").select("doc_id", F.concat(F.lit('{"nodes":['), opened, F.lit('{"id":"img","type":"image"}'), F.repeat(F.lit("]}"), depth), F.lit('],"version":1}')).alias("content"))
+
+
+query("node_walk", """WITH d AS (SELECT doc_id, doc_id % 8 AS d FROM documents), k AS (SELECT doc_id, d, unnest(range(0, d)) AS k FROM d)
+SELECT doc_id, '0' || repeat('/1', d) AS path, d AS depth, 'img' AS id, 'image' AS type FROM d UNION ALL SELECT doc_id, '0' || repeat('/1', k), k, 's' || k, 'section' FROM k
+UNION ALL SELECT doc_id, '0' || repeat('/1', k) || '/0', k + 1, 'p' || k, 'paragraph' FROM k""")(
+    lambda get: trees.walk(_trees(get)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+)
+query("node_patch", """WITH d AS (SELECT doc_id, md5(text) AS h, doc_id % 8 AS d, doc_id % 3 = 0 AS hit FROM documents)
+SELECT doc_id, CASE WHEN hit THEN '{"version":1,"nodes":[' ELSE '{"nodes":[' END || array_to_string(list_transform(range(0, d), lambda k: '{"id":"s' || k || '","type":"section","children":[{"id":"p' || k || '","type":"paragraph","value":"' || h || '"},'), '')
+  || '{"id":"img","type":"image"' || CASE WHEN hit THEN ',"s3_url":"s3/' || doc_id || '"' ELSE '' END || '}' || repeat(']}', d) || CASE WHEN hit THEN ']}' ELSE '],"version":1}' END AS content FROM d""")(
+    lambda get: trees.with_s3_urls(_trees(get), get("texts").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "img").otherwise("p0").alias("id"), F.concat(F.lit("s3/"), F.col("doc_id").cast("string")).alias("s3_url")))
+)
 query("repair_table_sources", f"""{with_views("regions")}, n AS (SELECT page_id, reading_order AS position, CASE WHEN reading_order % 2 = 0 THEN 'table' ELSE 'paragraph' END AS type,
   CASE WHEN reading_order % 4 = 0 THEN NULL ELSE 'b' || CAST(reading_order AS STRING) END AS src FROM regions),
 b AS (SELECT page_id, 'b' || CAST(reading_order AS STRING) AS block_id, reading_order FROM regions WHERE reading_order % 2 = 0 AND page_id % 3 > 0),
@@ -355,6 +407,14 @@ SELECT page_id AS question_id, reading_order AS pos, last_value(letter IGNORE NU
 )
 query("parse_questions")(lambda get: questions.parse_questions(get("regions").select(F.col("page_id").alias("question_id"), F.col("reading_order").alias("pos"), F.lit("text").alias("type"), "value")))
 
+query("question_unknown", f"""{with_views("regions")}, c AS (SELECT DISTINCT page_id, -1 - page_id AS blank FROM regions)
+SELECT question_id, question_id < 0 AS is_unknown FROM (SELECT page_id AS question_id FROM c UNION ALL SELECT blank FROM c)""")(
+    lambda get: questions.parse_questions(
+        get("regions").select(F.col("page_id").alias("question_id"), F.col("reading_order").alias("pos"), F.lit("text").alias("type"), "value"),
+        get("regions").select(F.explode(F.array("page_id", -1 - F.col("page_id"))).alias("question_id")),
+    ).select("question_id", (F.col("type") == "unknown").alias("is_unknown"))
+)
+
 # --- tables -----------------------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from pagelattice import models
-from pagelattice.operators import structure, tables
+from pagelattice.operators import structure, tables, trees
 from pagelattice.plans.catalogue import QUERIES
 from pagelattice.sources import files, sinks
 from pagelattice.streaming import batch, live
@@ -74,12 +74,10 @@ def test_models(spark):
 
 def test_nodes_and_patches(spark):
     doc = json.dumps({"nodes": [{"id": "a", "type": "section", "children": [{"id": "b", "type": "image", "children": [{"id": "c", "type": "image"}]}]}]})
-    spark.udtf.register("nodes_of", structure.Nodes)
-    df = spark.createDataFrame([(doc,)], "c string")
-    df.createOrReplaceTempView("docs_of_nodes")
-    got = spark.sql("SELECT n.* FROM docs_of_nodes, LATERAL nodes_of(c) n").collect()
-    assert [(r["path"], r["depth"], r["id"]) for r in got] == [("/0", 0, "a"), ("/0/0", 1, "b"), ("/0/0/0", 2, "c")]
-    patched = df.select(structure.with_s3_url("c", F.lit("c"), F.lit("u"))).first()[0]
+    df = spark.createDataFrame([(1, doc)], "doc_id int, content string")
+    got = trees.walk(df).orderBy("path").collect()
+    assert [(r["path"], r["depth"], r["id"]) for r in got] == [([0], 0, "a"), ([0, 0], 1, "b"), ([0, 0, 0], 2, "c")]
+    patched = trees.with_s3_urls(df, spark.createDataFrame([(1, "c", "u")], "doc_id int, id string, s3_url string")).first()["content"]
     assert json.loads(patched)["nodes"][0]["children"][0]["children"][0]["s3_url"] == "u"
 
 
