@@ -244,13 +244,13 @@ SELECT dir, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM k GROUP B
 def _artifact_files(get) -> tuple[DataFrame, str]:
     """The artifacts as files of 0 to 4 bytes: a listing of them where they lie, and the folder."""
     files = get("artifacts")
-    spark = plugins.register(files.sparkSession)
+    spark = files.sparkSession
     root = store.run_folder(spark, "artifacts")
     for d in ("debug_cache", "training_images", "tatr_crops"):
         named = files.where(F.col("dir") == d).select(F.concat("stem", F.lit(".jpg")).alias("name"), F.encode(F.repeat(F.lit("x"), (F.col("size") % 5).cast("int")), "UTF-8").alias("content"))
         if not sinks.write_files(named, f"{root}/{d}").where("error IS NOT NULL").isEmpty():
             raise OSError(f"{root}/{d} can't be written")
-    return spark.read.format("file_listing").option("path", root).option("pattern", "*.jpg").load(), root
+    return plugins.files(spark, root, pattern="*.jpg"), root
 
 
 def _cleaned(get) -> DataFrame:

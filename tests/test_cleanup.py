@@ -24,8 +24,7 @@ def left(folder):
 
 
 def test_dry_run_then_deletion_then_again(spark, folder):
-    plugins.register(spark)
-    listed = spark.read.format("file_listing").option("path", f"file://{folder}").load().withColumn("mtime", F.col("mtime").cast("timestamp_ntz"))
+    listed = plugins.files(spark, f"file://{folder}").withColumn("mtime", F.col("mtime").cast("timestamp_ntz"))
     sessions = spark.createDataFrame([("live",), ("",), (None,)], "session_id string")
     journal = store.run_folder(spark, "journal")
     wanted = [(None, 2, 23), ("debug_cache", 1, 7), ("tatr_crops", 1, 16)]
