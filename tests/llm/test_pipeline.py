@@ -72,5 +72,5 @@ def test_odd_rows(spark):
 
 def test_registered():
     q = __spark_entry__.queries()
-    assert "pipeline" in q and sorted(int(k[2:].split("_")[0]) for k in q if k.startswith("op") and k[2].isdigit()) == list(range(1, 11))
+    assert "pipeline" in q and sorted(int(k[2:].split("_")[0]) for k in q if k.startswith("op") and k[2].isdigit()) == list(range(1, 14))
     assert F is not None
