@@ -61,6 +61,7 @@ def segment_model(page):
         if not texts:
             above = y2
             continue
+        # the pattern of a question number is a fixed value
         number = next((int(m[1]) for t in texts[:3] if (m := re.match(r"^\s*[\(\[]?\s*Q?\.?\s*(\d+)\s*[.\)\]:\s]", t, re.I))), None)
         if number is not None or group and above is not None and y1 - above > 80:
             group += 1
