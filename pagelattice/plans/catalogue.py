@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import models
 from ..functions import latex, text
 from ..operators import artifacts, export, folders, layout, library, mutations, questions, structure, tables, trees
-from ..sources import cleanup, plugins, sinks, store
+from ..sources import archives, cleanup, plugins, sinks, store
 from ..sources.versioned import SPAN, PageTable
 from ..sources.views import PAGE_H, PAGE_W, view, with_views
 from ..streaming import batch as streams
@@ -453,6 +453,39 @@ a AS (
 SELECT image_id, row_number() OVER (ORDER BY image_id, k, i) AS annotation_id, category_id, x, y, w, h, w * h AS area FROM a""")(
     lambda get: tables.annotations(_tables(get).where("source = 'edited'"))
 )
+
+
+def _bundled(pieces: DataFrame) -> DataFrame:
+    folder = store.run_folder(pieces.sparkSession, "bundles")
+    return archives.read(archives.write(pieces, folder), folder)
+
+
+#: Pages and tables of a bundle in these queries, so that there are several.
+IN_BUNDLE = 200
+ABOUT_SQL = "'path: .\ntrain: images\nval: images\nnc: 5\nnames: [\"title\", \"plain_text\", \"figure\", \"table\", \"isolate_formula\"]\n'"
+query("yolo_bundles", f"""WITH lines AS ({ORACLES["yolo_lines"]}),
+p AS (SELECT page_id, string_agg(line, chr(10) ORDER BY det_idx) || chr(10) AS t FROM lines GROUP BY 1), b AS (SELECT *, (row_number() OVER (ORDER BY page_id) - 1) // {IN_BUNDLE} AS bundle FROM p)
+SELECT bundle, 'labels/' || page_id || '.txt' AS name, t AS content FROM b
+UNION ALL SELECT DISTINCT bundle, 'data.yaml', {ABOUT_SQL} FROM b UNION ALL SELECT DISTINCT bundle, 'README.md', 'Labels: class, centre and size as shares of the image.' || chr(10) FROM b""")(
+    lambda get: _bundled(
+        archives.label_pieces(export.yolo_lines(detected(get), PAGE_W, PAGE_H).select(F.col("page_id").alias("page"), F.col("page_id").cast("string").alias("stem"), F.col("det_idx").alias("idx"), "line"), pages_in_bundle=IN_BUNDLE)
+    ).withColumn("content", F.decode("content", "UTF-8"))
+)
+BOX = "array<struct<id:long,image_id:long,category_id:int,bbox:array<long>,area:long,iscrowd:int>>"
+query("coco_bundles", f"""SELECT (image_id - 1) // {IN_BUNDLE} AS bundle, image_id, annotation_id, category_id, x, y, w, h, area, image_id || '.jpg' AS file_name,
+max(CASE WHEN category_id = 4 THEN w END) OVER (PARTITION BY image_id) AS width, max(CASE WHEN category_id = 4 THEN h END) OVER (PARTITION BY image_id) AS height FROM ({ORACLES["coco_annotations"]})""")(
+    lambda get: _annotated(_bundled(archives.annotation_pieces(tables.annotations(_tables(get).where("source = 'edited'")), IN_BUNDLE, 32)))
+)
+
+
+def _annotated(files: DataFrame) -> DataFrame:
+    """Boxes and the images they are of, out of annotations.json."""
+    whole = files.select("bundle", F.from_json(F.decode("content", "UTF-8"), f"images array<struct<id:long,file_name:string,width:long,height:long>>, annotations {BOX}").alias("j"))
+    images = whole.select("bundle", F.explode("j.images").alias("i")).select("bundle", F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
+    boxes = whole.select("bundle", F.explode("j.annotations").alias("a")).select("bundle", F.col("a.id").alias("annotation_id"), "a.image_id", "a.category_id", *(F.col("a.bbox")[k].alias(c) for k, c in enumerate("xywh")), "a.area")
+    return boxes.join(images, ["bundle", "image_id"])
+
+
 query("cell_argmax", f"""{with_views("boxes")} SELECT page_id AS cell_id, arg_max(class_id, (confidence, -det_idx)) AS label FROM boxes GROUP BY page_id""")(
     lambda get: tables.surest(get("boxes").select(F.col("page_id").alias("cell_id"), F.col("det_idx").alias("idx"), F.col("class_id").alias("label"), "confidence"))
 )

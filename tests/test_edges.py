@@ -43,15 +43,6 @@ def test_written_files(spark, tmp_path):
     assert got == {"x.png": (2, None), "y.png": (0, None)} and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["x.png", "y.png"]
 
 
-def test_bundles(spark):
-    lines = spark.createDataFrame([("7_p1", 1, "0 a"), ("7_p1", 0, "1 b"), ("8_p1", 0, "2 c")], "stem string, idx int, line string")
-    z = zipfile.ZipFile(io.BytesIO(bytes(sinks.yolo_bundles(lines).first()["content"])))
-    assert z.read("labels/7_p1.txt") == b"1 b\n0 a\n" and "data.yaml" in z.namelist()
-    t = spark.createDataFrame([(1, [0, 10, 20], [0, 30], 1, 30, 20)], "table_id long, rb array<int>, cb array<int>, header_rows int, crop_w int, crop_h int")
-    made = json.loads(zipfile.ZipFile(io.BytesIO(bytes(sinks.coco_bundles(tables.annotations(t)).first()["content"]))).read("annotations.json"))
-    assert [a["category_id"] for a in made["annotations"]] == [1, 2, 3, 4] and made["images"][0]["width"] == 30
-
-
 def test_docx(spark):
     trees = spark.createDataFrame(
         [(1, [(0, [("title", [("text", "A & B", None, None)]), ("plain_text", [("text", "b", None, None), ("image", None, "/x.png", None)])])])],
