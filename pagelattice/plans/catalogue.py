@@ -387,12 +387,13 @@ query("question_prefix", f"""{with_views("regions")} SELECT page_id, reading_ord
 )
 CLUES = "CASE reading_order % 6 WHEN 0 THEN 'Assertion: ' WHEN 1 THEN 'find the value of x [2 Marks] ' WHEN 2 THEN 'one or more (2.5marks) ' WHEN 3 THEN '3 M ' ELSE '' END"
 B = r"\b"
-query("question_type", f"""{with_views("regions")}, t AS (SELECT page_id, reading_order, concat({CLUES}, value) AS v, page_id % 5 AS n FROM regions)
-SELECT page_id, reading_order, try_cast(nullif(regexp_extract(v, '(?i)[\\[\\(]?[ \\t\\n]*([0-9]+(?:\\.[0-9]+)?)[ \\t\\n]*mark', 1), '') AS DOUBLE) AS marks,
-  CASE WHEN n >= 3 THEN CASE WHEN regexp_matches(v, '(?i){B}(one or more|correct option[s]?|may be correct|all.*correct|more than one){B}') THEN 'mcq_multi' ELSE 'mcq_single' END
+MARKS_SQL = "try_cast(nullif(regexp_extract(v, '(?i)[\\[\\(]?[ \\t\\n]*([0-9]+(?:\\.[0-9]+)?)[ \\t\\n]*mark', 1), '') AS DOUBLE)"
+TYPE_SQL = f"""CASE WHEN n >= 3 THEN CASE WHEN regexp_matches(v, '(?i){B}(one or more|correct option[s]?|may be correct|all.*correct|more than one){B}') THEN 'mcq_multi' ELSE 'mcq_single' END
        WHEN regexp_matches(v, '(?i){B}(assertion|reason|statement[- ]?(i|ii|1|2)|both.*statement){B}') THEN 'assertion_reason'
        WHEN regexp_matches(v, '(?i){B}(integer|numerical|value of|answer is (an? )?integer|find the value){B}') THEN 'integer'
-       WHEN n > 0 THEN 'mcq_single' ELSE 'subjective' END AS type FROM t""")(
+       WHEN n > 0 THEN 'mcq_single' ELSE 'subjective' END"""
+query("question_type", f"""{with_views("regions")}, t AS (SELECT page_id, reading_order, concat({CLUES}, value) AS v, page_id % 5 AS n FROM regions)
+SELECT page_id, reading_order, {MARKS_SQL} AS marks, {TYPE_SQL} AS type FROM t""")(
     lambda get: get("regions").select(
         "page_id", "reading_order", F.concat(F.expr(CLUES), "value").alias("v"), (F.col("page_id") % 5).alias("n")
     ).select("page_id", "reading_order", questions.marks(F.col("v")).alias("marks"), questions.question_type(F.col("v"), F.col("n")).alias("type"))
@@ -407,6 +408,36 @@ SELECT page_id AS question_id, reading_order AS pos, last_value(letter IGNORE NU
 )
 query("parse_questions")(lambda get: questions.parse_questions(get("regions").select(F.col("page_id").alias("question_id"), F.col("reading_order").alias("pos"), F.lit("text").alias("type"), "value")))
 
+
+
+def _asked(get) -> DataFrame:
+    """Each page as a question; some of its regions open an option, some hold marks."""
+    texts = get("regions").select(F.col("page_id").alias("question_id"), F.col("reading_order").alias("pos"), F.lit("text").alias("type"), "value")
+    marked = F.when(F.col("pos") % 7 == 3, F.concat(F.lit("("), F.substring(F.lit("abcd"), (F.col("pos") % 4 + 1).cast("int"), F.lit(1)), F.lit(") "), "value")).otherwise(F.col("value"))
+    return texts.withColumn("value", F.when(F.col("pos") % 11 == 5, F.concat(F.lit("one or more [3 marks] "), marked)).otherwise(marked))
+
+
+query("parsed_questions", f"""{with_views("regions")},
+a AS (SELECT page_id AS question_id, reading_order AS pos, CASE WHEN reading_order % 7 = 3 THEN '(' || substr('abcd', CAST(reading_order % 4 + 1 AS INT), 1) || ') ' || value ELSE value END AS o FROM regions),
+q AS (SELECT question_id, pos, CASE WHEN pos % 11 = 5 THEN 'one or more [3 marks] ' || o ELSE o END AS value, row_number() OVER (PARTITION BY question_id ORDER BY pos) = 1 AS lead FROM a),
+b AS (SELECT question_id, pos, lead, CASE WHEN lead THEN try_cast(nullif(regexp_extract(value, '{Q_SQL}', 1), '') AS BIGINT) END AS number,
+  CASE WHEN lead AND regexp_matches(value, '{Q_SQL}') THEN trim(regexp_replace(value, '{Q_SQL}[ \\t\\n\\r\\f]*', ''), E' \\t\\n\\r\\f') ELSE value END AS value FROM q),
+k AS (SELECT *, trim(value, E' \\t\\n\\r\\f') AS t FROM b WHERE NOT (lead AND number IS NOT NULL AND value = '')),
+m AS (SELECT *, nullif(lower(regexp_extract(t, '{OPT_SQL}', 1)), '') AS raw FROM k),
+l AS (SELECT *, coalesce(map {{'i': 'a', 'ii': 'b', 'iii': 'c', 'iv': 'd', '1': 'a', '2': 'b', '3': 'c', '4': 'd'}}[raw], raw) AS letter FROM m),
+p AS (SELECT question_id, pos, last_value(letter IGNORE NULLS) OVER (PARTITION BY question_id ORDER BY pos) AS option,
+  CASE WHEN letter IS NULL THEN value ELSE nullif(trim(regexp_replace(t, '{OPT_SQL}', ''), E' \\t\\n\\r\\f'), '') END AS value FROM l),
+g AS (SELECT question_id, option, coalesce(string_agg(value, ' / ' ORDER BY pos), '') AS text FROM p GROUP BY ALL),
+o AS (SELECT question_id, string_agg(option || ': ' || text, ' | ' ORDER BY option) AS options, count(*) AS n FROM g WHERE option IS NOT NULL GROUP BY 1),
+f AS (SELECT question_id, string_agg(value, ' ' ORDER BY pos) AS v FROM k GROUP BY 1),
+w AS (SELECT i.question_id, i.number, coalesce(f.v, '') AS v, coalesce(o.n, 0) AS n, coalesce(c.text, '') AS content, o.options
+  FROM (SELECT question_id, max(number) AS number FROM b GROUP BY 1) i LEFT JOIN f USING (question_id) LEFT JOIN o USING (question_id) LEFT JOIN (SELECT * FROM g WHERE option IS NULL) c ON c.question_id = i.question_id)
+SELECT question_id, number, {MARKS_SQL} AS marks, {TYPE_SQL} AS type, content, options FROM w""")(
+    lambda get: questions.parse_questions(_asked(get)).withColumns({
+        "content": F.array_join("content", " / "),
+        "options": F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit(": "), F.array_join(e["value"], " / "))), " | "),
+    })
+)
 query("question_unknown", f"""{with_views("regions")}, c AS (SELECT DISTINCT page_id, -1 - page_id AS blank FROM regions)
 SELECT question_id, question_id < 0 AS is_unknown FROM (SELECT page_id AS question_id FROM c UNION ALL SELECT blank FROM c)""")(
     lambda get: questions.parse_questions(
