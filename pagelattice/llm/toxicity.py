@@ -2,7 +2,7 @@
 
 Words are mapped to classes (insult, marked, threat, will, target, negation, report). Small transducers read the classes of
 a whole clause, from one stop mark to the next, however long it is: one finds insults with or without a target or piled up,
-one threats (modal, verb, target), two tell whether a match stands in the scope of a negation, one whether it stands in
+one threats (modal, verb, target), one threats in other orders (target before the verb, imperatives, wishes), two tell whether a match stands in the scope of a negation, one whether it stands in
 reported speech, one counts marked words. `compose` makes one machine of them, whose arcs put out kinds of matched clauses;
 each kind has a weight. A single bare insult or marked word in a text matches nothing: such clauses count from the second
 one on. A logistic sum over the kinds, damped, and over how dense they stand among the text's words gives the score.
@@ -42,14 +42,20 @@ INSULTS = (
     "idiot idiots moron morons loser losers scum trash worthless stupid disgusting pathetic clown clowns imbecile dumb "
     "dumbass jerk vermin filth bastard bitch asshole idiota estúpido imbécil connard crétin salaud dummkopf arschloch abschaum"
 ).split()
-THREATS = "kill hurt destroy murder stab shoot beat strangle burn töten umbringen tuer matar".split()
-WILLS = "will gonna shall must should ll werde vais voy".split()
-TARGETS = "you your youre u they them he she him her these those people du dich ihr tu toi vous te usted".split()
+THREATS = "kill hurt destroy murder stab shoot beat strangle burn töten umbringen erstechen verprügeln tuer égorger matar apuñalar brennst stirbst verreckst crèves mueras".split()
+WILLS = "will gonna going shall must should ll werde werden wird wirst vais va allons voy vamos".split()
+TARGETS = "you your youre u they he she these those people du ihr tu toi usted".split()
+#: Targets that are objects only: of languages that put them before the verb, and of English.
+OBJECTS = "dich euch te vous".split()
+THEM = "them him her".split()
+WISHES = "hope wish hoffe wünsche espère espero ojalá".split()
 NEGATIONS = "not never no isn aren wasn don doesn didn without nicht kein keine pas jamais nunca".split()
-REPORTS = "said says say called quoted quote reported wrote claimed according sagte dijo dit".split()
+REPORTS = "said says say called quoted quote reported wrote claimed according sagt sagte schrieb behauptete dijo escribió afirmó dit écrit affirme".split()
 
 #: Word classes; the empty one is any other word, the last one the end of a clause.
-CLASSES = ("", "insult", "marked", "threat", "will", "target", "negation", "report", "stop")
+CLASSES = ("", "insult", "marked", "threat", "will", "target", "object", "them", "wish", "negation", "report", "stop")
+#: Classes that name a target.
+AIMS = ("target", "object", "them")
 #: Kinds of matched clauses with the logit that a text with one match has by its prior weight (ALONE: with two).
 PRIOR = {
     "insult_bare": 0.3, "insult_aimed": 1.4, "insult_piled": 1.6, "insult_negated": -1.2, "insult_reported": -1.0,
@@ -63,7 +69,7 @@ KINDS = FEATURES[:-2]
 #: Kinds of which one match says nothing.
 ALONE = ("insult_bare", "marked")
 #: Words that negation reaches over.
-SCOPE = 3
+SCOPE = 4
 BEGINNINGS = (4, 5, 6)
 #: Marks that end a clause.
 STOPS = ".!?;|\n"
@@ -83,7 +89,7 @@ def _aim(state, c):
         return (0, False), ("aimed" if target else "bare") if insults else ""
     if c == "insult":
         return ((0, target), "piled") if insults else ((1, target), "")
-    return (insults, target or c == "target"), ""
+    return (insults, target or c in AIMS), ""
 
 
 def _threat(state, c):
@@ -91,13 +97,52 @@ def _threat(state, c):
     left, seen = state  # left: 3 to 1 after a modal, -2 and -1 after a verb behind one
     if c == "stop":
         return (0, False), "threat" if seen else ""
+    if seen:
+        return state, ""
     if c == "will":
-        return (3, seen), ""
+        return (3, False), ""
     if c == "threat" and left > 0:
-        return (-2, seen), ""
-    if c == "target" and left < 0:
+        return (-2, False), ""
+    if c in AIMS and left < 0:
         return (0, True), ""
-    return (left - 1 if left > 0 else left + 1 if left < 0 else 0, seen), ""
+    return (left - 1 if left > 0 else left + 1 if left < 0 else 0, False), ""
+
+
+def _turned(state, c):
+    """Threats in other orders: a modal, at most two words, an object, at most three words, a verb, or an object right before the modal ("te voy a
+    matar"); a verb that begins the clause, at most one word, an object; a wish, at most one word, a target, at most one word, a verb that ends it."""
+    if c == "stop":
+        return BEGIN, "threat" if state in (SEEN, ENDED) else ""
+    if state == SEEN:
+        return state, ""
+    if state == ENDED:
+        state = ("", 0, 0)
+    phase, left, reach = state  # reach: words in which a verb behind an object counts
+    if phase == "begin":
+        phase, left = ("order", 2) if c == "threat" else ("", 0)
+        if c == "threat":
+            return (phase, left, 0), ""
+    if phase == "order" and c in ("object", "them"):
+        return SEEN, ""
+    if phase == "meant" and c == "threat":
+        return ENDED, ""
+    if c == "threat" and reach and phase in ("", "will"):
+        return SEEN, ""
+    if c == "will":
+        return ("will", 3, 4 if phase == "object" else 0), ""
+    if c == "wish":
+        return ("wish", 2, 0), ""
+    if phase == "wish" and c in AIMS:
+        return ("meant", 2, 0), ""
+    if phase == "will" and c == "object":
+        return ("will", left - 1, 4) if left > 1 else ("", 0, 4), ""
+    if c == "object":
+        return ("object", 1, 0), ""
+    left, reach = max(0, left - 1), max(0, reach - 1)
+    return (phase if left else "", left, reach), ""
+
+
+BEGIN, SEEN, ENDED = ("begin", 0, 0), ("seen", 0, 0), ("ended", 0, 0)
 
 
 def _negated(word):
@@ -134,6 +179,7 @@ def _marked(state, c):
 MACHINES = (
     Machine((0, False), _aim),
     Machine((0, False), _threat),
+    Machine(BEGIN, _turned),
     Machine((0, False), _negated("insult")),
     Machine((0, False), _negated("threat")),
     Machine((False, False), _reported),
@@ -141,12 +187,12 @@ MACHINES = (
 )
 
 
-def _kinds(aim: str, threat: str, negated_insult: str, negated_threat: str, reported: str, marked: str) -> list[str]:
+def _kinds(aim: str, threat: str, turned: str, negated_insult: str, negated_threat: str, reported: str, marked: str) -> list[str]:
     """What the tags of one step of all machines say together."""
     out = []
     if aim:
         out.append("insult_" + (negated_insult or reported or aim))
-    if threat:
+    if threat or turned:
         out.append("_".join(filter(None, ("threat", negated_threat or reported))))
     if marked:
         out.append({"single": "marked", "piled": "marked_piled"}[marked])
@@ -193,7 +239,7 @@ class Grammar:
     def __init__(self, beginnings: tuple[str, ...] = (), weights: dict[str, float] | None = None, bias: float = BIAS):
         self.beginnings, self.bias = tuple(sorted(beginnings)), bias
         self.weights = dict(weights or {k: v - BIAS for k, v in PRIOR.items()})
-        lists = {"insult": INSULTS, "threat": THREATS, "will": WILLS, "target": TARGETS, "negation": NEGATIONS, "report": REPORTS}
+        lists = {"insult": INSULTS, "threat": THREATS, "will": WILLS, "target": TARGETS, "object": OBJECTS, "them": THEM, "wish": WISHES, "negation": NEGATIONS, "report": REPORTS}
         self.of = {w: CLASSES.index(k) for k, words in lists.items() for w in words}
         lead = "|".join(map(re.escape, self.beginnings))
         whole = "|".join(map(re.escape, sorted(set(INSULTS) | set(THREATS))))

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -33,8 +34,8 @@ def interpreted(classes):
         # negation and report of the last insult or threat before count
         found["insult_" + (("negated" if how(i) == "negated" else "") or reported_at(classes, i) or "piled")] += 1
     if len(insults) % 2:
-        found["insult_" + (("negated" if how(insults[-1]) == "negated" else "") or reported_at(classes, len(classes)) or ("aimed" if place("target") else "bare"))] += 1
-    if any(threatens(classes, i) for i in threats):
+        found["insult_" + (("negated" if how(insults[-1]) == "negated" else "") or reported_at(classes, len(classes)) or ("aimed" if any(map(place, toxicity.AIMS)) else "bare"))] += 1
+    if any(threatens(classes, i) for i in threats) or stepped(classes):
         found["_".join(filter(None, ("threat", "negated" if how(threats[-1]) == "negated" else reported_at(classes, len(classes)))))] += 1
     found["marked_piled"] += len(marked) // 2
     found["marked"] += len(marked) % 2
@@ -57,7 +58,7 @@ def threatens(classes, i):
         if c == "threat" and left > 0:
             state, left = j, -2
             continue
-        if c == "target" and left < 0:
+        if c in toxicity.AIMS and left < 0:
             if state == i:
                 return True
             left = 0
@@ -66,6 +67,48 @@ def threatens(classes, i):
     return False
 
 
+def stepped(classes):
+    state = toxicity.BEGIN
+    for c in classes:
+        state = toxicity._turned(state, c)[0]
+    return state in (toxicity.SEEN, toxicity.ENDED)
+
+
+def turned(classes):
+    """Threats in other orders, as patterns over a letter a word; what a word begins ends what was begun before it, but for a modal's and its object's reach."""
+    letters = "".join({"threat": "t", "will": "w", "target": "y", "object": "o", "them": "m", "wish": "h"}.get(c, ".") for c in classes)
+    orders = r"^t[^wh]?[om]", r"w[^whto]{0,2}o[^who]{0,3}t", r"ow[^who]{0,3}t", r"h[^whymo]?[ymo][^whymot]?t$"
+    return any(re.search(p, letters) for p in orders)
+
+
+def test_other_orders_are_patterns():
+    """The machine against patterns, where no word could begin something else: then both say the same."""
+    r = random.Random(3)
+    for _ in range(4000):
+        kind = r.choice([("", "threat", "them"), ("", "will", "object", "threat"), ("", "wish", "target", "threat")])
+        classes = [r.choice(kind if r.random() < 0.9 else ("",)) for _ in range(r.randint(0, 7))]
+        state = toxicity.BEGIN
+        for c in classes:
+            state = toxicity._turned(state, c)[0]
+        if sum(c in ("will", "wish", "object", "target", "them") for c in classes) <= 2 and classes.count("threat") <= 1:
+            assert (toxicity._turned(state, "stop")[1] == "threat") == stepped(classes) == turned(classes), classes
+
+
+SAID = (
+    ("ich werde dich töten", "ich werde dich nicht töten"), ("je vais te tuer", "je ne vais pas te tuer"), ("te voy a matar", "no te voy a matar"),
+    ("I am going to kill you", "I am not going to kill you"), ("kill them all", "he said kill them all"), ("I hope you burn", "I do not hope you burn"),
+    ("wir werden euch umbringen", "er sagte wir werden euch umbringen"), ("on va vous tuer", "il dit on va vous tuer"), ("I hope they all burn", "never, I hope they burn"),
+)
+
+
+def test_threats_in_other_orders_and_languages(spark):
+    for g in (toxicity.Grammar(), toxicity.fit(shared.table(spark, SF, "documents"), shared.table(spark, SF, "labels"))):
+        for threat, other in SAID:
+            assert score(g, threat) >= toxicity.THRESHOLD > score(g, other), (threat, score(g, threat), other, score(g, other))
+        for text in ("I hope they beat the record", "will they kill the process", "murder he wrote", "beat the eggs", "we will see them beat the champion", "je te dois de tuer le temps"):
+            assert score(g, text) < toxicity.THRESHOLD, text
+
+
 def test_composed_machine_is_the_interpreter():
     r = random.Random(9)
     names = toxicity.CLASSES[:-1]
