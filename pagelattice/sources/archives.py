@@ -207,8 +207,15 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for bundle, file in zip(batch["bundle"], batch["file"], strict=True):
                 with files.open_input_file(f"{root}/{file}") as f, zipfile.ZipFile(f) as z:
+                    rows, held = [], 0
                     for entry in z.infolist():
-                        yield pd.DataFrame({"bundle": [bundle], "name": [entry.filename], "content": [z.read(entry)]})
+                        rows.append((bundle, entry.filename, z.read(entry)))
+                        held += len(rows[-1][2])
+                        if held > COPY_BYTES or len(rows) == 1000:
+                            yield pd.DataFrame(rows, columns=["bundle", "name", "content"])
+                            rows, held = [], 0
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["bundle", "name", "content"])
 
     return manifest.select("bundle", "file").mapInPandas(work, "bundle long, name string, content binary")
 
