@@ -20,11 +20,12 @@ import gc
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ from . import shared
 #: The mark that stands for a space in pieces; fixed value.
 MARK = "▁"
 #: Parts a worker remembers since it last set them apart; it keeps those of before that once more. Longer parts are not remembered.
-REMEMBERED, REMEMBERED_CHARS = 50_000, 64
-#: Pairs of pieces whose check is remembered, before all are dropped.
-PAIRS = 150_000
+#: Words take some 200 bytes each.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Pairs of pieces whose check is remembered, likewise.
+PAIRS = 200_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -61,17 +63,22 @@ class Codec:
         self.bytes = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
         own = {p for p in self.ids if len(p) == 1 or self._merge(p) == [p]}
+        self.own = own
         # backwards, so that a match ending at a place is a piece starting there
         self.automaton = ahocorasick.Automaton()
+        # by id: characters of a piece, and the next shorter piece that starts like it
+        self.sizes, self.shorter = [len(p) for p in self.pieces], [-1] * n
         for p in own:
-            self.automaton.add_word(p[::-1], p)
+            i = self.ids[p]
+            self.automaton.add_word(p[::-1], i)
+            self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in own), -1)
         self.automaton.make_automaton()
-        shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in own), None) for p in own}
-        self.shorter, self.own = shorter, own
         self.chars = {p for p in own if len(p) == 1}
-        self.pair: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, str, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[int, str, tuple[int, ...]]] = {}
+        self.pair: dict[int, bool] = {}
+        self.older_pair: dict[int, bool] = {}
+        # ids of parts, as the bytes of an int32 array
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.names = [str(i) for i in range(n)]
         self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -105,66 +112,74 @@ class Codec:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether the two pieces, side by side, re-merge to themselves."""
-        found = self.pair.get((a, b))
+        return self._fits(self.ids[a], self.ids[b])
+
+    def _fits(self, a: int, b: int) -> bool:
+        key = a * len(self.pieces) + b
+        found = self.pair.get(key)
         if found is None:
+            found = self.older_pair.get(key)
+            if found is None:
+                x, y = self.pieces[a], self.pieces[b]
+                found = self._merge(x + y) == [x, y]
             if len(self.pair) >= PAIRS:
-                self.pair.clear()
-            found = self.pair[a, b] = self._merge(a + b) == [a, b]
+                self.pair, self.older_pair = {}, self.pair
+            self.pair[key] = found
         return found
 
-    def _search(self, text: str) -> list[str]:
-        """Pieces of a stretch in which every character is a piece."""
+    def _search(self, text: str) -> list[int]:
+        """Ids of a stretch in which every character is a piece."""
         n = len(text)
         last_at = n - 1
         # of the matches that end at a place of the reversed text, the longest comes first: going backwards it stays
         longest = dict(reversed([*self.automaton.iter(text[::-1])]))
-        fits, shorter = self.fits, self.shorter
-        out: list[str] = []
+        sizes, shorter, fits = self.sizes, self.shorter, self._fits
+        width, known = len(self.pieces), self.pair.get
+        out: list[int] = []
         failed = at = 0
-        p: str | None = longest[last_at]
+        p, last = longest[last_at], -1
         while at < n:
-            while p is not None:
-                end = at + len(p)
-                if not failed >> end & 1 and (not out or fits(out[-1], p)):
+            while p >= 0:
+                end = at + sizes[p]
+                if not (failed and failed >> end & 1) and (last < 0 or known(last * width + p) or fits(last, p)):
                     break
                 p = shorter[p]
-            if p is not None:
+            if p >= 0:
                 out.append(p)
-                at = end
+                at, last = end, p
                 if at < n:
                     p = longest[last_at - at]
                 continue
             failed |= 1 << at
             if not out:
                 raise ValueError("the pieces do not cover the text")
-            last = out.pop()
-            at -= len(last)
-            p = shorter[last]
+            p = out.pop()
+            at -= sizes[p]
+            p, last = shorter[p], out[-1] if out else -1
         return out
 
     def _part_ids(self, part: str) -> list[int]:
         """Ids of a part; characters that are no pieces become bytes and stand between stretches that merge on their own."""
         if self.chars.issuperset(part):
-            return [self.ids[p] for p in self._search(part)]
+            return self._search(part)
         ids: list[int] = []
         run = 0
         for i, c in enumerate(part):
             if c not in self.ids:
                 if run < i:
-                    ids += [self.ids[p] for p in self._search(part[run:i])]
+                    ids += self._search(part[run:i])
                 ids += [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
                 run = i + 1
         if run < len(part):
-            ids += [self.ids[p] for p in self._search(part[run:])]
+            ids += self._search(part[run:])
         return ids
 
-    def _lookup(self, part: str) -> tuple[int, str, tuple[int, ...]]:
+    def _lookup(self, part: str) -> bytes:
         found = self.known.get(part)
         if found is None:
             found = self.older.get(part)
             if found is None:
-                ids = self._part_ids(part)
-                found = len(ids), ",".join([self.names[i] for i in ids]), tuple(ids)
+                found = array("i", self._part_ids(part)).tobytes()
             if len(part) <= REMEMBERED_CHARS:
                 if len(self.known) >= REMEMBERED:
                     self.known, self.older = {}, self.known
@@ -180,11 +195,8 @@ class Codec:
     def encode_joined(self, text: str) -> tuple[int, str, list[int]]:
         """Number of ids, the ids joined by commas, and the ids."""
         get, look = self.known.get, self._lookup
-        found = [get(p) or look(p) for p in self.parts(text)]
-        ids: list[int] = []
-        for f in found:
-            ids += f[2]
-        return len(ids), ",".join([f[1] for f in found]), ids
+        ids = np.frombuffer(b"".join([get(p) or look(p) for p in self.parts(text)]), dtype=np.int32).tolist()
+        return len(ids), ",".join(map(self.names.__getitem__, ids)), ids
 
     def encode(self, text: str) -> list[int]:
         return self.encode_joined(text)[2]

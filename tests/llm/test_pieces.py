@@ -51,6 +51,24 @@ def test_forgetting_changes_nothing(codec, monkeypatch):
     assert codec.encode(s) == codec.lib.encode(s)
 
 
+def test_parts_of_a_large_vocabulary_are_encoded_once(monkeypatch):
+    """120,000 different words, read twice; each takes few bytes and no search the second time."""
+    own, searched = pieces.Codec(pieces.default_model()), []
+    once = own._part_ids
+    monkeypatch.setattr(own, "_part_ids", lambda part: searched.append(part) or once(part))
+    text = " ".join(f"k{i}" for i in range(120_000))
+    assert own.encode(text) == own.encode(text) == own.lib.encode(text)
+    assert len(searched) == len(set(searched)) == 120_000
+    assert all(type(v) is bytes for v in own.known.values())
+
+
+def test_dropping_checked_pairs_changes_nothing(monkeypatch):
+    monkeypatch.setattr(pieces, "PAIRS", 3)
+    own = pieces.Codec(pieces.default_model())
+    s = "unaffordable characterizations, 12345678 antidisestablishmentarianism"
+    assert own.encode(s) == own.lib.encode(s) and len(own.pair) <= 3
+
+
 def test_query(spark, codec):
     texts = {r["doc_id"]: r["text"] or "" for r in shared.table(spark, SF, "documents").collect()}
     got = pieces.query(spark, SF).collect()
