@@ -6,8 +6,8 @@ what they divide; they are elected, not drawn:
 
 1. Filters. A document more than a quarter of whose shingles stand in no other document has no partner; counting this over
    the lowest LOW_EIGHTHS of the hash range drops most documents and never one with a partner. Documents with equal sets become
-   one set. Shingles get one order (low part of the range before the rest, rare before frequent): two linked sets share one
-   of the first n // 4 + 1 of either, two sets within FAR one of the first 5/8.
+   one set; then all shingles of what is left are counted, and the same filter is used once more. Shingles get one order, rare
+   before frequent: two linked sets share one of the first n // 4 + 1 of either, two sets within FAR one of the first half.
 2. Pivots. Each set elects, of all sets it shares a row of this index with, the one of least random priority; those elected
    are pivots. All sets within FAR of a pivot are found and their distances counted.
 3. Regions. A set within COVER of a pivot is owned by its nearest one. A partner of it, at most 1/4 away, lies within COVER +
@@ -144,9 +144,6 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return (h ^ np.uint64(1 << 63)).view(np.int64)
 
 
-LOW_SIGNED = int(_signed(np.array([LOW_BELOW]))[0])
-
-
 def _lists(values: list[np.ndarray]):
     import pyarrow as pa
 
@@ -284,22 +281,16 @@ def join_region(sets: list[np.ndarray], left: np.ndarray | None = None, right: n
 def shingle_index(reps: DataFrame) -> DataFrame:
     """(h, rep, n, first): the shingles of each set (rep, n, shingles) that one within FAR of it shares with it.
 
-    They come first in the global order, without those no other set has; first: whether a linked set shares one of these.
+    They come first in the global order, rare before frequent over all shingles, without those no other set has; first:
+    whether a linked set shares one of these. A set of which more than a quarter stands nowhere else has no rows.
     """
     link = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1
     far = F.col("n") - F.ceil(F.col("n") * (1 - FAR)).cast("int") + 1
-    low = F.size(F.filter("shingles", lambda h: h < LOW_SIGNED))
-    sent = reps.select("rep", "n", link.alias("k1"), far.alias("k2"), F.slice("shingles", F.lit(1), F.greatest(low, far)).alias("sent")).withColumn("e", F.size("sent"))
-    rows = sent.select("rep", "n", "k1", "k2", "e", F.explode("sent").alias("h"))
+    rows = reps.select("rep", F.explode("shingles").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = (
-        rows.join(often.hint("merge"), "h")
-        .groupBy("rep", "n", "k1", "k2", "e")
-        .agg(F.array_sort(F.collect_list(F.struct((F.col("h") >= LOW_SIGNED).alias("high"), F.when(F.col("h") < LOW_SIGNED, F.col("df")).otherwise(0).alias("df"), "h"))).alias("own"))
-        .withColumn("alone", F.col("e") - F.size("own"))
-        .where("k2 > alone")
-    )
-    kept = ranked.select("rep", "n", (F.col("k1") - F.col("alone")).alias("k"), F.posexplode(F.slice("own", F.lit(1), F.col("k2") - F.col("alone"))).alias("at", "o"))
+    own = rows.join(often.hint("merge"), "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own"))
+    ranked = own.join(reps.select("rep", "n", link.alias("k1"), far.alias("k2")).hint("merge"), "rep").withColumn("alone", F.col("n") - F.size("own")).where("k1 > alone")
+    kept = ranked.select("rep", "n", (F.col("k1") - F.col("alone")).alias("k"), F.posexplode(F.slice("own", F.lit(1), F.greatest("k1", "k2") - F.col("alone"))).alias("at", "o"))
     return kept.select("o.h", "rep", "n", (F.col("at") < F.col("k")).alias("first"))
 
 

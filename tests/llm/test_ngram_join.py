@@ -103,6 +103,31 @@ def test_dense_group_is_divided_into_regions(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def sets_frame(spark, sets):
+    return spark.createDataFrame([(i, len(x), sorted(x)) for i, x in enumerate(sets)], "rep long, n int, shingles array<long>")
+
+
+def test_a_common_passage_comes_last(spark):
+    """60 pairs of sets, all of which share 56 of 100 shingles: what only the pair shares comes first, wherever it hashes to."""
+    r = random.Random(11)
+    draw = lambda k: {r.randrange(-(1 << 63), 1 << 63) for _ in range(k)}
+    passage = draw(56)
+    sets = []
+    for _ in range(60):
+        both = draw(42)
+        sets += [passage | both | draw(2), passage | both | draw(2)]
+    rows = op.shingle_index(sets_frame(spark, sets)).collect()
+    assert len(rows) == 120 * (51 - 2) and sum(x["first"] for x in rows) == 120 * (26 - 2)
+    assert sum(x["h"] in passage for x in rows) == 120 * 7 and not any(x["first"] and x["h"] in passage for x in rows)
+
+
+def test_sets_that_stand_too_far_alone_are_not_indexed(spark):
+    """Shingles of the whole range count: 25 of 100 that no other set has are few enough for a link, 26 aren't."""
+    passage = set(range(74))
+    sets = [passage | {1000 * k + i for i in range(26)} for k in range(1, 9)] + [passage | {-1} | {-k - i for i in range(25)} for k in (8000, 9000)]
+    assert {x["rep"] for x in op.shingle_index(sets_frame(spark, sets)).collect()} == {8, 9}
+
+
 def test_regions_recurse_exactly():
     r = np.random.default_rng(4)
     centres = [np.sort(r.choice(5000, 60, replace=False)) for _ in range(30)]
