@@ -45,3 +45,22 @@ def test_any_order_and_split(spark, seed):
         stream.fold_files(spark, f"{root}/in", f"{root}/out", f"{root}/check")
     got = sorted((tuple(x) for x in stream.last_emitted(spark, f"{root}/out").collect()), key=str)
     assert got == batch_fold(spark, pages, change)
+
+
+def test_ties_spaces_and_repeats(spark):
+    fig = lambda *n: "".join(f'"/media/figures/{x}.png"' for x in n)
+    pages = spark.createDataFrame([(1, 1, "idle", fig("a"), "s", "edited"), (2, 1, "idle", fig("b\u00a0c"), "s", "edited")], PAGES)
+    # two saves of one number and value, one of which states the structure; a space that isn't ASCII within a name; a save that comes twice
+    saves = [(1, 1, 5, ["ocr_blocks", "structured_content"], None, fig("b"), "t"), (1, 1, 5, ["ocr_blocks"], None, fig("b"), None), (2, 1, 1, ["ocr_blocks"], None, "[]", None), (2, 1, 1, ["ocr_blocks"], None, "[]", None)]
+    rows = stream.snapshot(pages).collect() + stream.saves(spark.createDataFrame(saves, SAVES), "seq").collect()
+    for k, order in enumerate((rows, rows[::-1])):
+        root = store.run_folder(spark, f"stream{k}")
+        spark.createDataFrame(order, stream.SAVE).coalesce(1).write.parquet(f"{root}/in")
+        stream.fold_files(spark, f"{root}/in", f"{root}/out", f"{root}/check")
+        got = {r["document_id"]: (r["structured_content"], r["dropped"]) for r in stream.last_emitted(spark, f"{root}/out").collect()}
+        assert got == {1: ("t", ["/media/figures/a.png"]), 2: (None, ["/media/figures/b\u00a0c.png"])}
+
+
+def test_the_fold_runs_no_python(spark):
+    plan = stream.folded(spark.createDataFrame([], stream.SAVE))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "ObjectHashAggregate" in plan
