@@ -108,3 +108,15 @@ def test_dropped_figures_in_turn(spark):
     saves = spark.createDataFrame(rows, "document_id int, page_number int, seq int, ocr_blocks string, structured_content string")
     got = sorted(map(tuple, mutations.dropped_figures(pages, saves, "seq").collect()))
     assert got == [(1, 1, "/media/figures/a.png"), (1, 1, "/media/figures/b.png"), (3, 1, "/media/figures/y.png")]
+
+
+def test_buckets_beyond_a_folder_each(spark):
+    table = PageTable(spark, store.run_folder(spark, "test"))
+    n = (1 << 16) + 10
+    table.create(spark.range(n).select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), F.lit("idle").alias("status")), span=1)
+    table.save(spark.createDataFrame([(d, 1, "done") for d in (0, n // 2, n - 1, 2 * n)], "document_id long, page_number int, status string"))
+    assert [tuple(r) for r in table.history().orderBy("version").collect()] == [(1, n, n), (2, n + 1, 4)]
+    assert table.read().count() == table.read().select("document_id").distinct().count() == n + 1
+    assert sorted(r[0] for r in table.read().where("status = 'done'").collect()) == [0, n // 2, n - 1, 2 * n]
+    assert table.read(1).where("status = 'done'").count() == 0 and table.read(1).count() == n
+    assert table.read().inputFiles() and len(table.read().inputFiles()) < 100  # files follow the data, not the buckets
