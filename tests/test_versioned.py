@@ -120,3 +120,16 @@ def test_buckets_beyond_a_folder_each(spark):
     assert sorted(r[0] for r in table.read().where("status = 'done'").collect()) == [0, n // 2, n - 1, 2 * n]
     assert table.read(1).where("status = 'done'").count() == 0 and table.read(1).count() == n
     assert table.read().inputFiles() and len(table.read().inputFiles()) < 100  # files follow the data, not the buckets
+
+
+def test_a_merge_reads_near_what_it_touches(spark, table):
+    near = lambda *buckets: PageTable._near(spark.createDataFrame([(b,) for b in buckets], "bucket long"))
+    every = spark.range(100_000).withColumnRenamed("id", "bucket")
+    assert every.where(near()).count() == 0 and every.where(near(7)).count() == 1 and every.where(near(7, 99_999)).count() == 2
+    many = [*range(0, 100_000, 7)]
+    assert every.where(near(*many)).where("bucket % 7 = 0").count() == len(many)
+    for d in (0, 3990, 0):
+        table.save(change(spark, (d, 1, 1, "ocr-complete", None)))
+    assert [tuple(r)[1:] for r in table.history().orderBy("version").collect()] == [(40, 40), (40, 1), (40, 1), (40, 1)]
+    assert table.read().count() == 800 and table.read().where("status = 'ocr-complete'").count() == 2
+    assert table.vacuum(keep=1) == 1 and table.read().count() == 800  # the second save of document 0 replaced the first
