@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.operators import library, questions
+from pagelattice.plans import catalogue
 from pagelattice.sources import cleanup, plugins, store
+from tests.compare import database, same
 
 
 @pytest.fixture
@@ -49,3 +51,30 @@ def test_questions_without_blocks(spark):
     asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 4)], "question_id int")
     got = {r["question_id"]: (r["number"], r["type"], r["content"]) for r in questions.parse_questions(blocks, asked).collect()}
     assert got == {1: (1, "integer", ["Find the value of x"]), 2: (None, "subjective", ["u"]), 3: (7, "subjective", []), 4: (None, "unknown", [])}
+
+
+def waves(monkeypatch):
+    """Waves of about 300 files in folders of about 20; how many files lie on disk when each is listed."""
+    monkeypatch.setattr(catalogue, "FILES_AT_ONCE", 300)
+    monkeypatch.setattr(catalogue, "FILES_IN_FOLDER", 20)
+    seen, roots, real = [], [], plugins.files
+
+    def files(spark, root, **options):
+        roots.append(root.removeprefix("file:").replace("//", "/").rpartition("/")[0])
+        seen.append(sum(n.endswith(".jpg") for _, _, names in os.walk(roots[-1]) for n in names))
+        return real(spark, root, **options)
+
+    monkeypatch.setattr(plugins, "files", files)
+    return seen, roots
+
+
+def test_files_lie_on_disk_a_wave_at_a_time(spark, monkeypatch):
+    seen, roots = waves(monkeypatch)
+    sf = "/root/testdata/sf0.001"
+    own, other = same(catalogue.QUERIES["artifact_files"](spark, sf), database(sf), catalogue.ORACLES["artifact_files"])
+    assert own == other and own
+    total = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert len(seen) == -(-total // 300) > 1 and max(seen) < 400 and sum(seen) == total
+    assert not [n for _, _, names in os.walk(roots[-1]) for n in names if n.endswith(".jpg")]  # the last wave is gone too
+
+
