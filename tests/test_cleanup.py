@@ -78,3 +78,26 @@ def test_files_lie_on_disk_a_wave_at_a_time(spark, monkeypatch):
     assert not [n for _, _, names in os.walk(roots[-1]) for n in names if n.endswith(".jpg")]  # the last wave is gone too
 
 
+def test_cleanup_by_waves(spark, monkeypatch):
+    seen, roots = waves(monkeypatch)
+    sf = "/root/testdata/sf0.001"
+    own, other = same(catalogue.QUERIES["artifact_cleanup"](spark, sf), database(sf), catalogue.ORACLES["artifact_cleanup"])
+    assert own == other and len(seen) > 1 and max(seen) < 400
+    assert not [n for _, _, names in os.walk(roots[-1]) for n in names if n.endswith(".jpg")]
+
+
+def test_a_directory_without_orphans_or_without_others(spark, tmp_path):
+    events = [(k, "2024-01-01 00:00:00", k, "view", 0.0 + k) for k in (0, 3, 1, 2, 5)]  # of files s0, s9, s3, s6_block_2, s15_block_0
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(3).collect()
+    live = [r.asDict() | {"l_orderkey": d} for r, d in zip(lines, (0, 9, 6), strict=True)]
+    spark.createDataFrame(live, spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["artifact_cleanup"](spark, str(tmp_path)).select("dir", "files", "would", "left").collect()), key=str)
+    assert got == sorted([("debug_cache", 0, 0, 2), ("training_images", 1, 1, 0), ("tatr_crops", 1, 1, 1), (None, 2, 2, 3)], key=str)
+
+
+def test_cleanup_of_no_files(spark, tmp_path):
+    for t in ("events", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["artifact_cleanup"](spark, str(tmp_path)).select("dir", "files", "bytes", "would", "left").collect()] == [(None, 0, 0, 0, 0)]
+    assert catalogue.QUERIES["artifact_files"](spark, str(tmp_path)).count() == 0
